@@ -10,13 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from latticeqc.session import materialize
 
 CHUNK = 64
 LINE = 4096
+ROWS = 128
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -126,20 +130,62 @@ def run_edges(run_table: DataFrame, keys: Sequence[str], connectivity: int) -> D
         *keys, "row", (F.col("hi") + 1).alias("lo"), F.col("run").alias("v")
     )
     cut = run_table.where((F.col("lo") % LINE == 0) & (F.col("lo") > 0)).select(*keys, "row", "lo", F.col("run").alias("u"))
-    if connectivity == 8:
-        # Diagonal contact across a cut is found by the chunk join already (reach of one column).
-        pass
     return vertical.unionByName(cut.join(left, [*keys, "row", "lo"]).select(*keys, "u", "v")).distinct()
 
 
+def _block(run: str) -> str:
+    """Block of a run, from its id: ROWS grid rows by LINE columns, so at most ROWS * LINE / 2 runs."""
+    return f"concat_ws(':', ({run} div {1 << 31}) div {ROWS}, ({run} % {1 << 31}) div {LINE})"
+
+
+def _smallest_reached(u: np.ndarray, v: np.ndarray, size: int) -> np.ndarray:
+    """Smallest node index in the component of each node."""
+    low = np.arange(size)
+    while True:
+        before = low.copy()
+        edge_low = np.minimum(low[u], low[v])
+        np.minimum.at(low, u, edge_low)
+        np.minimum.at(low, v, edge_low)
+        low = low[low]
+        if np.array_equal(low, before):
+            return low
+
+
+def _block_roots(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, node, root`` inside each block; a block is small by construction."""
+    schema = T.StructType([edges.schema[k] for k in keys] + [T.StructField("node", T.LongType()), T.StructField("root", T.LongType())])
+
+    def solve(block: pd.DataFrame) -> pd.DataFrame:
+        nodes, index = np.unique(np.concatenate([block["u"], block["v"]]), return_inverse=True)
+        half = len(block)
+        root = nodes[_smallest_reached(index[:half], index[half:], len(nodes))]
+        out = pd.DataFrame({"node": nodes, "root": root})
+        for position, key in enumerate(keys):
+            out.insert(position, key, block[key].iloc[0])
+        return out
+
+    inner = edges.withColumn("_bu", F.expr(_block("u"))).where(f"_bu = {_block('v')}")
+    return inner.groupBy(*keys, "_bu").applyInPandas(solve, schema)
+
+
 def label_runs(cells: DataFrame, keys: Sequence[str] = ("package_id",), connectivity: int = 4) -> DataFrame:
-    """``keys, row, lo, hi, label``: runs with their component; label is the first run in row-major order."""
+    """``keys, row, lo, hi, label``: runs with their component; label is the first run in row-major order.
+
+    Runs are first joined inside blocks of bounded size, which shortens every path ROWS times; the
+    star contraction then works on the few edges between blocks.
+    """
     keys = list(keys)
     table = materialize(runs(cells, keys))
-    stars = star_components(run_edges(table, keys, connectivity), keys)
-    return table.join(stars.withColumnRenamed("node", "run"), [*keys, "run"], "left").select(
-        *keys, "row", "lo", "hi", F.coalesce("label", "run").alias("label")
-    )
+    touching = materialize(run_edges(table, keys, connectivity))
+    local = materialize(_block_roots(touching, keys))
+    between = touching.where(f"{_block('u')} <> {_block('v')}")
+    for end in ("u", "v"):
+        root = local.select(*keys, F.col("node").alias(end), F.col("root").alias("_r"))
+        between = between.join(root, [*keys, end], "left").withColumn(end, F.coalesce("_r", end)).drop("_r")
+    stars = star_components(between, keys).select(*keys, F.col("node").alias("root"), "label")
+    rooted = table.join(local.withColumnRenamed("node", "run"), [*keys, "run"], "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "run")).join(stars, [*keys, "root"], "left")
+    return rooted.select(*keys, "row", "lo", "hi", F.coalesce("label", "root").alias("label"))
 
 
 def component_sizes(labelled: DataFrame, keys: Sequence[str] = ("package_id",)) -> DataFrame:

@@ -3,6 +3,7 @@
 from latticeqc.queries import geometry_sql  # noqa: F401
 from latticeqc.queries import vertex_queries  # noqa: F401
 from latticeqc.queries import grid_queries  # noqa: F401
+from latticeqc.queries import topology_queries  # noqa: F401
 from latticeqc.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -147,6 +147,16 @@ def local_cues(frame: DataFrame, cfg: ReviewConfig) -> DataFrame:
     )
 
 
+def cells_where(frame: DataFrame, condition: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Places on the cell lattice where a flag of the frame holds.
+
+    A plain filter would be pushed below the stages that compute the flag, each of which would then be
+    evaluated twice and inlined into one huge predicate; a generator stays where it is.
+    """
+    hit = f"explode(CASE WHEN cell AND ({condition}) THEN array(1) END) AS _hit"
+    return frame.selectExpr(*keys, "row", "col", hit).drop("_hit")
+
+
 CELL_COUNTS = {
     "valid_quads": "cell_valid",
     "folded_quads": "folded",

@@ -12,6 +12,7 @@ from latticeqc.config import ReviewConfig
 from latticeqc.operators import components as C
 from latticeqc.operators import geometry as G
 from latticeqc.operators import grid, project, proximity
+from latticeqc.operators.digest import grid_digest
 from latticeqc.session import materialize
 
 KEYS = ("package_id",)
@@ -90,11 +91,12 @@ FINDING_RULES = {
 }
 
 
-def geometry_findings(summary: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """``keys, level, code`` of every rule that holds, errors first, then by code."""
+def geometry_findings(summary: DataFrame, keys: Sequence[str] = KEYS, codes: Sequence[str] = tuple(FINDING_RULES)) -> DataFrame:
+    """``keys, level, code`` of every rule among ``codes`` that holds."""
     rules = ", ".join(
         f"named_struct('level', '{level}', 'code', '{code}', 'hit', coalesce({hit}, false))"
         for code, (level, hit) in FINDING_RULES.items()
+        if code in codes
     )
     return summary.selectExpr(*keys, f"inline(filter(array({rules}), r -> r.hit))").drop("hit")
 
@@ -166,3 +168,19 @@ def geometry_report(surf: DataFrame, cfg: ReviewConfig = ReviewConfig(), keys: S
         summary.withColumns({"observed_grid_area": observed, "area_to_grid": F.try_divide("surface_area", observed)})
     )
     return GeometryReport(summary, geometry_findings(summary, keys), frame, cells, pairs, holes, bands)
+
+
+def signature(report: GeometryReport, keys: Sequence[str] = KEYS) -> DataFrame:
+    """What has to stay equal when nothing changed: finding codes, counters and the cue mask digest."""
+    codes = report.findings.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"))
+    mask = report.cells.select(*keys, "row", "col", F.when(F.col("cue"), "1").otherwise("0").alias("text"))
+    counters = [
+        "valid_quads", "long_edges", "short_edges", "degenerate_triangles", "folded_quads", "normal_jumps", "coherent_components",
+        "coherent_cells", "high_condition", "high_stretch", "high_dirichlet", "area_distortion", "high_shear", "pair_count",
+    ]
+    return (
+        report.summary.select(*keys, *counters)
+        .join(codes, list(keys), "left")
+        .join(grid_digest(mask, "text", keys, "cue_digest"), list(keys), "left")
+        .fillna("", subset=["codes"])
+    )

@@ -402,4 +402,4 @@ def normal_step_score(fx):
 
 @query("normal_step_candidates", "SELECT package_id, row, col FROM step_cells")
 def normal_step_candidates(fx):
-    return cells(fx).where("step_candidate").select(*K)
+    return G.cells_where(frame(fx), "step_candidate")

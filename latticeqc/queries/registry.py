@@ -48,5 +48,9 @@ def with_ctes(body: str) -> str:
     visit(body, ())
     if not order:
         return body.strip()
-    blocks = ",\n".join(f"{name} AS ({CTES[name]})" for name in order)
+    def block(name: str) -> str:
+        recursive = re.search(rf"\b{name}\b", CTES[name])
+        return f"{name} AS {'' if recursive else 'MATERIALIZED '}({CTES[name]})"
+
+    blocks = ",\n".join(map(block, order))
     return f"WITH RECURSIVE {blocks}\n{body.strip()}"

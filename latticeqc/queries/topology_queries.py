@@ -155,7 +155,7 @@ define("folded_cells", "SELECT package_id, row, col FROM cells WHERE folded")
 
 @query("dilate", _dilated("SELECT package_id, row, col FROM folded_cells", 2))
 def dilate(fx):
-    return diff.dilate(frame(fx).where("cell AND folded"), 2, cell_shapes(fx.surf))
+    return diff.dilate(G.cells_where(frame(fx), "folded"), 2, cell_shapes(fx.surf))
 
 
 define(

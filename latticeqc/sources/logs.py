@@ -34,7 +34,7 @@ def parse_trace_log(logs: DataFrame, keys: list[str]) -> DataFrame:
     """First match of each pattern; all fields are null unless every pattern is present."""
     log = F.col("log")
     complete = log.rlike(RESUME) & log.rlike(GENERATION) & log.rlike(AREA)
-    lines = F.transform(F.split(log, "\r\n|\n|\r"), F.trim)
+    lines = F.transform(F.split(log, "\r\n|\n|\r"), lambda line: F.trim(line))
     marked = F.filter(lines, lambda line: (
         F.contains(line, F.lit(LINE_MARKS[0])) | F.contains(line, F.lit(LINE_MARKS[1])) | F.contains(line, F.lit(LINE_MARKS[2]))
     ))

@@ -59,3 +59,39 @@ def registry_census(registry: DataFrame) -> DataFrame:
         F.count("area_vx2").alias("with_area_vx2"),
         F.count_if(F.col("area").isNull() & F.col("area_vx2").isNotNull()).alias("divergent"),
     )
+
+
+def load_failures(gate: DataFrame) -> DataFrame:
+    """Packages the geometry review cannot load, as findings instead of a failed job."""
+    return gate.where("NOT (decoded AND same_shape)").selectExpr(
+        "package_id", "'error' AS severity", "'geometry-load-failed' AS code"
+    )
+
+
+def preregistered(vertices: DataFrame, height: int, width: int, valid_vertices: int) -> DataFrame:
+    """Rules a fixture surface has to meet before it is used, one row per package."""
+    from latticeqc.operators.masks import vertex_flags
+    from latticeqc.operators.project import boundary_counts
+
+    off = lambda a: F.isnan(a) | (F.col(a) != -1)
+    planes = vertex_flags(vertices).groupBy("package_id").agg(
+        (F.count_if(~F.col("finite_all")) == 0).alias("finite_ok"),
+        ((F.count_if(off("x") != off("y")) == 0) & (F.count_if(off("x") != off("z")) == 0)).alias("sentinels_agree"),
+    )
+    edge = boundary_counts(vertices).selectExpr(
+        "package_id", f"height = {height} AND width = {width} AS shape_ok", f"valid_vertices = {valid_vertices} AS vertices_ok",
+        "added_quads = last_row_quads + last_col_quads - corner_quad AS boundary_ok",
+    )
+    return edge.join(planes, "package_id")
+
+
+def trace_integrity(meta: DataFrame, logs: DataFrame, key: str) -> DataFrame:
+    """Metadata area is a finite non-negative number and equals the area the log ends with."""
+    from latticeqc.sources.metadata import json_number
+
+    parsed = meta.withColumn("v", F.try_parse_json("raw_json")).select(key, json_number("$.area_vx2").alias("area"))
+    area_ok = F.coalesce(F.col("area") >= 0, F.lit(False))
+    close = F.abs(F.col("area") - F.col("final_area_vx2")) <= 1e-9
+    return parsed.join(logs, key).select(
+        key, F.col("complete").alias("log_ok"), area_ok.alias("area_ok"), F.coalesce(area_ok & F.col("complete") & close, F.lit(False)).alias("area_matches_log")
+    )

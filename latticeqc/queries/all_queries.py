@@ -8,6 +8,7 @@ from latticeqc.queries import contract_queries  # noqa: F401
 from latticeqc.queries import source_queries  # noqa: F401
 from latticeqc.queries import report_queries  # noqa: F401
 from latticeqc.queries import volume_queries  # noqa: F401
+from latticeqc.queries import eval_queries  # noqa: F401
 from latticeqc.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

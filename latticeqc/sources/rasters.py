@@ -79,23 +79,20 @@ def ingest_rasters(files: DataFrame, decoder: Decoder = decode_strips) -> DataFr
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for package, channel, content in zip(batch["package_id"], batch["channel"], batch["content"]):
-                yield _rows(package, channel, content)
+                yield _table({"package_id": package, "channel": channel}, content)
 
-    def _rows(package, channel, content) -> pd.DataFrame:
-        known = {"package_id": package, "channel": channel}
+    def _table(known: dict, content) -> pd.DataFrame:
         try:
             array, frames = decoder(bytes(content))
         except Exception as error:  # any failure of a decoder is a finding, not a failed job
-            return pd.DataFrame([{**known, "readable": False, "error": f"{type(error).__name__}: {error}"}], columns=NAMES)
-        known |= {"readable": True, "error": None, "dtype": str(array.dtype.newbyteorder("=")), "frames": frames, "ndim": array.ndim}
+            return _columns({**known, "readable": False, "error": f"{type(error).__name__}: {error}"}, 1)
+        facts = {**known, "readable": True, "dtype": str(array.dtype.newbyteorder("=")), "frames": frames, "ndim": array.ndim}
         if array.ndim != 2:
-            return pd.DataFrame([known], columns=NAMES)
+            return _columns(facts, 1)
         height, width = array.shape
         rows, cols = np.divmod(np.arange(array.size), width)
-        return pd.DataFrame(
-            {**known, "height": height, "width": width, "row": rows, "col": cols, "value": array.astype("float64").ravel()},
-            columns=NAMES,
-        )
+        samples = {"row": rows, "col": cols, "value": array.astype("float64").ravel()}
+        return _columns({**facts, "height": height, "width": width, **samples}, array.size)
 
     slim = files.select("package_id", "channel", "content")
     return slim.mapInPandas(decode, SCHEMA)
@@ -104,6 +101,17 @@ def ingest_rasters(files: DataFrame, decoder: Decoder = decode_strips) -> DataFr
 NAMES = [field.split()[0] for field in SCHEMA.split(", ")]
 
 
+def _columns(values: dict, size: int) -> pd.DataFrame:
+    """One column per schema field; single values are repeated, missing ones are null.
+
+    Plain object columns convert to any Arrow type, whatever string type pandas would choose.
+    """
+    def column(value):
+        return pd.Series(value if isinstance(value, np.ndarray) else [value] * size, dtype=None if isinstance(value, np.ndarray) else object)
+
+    return pd.DataFrame({name: column(values.get(name)) for name in NAMES})
+
+
 def channel_table(samples: DataFrame) -> DataFrame:
     """One row per raster with its decoding facts."""
     facts = ["readable", "error", "dtype", "frames", "ndim", "height", "width"]

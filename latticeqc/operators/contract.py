@@ -163,17 +163,14 @@ def bbox_findings(compared: DataFrame) -> DataFrame:
 
 
 def duplicate_uuids(uuids: DataFrame) -> DataFrame:
-    """Ids used by more than one package, with the packages listed.
+    """Packages whose id is used more than once: one row per package, with the number of uses.
 
-    The list is the finding itself, so it is as long as the reuse; counting comes first and only
-    reused ids reach the list.
+    One id may be shared by most packages, so its packages stay rows and are never gathered in a list.
     """
-    counts = uuids.where("uuid IS NOT NULL AND uuid <> ''").groupBy("uuid").agg(F.count("*").alias("count"))
-    reused = counts.where("count > 1")
-    paths = uuids.join(reused, "uuid").groupBy("uuid", "count").agg(F.array_sort(F.collect_list("path")).alias("paths"))
-    return paths.select(
-        F.lit("warning").alias("severity"), F.lit("duplicate-uuid").alias("code"), "uuid", "count",
-        F.array_join("paths", ",").alias("paths"),
+    named = uuids.where("uuid IS NOT NULL AND uuid <> ''")
+    reused = named.groupBy("uuid").agg(F.count("*").alias("count")).where("count > 1")
+    return named.join(reused, "uuid").select(
+        F.lit("warning").alias("severity"), F.lit("duplicate-uuid").alias("code"), "uuid", "count", "path"
     )
 
 

@@ -23,7 +23,8 @@ def quad_cells(df: DataFrame, flag: str = "valid", keys: Sequence[str] = KEYS, s
     keys = list(keys)
     slim = tile(df.selectExpr(*keys, "row", "col", f"{flag} AS _f"), keys, 0, 1, size)
     right, down = neighbour(keys, "col", 1), neighbour(keys, "row", 1)
-    paired = stage(slim, {"_pair": f"_f AND {right('_f')}"})
+    # Null where there is no right neighbour; a plain AND would turn a false flag there into false.
+    paired = stage(stage(slim, {"_right": right("_f")}), {"_pair": "CASE WHEN _right IS NOT NULL THEN _f AND _right END"})
     return (
         stage(paired, {"_below": down("_pair"), OWN: owned_text(size)})
         .where(f"_pair IS NOT NULL AND _below IS NOT NULL AND {OWN}")

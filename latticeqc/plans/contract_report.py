@@ -80,7 +80,7 @@ def collection_findings(packages: DataFrame, meta: DataFrame) -> DataFrame:
     uuids = sanitized_metadata(parse_metadata(meta)).select("uuid", F.col("package_id").cast("string").alias("path"))
     empty = packages.agg(F.count("*").alias("n")).where("n = 0").selectExpr(
         "'warning' AS severity", "'no-tifxyz-directories' AS code", "CAST(NULL AS STRING) AS uuid",
-        "CAST(NULL AS BIGINT) AS count", "CAST(NULL AS STRING) AS paths",
+        "CAST(NULL AS BIGINT) AS count", "CAST(NULL AS STRING) AS path",
     )
     return C.duplicate_uuids(uuids).unionByName(empty)
 

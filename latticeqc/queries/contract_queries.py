@@ -272,7 +272,7 @@ def scan_summary(fx):
     counts = C.status_counts(whole(fx).status)
     # Two one-row tables side by side.
     one = F.lit(1).alias("_k")
-    return counts.select("*", one).join(found.agg(F.count("*").alias("duplicate_ids")).select("*", one), "_k").drop("_k")
+    return counts.select("*", one).join(found.agg(F.count_distinct("uuid").alias("duplicate_ids")).select("*", one), "_k").drop("_k")
 
 
 @query("status_counts", f"SELECT {_STATUS} FROM (SELECT CASE WHEN bool_or(severity='error') THEN 'error' ELSE 'warning' END AS status FROM ({' UNION ALL '.join(CHANNEL_RULES.values())}) GROUP BY package_id UNION ALL SELECT 'pass' FROM embeddings WHERE vec_id NOT IN (SELECT package_id FROM ({' UNION ALL '.join(CHANNEL_RULES.values())})))")
@@ -295,8 +295,7 @@ def exit_status(fx):
 
 @query(
     "rule_duplicate_uuid",
-    """SELECT 'warning' AS severity, 'duplicate-uuid' AS code, uuid, count(*) AS count, string_agg(CAST(package_id AS VARCHAR),',' ORDER BY CAST(package_id AS VARCHAR)) AS paths
-       FROM registry_fx WHERE uuid IS NOT NULL AND uuid<>'' GROUP BY uuid HAVING count(*)>1""",
+    """SELECT 'warning' AS severity, 'duplicate-uuid' AS code, uuid, count, CAST(package_id AS VARCHAR) AS path FROM (SELECT *, count(*) OVER (PARTITION BY uuid) AS count FROM registry_fx WHERE uuid IS NOT NULL AND uuid<>'') WHERE count>1""",
 )
 def duplicate_uuid(fx):
     return C.duplicate_uuids(fx.registry.select("uuid", F.col("package_id").cast("string").alias("path")))

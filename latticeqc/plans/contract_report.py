@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticeqc.operators import contract as C
@@ -92,3 +93,13 @@ def scan_report(
     packages = materialize(discover_packages(files).withColumnRenamed("dir", "package_id"))
     report = contract_report(packages, files, channels, meta, vertices, masks)
     return ScanReport(report, collection_findings(packages, meta), C.status_counts(report.status))
+
+
+def root_findings(spark: SparkSession, root: str) -> DataFrame:
+    """An error finding when the scan root cannot be read at all; empty otherwise."""
+    schema = "severity string, code string, path string"
+    try:
+        spark.read.format("binaryFile").load(root)
+    except AnalysisException:
+        return spark.createDataFrame([("error", "scan-root-not-directory", root)], schema)
+    return spark.createDataFrame([], schema)

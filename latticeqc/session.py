@@ -24,6 +24,9 @@ def build_session(master: str | None = None, app: str = "latticeqc", **conf: str
     return builder.getOrCreate()
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def work_folder(spark: SparkSession) -> str:
     """Shared folder for intermediate tables, as the cluster names it.
 
@@ -35,9 +38,10 @@ def work_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir has to name a folder shared by the cluster")
-    folder = tempfile.mkdtemp(prefix="latticeqc-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="latticeqc-")
+    return _LOCAL_FOLDERS[application]
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 
 from latticeqc.functions.numeric import above, edge_score, is_finite, nan_min, np_div
 from latticeqc.operators import contract as C
-from latticeqc.plans.contract_report import scan_report
+from latticeqc.plans.contract_report import root_findings, scan_report
 from latticeqc.plans.scoring import cluster_bootstrap
 from latticeqc.plans.perturbation import averaged_normals, choose_seam, offset_ladder
 from latticeqc.session import materialize
@@ -127,3 +127,8 @@ def test_reader_matrix(spark):
     surf = frame(spark, surface("all", 5, 5, flat), surface("centre", 5, 5, flat, invalid={(2, 2)}))
     got = {r["package_id"]: (r["vertices"], r["faces"]) for r in halfopen_counts(surf, "valid").collect()}
     assert got == {"all": (16, 18), "centre": (12, 10)}
+
+
+def test_missing_scan_root_is_an_error(spark, tmp_path):
+    assert root_findings(spark, str(tmp_path)).count() == 0
+    assert root_findings(spark, str(tmp_path / "nowhere")).first()["code"] == "scan-root-not-directory"

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from latticeqc.llm import compression, sentencepiece_table
+from latticeqc.llm.common import written
+from latticeqc.llm import compression, minhash_forest, mixing, sentencepiece_table, separator_scan, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +29,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op2_minhash_forest_join")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+#: Domains group sources by number; target weights of domains and languages, sources of one language weigh the same.
+TARGETS = mixing.Mix(weights={"d0": 1, "d1": 3, "d2": 3, "d3": 2, "en": 5, "de": 2, "fr": 2, "es": 1})
+#: In the pipeline each document comes once at most, and nearly all tokens are wanted: only what the weights push out goes.
+PIPELINE_TARGETS = mixing.Mix(weights=TARGETS.weights, budget_percent=90, max_epochs=1)
+
+
+def domain() -> Column:
+    number = F.regexp_extract("source", "([0-9]{1,9})$", 1).try_cast("int")
+    return F.concat(F.lit("d"), F.pmod(F.coalesce(number, F.lit(0)), F.lit(4)).cast("string"))
+
+
+def levels() -> tuple[Column, ...]:
+    return domain(), F.col("lang"), F.col("source")
+
+
+MIXING_SQL = """
+WITH docs AS (
+  SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens,
+         'd' || (coalesce(try_cast(regexp_extract(source, '([0-9]{1,9})$', 1) AS INT), 0) % 4) AS l0, coalesce(lang, '') AS l1, coalesce(source, '') AS l2
+  FROM documents),
+named(value, weight) AS (VALUES ('d0', 1), ('d1', 3), ('d2', 3), ('d3', 2), ('en', 5), ('de', 2), ('fr', 2), ('es', 1)),
+n0 AS (SELECT l0, sum(tokens)::BIGINT AS tokens, 2 * sum(tokens)::BIGINT AS cap, any_value(coalesce(weight, 1)) AS weight,
+              (SELECT floor(sum(tokens) * 60 / 100.0)::BIGINT FROM docs) AS given
+       FROM docs LEFT JOIN named ON value = l0 GROUP BY l0),
+r0 AS (SELECT *, (given - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS rate FROM n0
+       WINDOW w AS (ORDER BY cap / weight, l0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b0 AS (SELECT l0, (CASE WHEN cap / weight <= rate THEN cap ELSE floor(max(CASE WHEN cap / weight > rate THEN rate END) OVER () * weight) END)::BIGINT AS budget FROM r0),
+n1 AS (SELECT l0, l1, sum(tokens)::BIGINT AS tokens, 2 * sum(tokens)::BIGINT AS cap, any_value(coalesce(weight, 1)) AS weight, any_value(budget) AS given
+       FROM docs JOIN b0 USING (l0) LEFT JOIN named ON value = l1 GROUP BY l0, l1),
+r1 AS (SELECT *, (given - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER (PARTITION BY l0) - coalesce(sum(weight) OVER w, 0)) AS rate FROM n1
+       WINDOW w AS (PARTITION BY l0 ORDER BY cap / weight, l1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b1 AS (SELECT l0, l1, (CASE WHEN cap / weight <= rate THEN cap ELSE floor(max(CASE WHEN cap / weight > rate THEN rate END) OVER (PARTITION BY l0) * weight) END)::BIGINT AS budget FROM r1),
+n2 AS (SELECT l0, l1, l2, sum(tokens)::BIGINT AS tokens, 2 * sum(tokens)::BIGINT AS cap, 1 AS weight, any_value(budget) AS given
+       FROM docs JOIN b1 USING (l0, l1) GROUP BY l0, l1, l2),
+r2 AS (SELECT *, (given - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER (PARTITION BY l0, l1) - coalesce(sum(weight) OVER w, 0)) AS rate FROM n2
+       WINDOW w AS (PARTITION BY l0, l1 ORDER BY cap / weight, l2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b2 AS (SELECT l0, l1, l2, tokens AS held, (CASE WHEN cap / weight <= rate THEN cap ELSE floor(max(CASE WHEN cap / weight > rate THEN rate END) OVER (PARTITION BY l0, l1) * weight) END)::BIGINT AS budget FROM r2),
+leaves AS (SELECT l0, l1, l2, CASE WHEN held > 0 THEN budget // held ELSE 0 END AS epochs, budget - held * CASE WHEN held > 0 THEN budget // held ELSE 0 END AS rest FROM b2),
+placed AS (SELECT docs.*, epochs, rest, md5('mix:' || epochs || ':' || doc_id) AS place FROM docs JOIN leaves USING (l0, l1, l2)),
+summed AS (SELECT *, sum(tokens) OVER (PARTITION BY l0, l1, l2 ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM placed),
+timed AS (SELECT *, epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS times FROM summed)
+SELECT doc_id, l0 AS domain, l1 AS lang, l2 AS source, tokens AS n_tokens, unnest(range(times))::INT AS epoch FROM timed WHERE times > 0
+"""
+
+
+@query("op4_source_mixing", MIXING_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mix_documents(docs, levels(), TARGETS, mixing.word_tokens(F.col("text")))
+    return mixed.select(
+        "doc_id", domain().alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_epoch").alias("epoch")
+    )
+
+
+@query("op5_url_association_rules")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rules = url_rules.mine_rules(url_rules.label_pages(pages, table(spark, sf_dir, "labels")))
+    return url_rules.judge_urls(pages, rules)
+
+
 @query("op7_sentencepiece")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_table.encode_documents(
@@ -34,6 +102,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op9_separator_scan", "SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_tokens FROM documents")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = written(separator_scan.flat_bytes(table(spark, sf_dir, "documents")))
+    counts = separator_scan.count_tokens(flat, separator_scan.BYTE_END)
+    return counts.join(separator_scan.document_ids(flat), ["file", "doc_no"]).select("doc_id", "n_tokens")
+
+
 @query("op10_compression_bands")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.judge_documents(table(spark, sf_dir, "documents"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticeqc.llm.common import written
-from latticeqc.llm import compression, minhash_forest, mixing, sentencepiece_table, separator_scan, url_rules
+from latticeqc.llm import compression, minhash_forest, mixing, ngram_scoring, sentencepiece_table, separator_scan, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_ngram_trie_scoring")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learned = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
+    return ngram_scoring.score_documents(table(spark, sf_dir, "documents"), learned)
+
+
 @query("op2_minhash_forest_join")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.jaccard_classes(table(spark, sf_dir, "documents"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticeqc.llm.common import written
-from latticeqc.llm import compression, minhash_forest, mixing, ngram_scoring, sentencepiece_table, separator_scan, url_rules
+from latticeqc.llm import compression, html_labeller, license_scan, minhash_forest, mixing, ngram_scoring, sentencepiece_table, separator_scan, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+@query("op3_html_block_labeller")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_labeller.extract(pages, html_labeller.train(pages))
+
+
 #: Domains group sources by number; target weights of domains and languages, sources of one language weigh the same.
 TARGETS = mixing.Mix(weights={"d0": 1, "d1": 3, "d2": 3, "d3": 2, "en": 5, "de": 2, "fr": 2, "es": 1})
 #: In the pipeline each document comes once at most, and nearly all tokens are wanted: only what the weights push out goes.
@@ -101,6 +107,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, rules)
 
 
+@query("op6_license_diagonals")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))[0]
+
+
 @query("op7_sentencepiece")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_table.encode_documents(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticeqc.llm.common import written
-from latticeqc.llm import compression, html_labeller, license_scan, minhash_forest, mixing, ngram_scoring, sentencepiece_table, separator_scan, url_rules
+from latticeqc.llm import compression, cover_tree, html_labeller, license_scan, minhash_forest, mixing, ngram_scoring, sentencepiece_table, separator_scan, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS z FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.z, c.z)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+QUALIFY rank <= 5
+"""
+
+
 @query("op1_ngram_trie_scoring")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     learned = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
@@ -119,6 +129,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_cover_tree_top_k", TOP_K_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("op9_separator_scan", "SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_tokens FROM documents")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = written(separator_scan.flat_bytes(table(spark, sf_dir, "documents")))

@@ -24,12 +24,13 @@ class ReviewConfig:
     normal_step_min_component_cells: int = 8
     nonlocal_distance_ratio: float = 0.25
     nonlocal_uv_exclusion: int = 4
-    max_proximity_points: int = 100_000
-    max_proximity_pairs: int = 10_000
+    # No point is left out and no list is cut unless that is asked for.
+    max_proximity_points: int | None = None
+    max_proximity_pairs: int | None = None
 
     def check(self) -> "ReviewConfig":
         """Reject unusable settings before any plan is built."""
-        optional = ("expected_spacing_x", "expected_spacing_y")
+        optional = ("expected_spacing_x", "expected_spacing_y", "max_proximity_points", "max_proximity_pairs")
         integers = (
             "normal_step_min_component_cells",
             "nonlocal_uv_exclusion",
@@ -50,8 +51,8 @@ class ReviewConfig:
             "area ratio limits have to lie on both sides of 1": self.area_ratio_low < 1 < self.area_ratio_high,
             "shear has to stay below 1": self.shear < 1,
             "normal_step_min_component_cells has to be 1 or more": self.normal_step_min_component_cells >= 1,
-            "max_proximity_points has to be 1 or more": self.max_proximity_points >= 1,
-            "max_proximity_pairs has to be 0 or more": self.max_proximity_pairs >= 0,
+            "max_proximity_points has to be 1 or more": self.max_proximity_points is None or self.max_proximity_points >= 1,
+            "max_proximity_pairs has to be 0 or more": self.max_proximity_pairs is None or self.max_proximity_pairs >= 0,
             "nonlocal_uv_exclusion has to be 0 or more": self.nonlocal_uv_exclusion >= 0,
         }
         problems += [text for text, holds in ordering.items() if not holds]

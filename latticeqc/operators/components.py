@@ -2,8 +2,8 @@
 
 The contraction is the large-star / small-star scheme of Kiveris et al., "Connected Components in
 MapReduce and Beyond" (SoCC 2014).  Neighbour minima are aggregated with map-side combine, so a hub
-with many edges is not collected anywhere; the join back on the hub is a plain equi-join that AQE can
-split when it is skewed.
+with many edges is not collected anywhere.  They are written before the edges are joined back to them: the
+join is then between two tables, and it is broadcast if the minima are few, or else AQE can split the hub.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latticeqc.session import materialize
+from latticeqc.session import discard, materialize
 
 CHUNK = 64
 LINE = 4096
@@ -32,7 +32,7 @@ def _fingerprint(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame, keys: list[str]) -> DataFrame:
     both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy(*keys, "u").agg(F.min("v").alias("m"))
-    low = low.withColumn("m", F.least("m", "u"))
+    low = materialize(low.withColumn("m", F.least("m", "u")))
     return both.where(F.col("v") > F.col("u")).join(low, [*keys, "u"]).select(
         *keys, F.col("v").alias("u"), F.col("m").alias("v")
     )
@@ -40,7 +40,7 @@ def _large_star(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 def _small_star(edges: DataFrame, keys: list[str]) -> DataFrame:
     # Every edge already points from the larger to the smaller node.
-    low = edges.groupBy(*keys, "u").agg(F.min("v").alias("m"))
+    low = materialize(edges.groupBy(*keys, "u").agg(F.min("v").alias("m")))
     moved = (
         edges.join(low, [*keys, "u"])
         .where(F.col("v") > F.col("m"))
@@ -62,8 +62,10 @@ def star_components(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
     mark = _fingerprint(current)
     while mark[0]:
-        following = materialize(_small_star(_large_star(current, keys), keys))
+        starred = materialize(_large_star(current, keys))
+        following = materialize(_small_star(starred, keys))
         step = _fingerprint(following)
+        discard(current, starred)
         current = following
         if step == mark:
             break
@@ -203,11 +205,15 @@ def enclosed(labelled: DataFrame, shapes: DataFrame, keys: Sequence[str] = ("pac
         | (F.col("hi") == F.col("width") - 1)
     )
     inner = placed.groupBy(*keys, "label").agg(F.bool_or(on_border).alias("open")).where(~F.col("open"))
-    return labelled.join(inner.select(*keys, "label"), [*keys, "label"], "left_semi")
+    inner = materialize(inner.select(*keys, "label"))
+    return labelled.join(inner, [*keys, "label"], "left_semi")
 
 
-def region_summary(labelled: DataFrame, keys: Sequence[str] = ("package_id",), limit: int = 100) -> DataFrame:
-    """Size, bounding box and centroid per component; the ``limit`` largest per group, ties by first cell."""
+def region_summary(labelled: DataFrame, keys: Sequence[str] = ("package_id",), limit: int | None = None) -> DataFrame:
+    """Size, bounding box and centroid per component, ranked by size, ties by first cell.
+
+    With ``limit`` only the largest are listed; ``total`` has the number of all, ``truncated`` whether some are not listed.
+    """
     keys = list(keys)
     length = F.col("hi") - F.col("lo") + 1
     stats = labelled.groupBy(*keys, "label").agg(
@@ -220,7 +226,11 @@ def region_summary(labelled: DataFrame, keys: Sequence[str] = ("package_id",), l
         (F.sum((F.col("lo") + F.col("hi")) * length / 2.0) / F.sum(length)).alias("centroid_col"),
     )
     order = Window.partitionBy(*keys).orderBy(F.desc("cell_count"), "label")
-    return stats.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    ranked = stats.withColumn("rank", F.row_number().over(order))
+    totals = stats.groupBy(*keys).agg(F.count("*").alias("total"))
+    listed = ranked if limit is None else ranked.where(F.col("rank") <= limit)
+    truncated = F.lit(False) if limit is None else F.col("total") > limit
+    return listed.join(totals, keys).withColumn("truncated", truncated)
 
 
 def expand_runs(labelled: DataFrame, keys: Sequence[str] = ("package_id",)) -> DataFrame:

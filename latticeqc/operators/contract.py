@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticeqc.session import materialize
 from latticeqc.sources.metadata import FORMAT_NAME, TYPE_NAME, parse_metadata, sanitized_metadata
 from latticeqc.sources.packages import MASK, REQUIRED
 
@@ -168,7 +169,8 @@ def duplicate_uuids(uuids: DataFrame) -> DataFrame:
     One id may be shared by most packages, so its packages stay rows and are never gathered in a list.
     """
     named = uuids.where("uuid IS NOT NULL AND uuid <> ''")
-    reused = named.groupBy("uuid").agg(F.count("*").alias("count")).where("count > 1")
+    # Written, so that the join is between tables and AQE can split an id that most packages share.
+    reused = materialize(named.groupBy("uuid").agg(F.count("*").alias("count")).where("count > 1"))
     return named.join(reused, "uuid").select(
         F.lit("warning").alias("severity"), F.lit("duplicate-uuid").alias("code"), "uuid", "count", "path"
     )

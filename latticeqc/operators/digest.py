@@ -1,4 +1,4 @@
-"""Digests of ordered collections, built level by level so that no group grows with the data.
+"""Digests of collections: ordered ones level by level, unordered ones as sums, so that no list grows with the data.
 
 The hex values differ from a digest over one long byte string; equality of collections is preserved.
 """
@@ -26,19 +26,20 @@ def grid_digest(df: DataFrame, text: str, keys: Sequence[str] = ("package_id",),
     return blocks.groupBy(*keys).agg(_joined(["_b"], "_d", "\n").alias(name))
 
 
+def set_digest(value: Column) -> Column:
+    """Aggregate: digest of a collection without order, of one fixed size whatever the size of the group.
+
+    The hash of each member is cut into four numbers of 60 bits; their sums and the number of members are hashed. Sums
+    combine on the map side, so no list is made and a hot group is not gathered anywhere.
+    """
+    h = F.sha2(value, 256)
+    sums = [F.sum(F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(4)]
+    return F.sha2(F.concat_ws(":", F.count("*").cast("string"), *sums), 256)
+
+
 def ids_digest(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Digest of a set of ids: sorted lists inside 65536 hash buckets, 256 bucket groups, one total."""
-    keys = list(keys)
-    h = F.sha2(F.col(column), 256)
-    buckets = (
-        df.select(*keys, F.col(column).alias("_id"), F.substring(h, 1, 4).alias("_b"))
-        .groupBy(*keys, "_b")
-        .agg(_joined(["_id"], "_id", "\n").alias("_d"), F.count("*").alias("_n"))
-    )
-    groups = buckets.groupBy(*keys, F.substring("_b", 1, 2).alias("_g")).agg(
-        _joined(["_b"], "_d", "\n").alias("_d"), F.sum("_n").alias("_n")
-    )
-    return groups.groupBy(*keys).agg(F.sum("_n").alias("ids"), _joined(["_g"], "_d", "\n").alias("digest"))
+    """``keys, ids, digest`` of a collection of ids; an empty one has no row with keys."""
+    return df.groupBy(*keys).agg(F.count("*").alias("ids"), set_digest(F.col(column)).alias("digest"))
 
 
 def tree_digest(files: DataFrame, path: str, digest: str) -> DataFrame:

@@ -22,13 +22,15 @@ def usable_points(surf: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return surf.where(F.col("valid") & finite).select(*keys, "row", "col", "x", "y", "z")
 
 
-def proximity_sample(points: DataFrame, max_points: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Points on a regular stride; if more than ``max_points`` remain, an evenly spaced subset of them.
+def proximity_sample(points: DataFrame, max_points: int | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """All points, or with ``max_points`` those on a regular stride; if more than ``max_points`` remain, an evenly spaced subset of them.
 
     The place of a point in row-major order is the number of points in earlier rows plus its place in
     its own row, so no window covers a whole package.
     """
     keys = list(keys)
+    if max_points is None:
+        return points.withColumns({"stride": F.lit(1), "capped": F.lit(False)})
     counts = points.groupBy(*keys).agg(F.count("*").alias("_n"))
     stride = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("_n") / float(max_points)))).cast("int")
     strides = materialize(counts.withColumn("stride", stride).drop("_n"))
@@ -89,14 +91,16 @@ def proximity_pairs(sample: DataFrame, refs: DataFrame, cfg: ReviewConfig, keys:
     )
 
 
-def listed_pairs(pairs: DataFrame, max_pairs: int, keys: Sequence[str] = KEYS) -> DataFrame:
+def listed_pairs(pairs: DataFrame, max_pairs: int | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy("b_row", "b_col", "visit", "a_row", "a_col")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_pairs)
+    ranked = pairs.withColumn("rank", F.row_number().over(order))
+    return ranked if max_pairs is None else ranked.where(F.col("rank") <= max_pairs)
 
 
-def pair_totals(pairs: DataFrame, max_pairs: int, keys: Sequence[str] = KEYS) -> DataFrame:
+def pair_totals(pairs: DataFrame, max_pairs: int | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
     counted = pairs.groupBy(*keys).agg(F.count("*").alias("pair_count"))
-    return counted.withColumn("truncated", F.col("pair_count") > max_pairs)
+    truncated = F.lit(False) if max_pairs is None else F.col("pair_count") > max_pairs
+    return counted.withColumn("truncated", truncated)
 
 
 def pair_vertices(pairs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

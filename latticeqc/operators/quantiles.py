@@ -131,9 +131,10 @@ def _look_up(df, keys, value, targets, base):
             F.max(F.when(F.col("side") == 1, F.col("v"))).alias("v1"),
         )
     )
-    part = F.col("at") - F.floor("at")
+    # The same arithmetic as the built-in aggregate, so that both give the same bits.
+    between = (F.ceil("at") - F.col("at")) * F.col("v0") + (F.col("at") - F.floor("at")) * F.col("v1")
     valued = picked.join(base.select(*keys, "i", "n", "at"), [*keys, "i"]).withColumn(
-        "v", F.col("v0") + (F.col("v1") - F.col("v0")) * part
+        "v", F.when(F.col("v0") == F.col("v1"), F.col("v0").cast("double")).otherwise(between)
     )
     return valued.groupBy(*keys).agg(
         F.max("n").alias("n"),

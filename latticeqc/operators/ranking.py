@@ -67,7 +67,7 @@ def hash_ranked_split(names: DataFrame, count: int, train_group: str) -> DataFra
     split = (
         F.when(F.col("group") != train_group, "test").when(F.col("rank").isNotNull(), "validation").otherwise("train")
     )
-    return hashed.join(F.broadcast(chosen), "name", "left").withColumn("split", split).drop("_h")
+    return hashed.join(chosen, "name", "left").withColumn("split", split).drop("_h")
 
 
 def hash_sample(sites: DataFrame, limit: int, minimum: int, keys: Sequence[str], identity: Sequence[str]) -> DataFrame:

@@ -102,19 +102,19 @@ def next_sheet_spacing(sites: DataFrame, foreground: DataFrame, shape: DataFrame
     return back.groupBy(*keys, "site", "z", "y", "x").agg(F.coalesce(F.min("back"), F.lit(cap)).alias("spacing"))
 
 
-def panel_measurements(spacing: DataFrame, keys: Sequence[str], bound: int) -> DataFrame:
-    """Share and number of compressed sites, median and tenth percentile; ``bound`` limits sites per panel."""
+def panel_measurements(spacing: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Share and number of compressed sites, median and tenth percentile."""
     from latticeqc.operators.quantiles import exact_quantiles
 
     near = F.col("spacing") <= COMPRESSED_MAX
     counts = spacing.groupBy(*keys).agg(
         F.count("*").alias("sites"), F.count_if(near).alias("compressed_sites"), F.avg(near.cast("double")).alias("compressed_share")
     )
-    q = exact_quantiles(spacing.withColumn("_s", F.col("spacing").cast("double")), keys, "_s", [0.5, 0.1], bound)
+    q = exact_quantiles(spacing.withColumn("_s", F.col("spacing").cast("double")), keys, "_s", [0.5, 0.1])
     return counts.join(q.select(*keys, F.col("q")[0].alias("median_spacing"), F.col("q")[1].alias("spacing_p10")), list(keys))
 
 
-def representative_center(spacing: DataFrame, keys: Sequence[str], bound: int) -> DataFrame:
+def representative_center(spacing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Compressed site nearest the coordinate-wise median, ties by z, y, x; closest sites if none is compressed."""
     from latticeqc.operators.quantiles import exact_quantiles
     from latticeqc.session import materialize
@@ -125,7 +125,7 @@ def representative_center(spacing: DataFrame, keys: Sequence[str], bound: int) -
     limit = F.greatest(F.col("_m"), F.lit(COMPRESSED_MAX))
     chosen = spacing.join(least, keys).where(F.col("spacing") <= limit)
     long = chosen.select(*keys, F.explode(F.expr("array(struct('z' AS a, double(z) AS v), struct('y' AS a, double(y) AS v), struct('x' AS a, double(x) AS v))")).alias("e")).select(*keys, "e.a", "e.v")
-    medians = exact_quantiles(long, [*keys, "a"], "v", [0.5], bound).groupBy(*keys).agg(
+    medians = exact_quantiles(long, [*keys, "a"], "v", [0.5]).groupBy(*keys).agg(
         *[F.max(F.when(F.col("a") == a, F.col("q")[0])).alias(f"m{a}") for a in "zyx"]
     )
     d2 = "(z - mz) * (z - mz) + (y - my) * (y - my) + (x - mx) * (x - mx)"

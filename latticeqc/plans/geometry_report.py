@@ -40,7 +40,7 @@ def coherent_bands(frame: DataFrame, cfg: ReviewConfig, keys: Sequence[str] = KE
     candidates = frame.where("cell").select(*keys, "row", "col", "step_candidate")
     labelled = materialize(C.label_runs(materialize(candidates).where("step_candidate"), keys, 8))
     sizes = C.component_sizes(labelled, keys).where(F.col("size") >= cfg.normal_step_min_component_cells)
-    return labelled.join(sizes.drop("size"), [*keys, "label"], "left_semi")
+    return labelled.join(materialize(sizes.drop("size")), [*keys, "label"], "left_semi")
 
 
 def final_cells(cells: DataFrame, near: DataFrame, bands: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -153,7 +153,7 @@ def geometry_report(surf: DataFrame, cfg: ReviewConfig = ReviewConfig(), keys: S
         _count(C.component_sizes(holes, keys), keys, "enclosed_cells", F.sum("size")),
         _count(C.component_sizes(bands, keys), keys, "coherent_components"),
         _count(C.component_sizes(bands, keys), keys, "coherent_cells", F.sum("size")),
-        _count(sample, keys, "sampled_points"),
+        sample.groupBy(*keys).agg(F.count("*").alias("sampled_points"), F.max("stride").alias("proximity_stride"), F.max("capped").alias("proximity_capped")),
         _count(pairs, keys, "pair_count"),
         _count(project.incident_vertices(surf, keys), keys, "vertices_without_faces", F.count_if("without_face")),
     ]

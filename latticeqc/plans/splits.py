@@ -6,32 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticeqc.operators.components import graph_components
-from latticeqc.operators.digest import ids_digest
+from latticeqc.operators.digest import set_digest
 from latticeqc.operators.ordering import with_global_position
 from latticeqc.session import materialize
 
-MEMBER_LIMIT = 100_000
-
 
 def _names(labels: DataFrame) -> DataFrame:
-    """``label, size, members``: the NUL-joined sorted members.
-
-    Components above MEMBER_LIMIT nodes are named by a digest tree over their members, since one list
-    of them would not fit a task.
-    """
-    sizes = materialize(labels.groupBy("label").agg(F.count("*").alias("size")))
-    members = F.array_join(F.array_sort(F.collect_list("node")), "\0")
-    small = labels.join(sizes.where(F.col("size") <= MEMBER_LIMIT), "label", "left_semi")
-    listed = small.groupBy("label").agg(members.alias("members"))
-    large = labels.join(sizes.where(F.col("size") > MEMBER_LIMIT), "label", "left_semi")
-    digested = ids_digest(large, "node", ["label"]).select("label", F.col("digest").alias("members"))
-    return sizes.join(listed.unionByName(digested), "label")
+    """``label, size, members``: number of nodes and the digest of them, by one rule for every size."""
+    return labels.groupBy("label").agg(F.count("*").alias("size"), set_digest(F.col("node")).alias("members"))
 
 
 def component_ids(labels: DataFrame) -> DataFrame:
-    """``node, label, size, component_id`` with the id a hash of the component's members."""
+    """``node, label, size, component_id`` with the id a digest of the component's members."""
     named = materialize(
-        _names(labels).select("label", "size", F.concat(F.lit("sha256:"), F.sha2("members", 256)).alias("component_id"))
+        _names(labels).select("label", "size", F.concat(F.lit("sha256:"), F.col("members")).alias("component_id"))
     )
     return labels.join(named, "label")
 

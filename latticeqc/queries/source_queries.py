@@ -10,7 +10,7 @@ from latticeqc.plans import reporting as P
 
 from latticeqc.queries.grid_queries import CFG, K, METRIC_SQL, cells, frame, metric_rows
 from latticeqc.queries.registry import define, query
-from latticeqc.queries.sql import fr6, r6
+from latticeqc.queries.sql import fr6, r6, set_digest_sql
 from latticeqc.queries.topology_queries import DIGEST_SQL, graph
 from latticeqc.sources import annotations as A
 from latticeqc.sources import logs as L
@@ -146,7 +146,7 @@ def pair_images_labels(fx):
             "generation_fringe": "doc_id%50", "generation_area": "n_chars", "final_area_vx2": "n_chars", "final_area_cm2": "n_chars%100+5e-1",
         }.items()
     )
-    + ", CASE WHEN complete THEN (SELECT string_agg(line,'|' ORDER BY i) FROM (SELECT trim(x) AS line, i FROM (SELECT unnest(string_split(log,chr(10))) AS x, generate_subscripts(string_split(log,chr(10)),1) AS i) WHERE contains(x,'resume_growth initialized') OR contains(x,'gen 0 processing') OR contains(x,'area est:') ORDER BY i LIMIT 12)) END AS selected_lines"
+    + ", CASE WHEN complete THEN (SELECT string_agg(line,'|' ORDER BY i) FROM (SELECT trim(x) AS line, i FROM (SELECT unnest(string_split(log,chr(10))) AS x, generate_subscripts(string_split(log,chr(10)),1) AS i) WHERE contains(x,'resume_growth initialized') OR contains(x,'gen 0 processing') OR contains(x,'area est:'))) END AS selected_lines"
     + " FROM (SELECT *, doc_id%9<>4 AS complete FROM logs_fx)",
 )
 def parse_trace_log(fx):
@@ -183,8 +183,7 @@ def payload_hash(fx):
     return hashed.select("doc_id", "payload_sha256", (claimed == P.payload_hash(["lang", "source", "area"])).alias("matches"))
 
 
-_IDS = """SELECT CAST(sum(n) AS BIGINT) AS ids, sha256(string_agg(d,chr(10) ORDER BY g)) AS digest FROM (SELECT substr(b,1,2) AS g, sum(n) AS n, sha256(string_agg(d,chr(10) ORDER BY b)) AS d FROM
-  (SELECT substr(sha256(id),1,4) AS b, count(*) AS n, sha256(string_agg(id,chr(10) ORDER BY id)) AS d FROM ({source}) GROUP BY 1) GROUP BY 1)"""
+_IDS = "SELECT count(*) AS ids, " + set_digest_sql("id") + " AS digest FROM ({source})"
 
 
 @query("ids_digest", _IDS.format(source="SELECT CAST(doc_id AS VARCHAR) AS id FROM documents"))

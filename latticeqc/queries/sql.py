@@ -50,3 +50,9 @@ def unit(out: str, a: str, length: str) -> str:
 
 def clip(a: str) -> str:
     return f"least(greatest({a},-1e0),1e0)"
+
+
+def set_digest_sql(value: str) -> str:
+    """Digest of a collection without order: hash of the count and of four sums of 60-bit parts of the hashes."""
+    sums = ",".join(f"sum(CAST(concat('0x',substr(sha256({value}),{1 + 15 * i},15)) AS BIGINT))" for i in range(4))
+    return f"sha256(concat_ws(':',count(*),{sums}))"

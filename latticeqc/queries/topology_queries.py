@@ -11,7 +11,7 @@ from latticeqc.plans.geometry_report import cell_shapes, coherent_bands, hole_ru
 from latticeqc.plans.splits import component_ids
 from latticeqc.queries.grid_queries import CFG, K, VERTEX_TO_CELLS, frame
 from latticeqc.queries.registry import define, query
-from latticeqc.queries.sql import r6
+from latticeqc.queries.sql import r6, set_digest_sql
 from latticeqc.session import materialize
 from latticeqc.sources.surfaces import grid_shapes
 
@@ -97,7 +97,7 @@ REGION_SQL = """SELECT package_id, label, CAST(sum(hi-lo+1) AS BIGINT) AS cell_c
 
 @query(
     "region_summary",
-    f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY cell_count DESC, label) AS rank FROM ({REGION_SQL})) WHERE rank<=100",
+    f"SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY cell_count DESC, label) AS rank, count(*) OVER (PARTITION BY package_id) AS total, false AS truncated FROM ({REGION_SQL})",
 )
 def region_summary(fx):
     surf = fx.surf
@@ -121,8 +121,7 @@ define(
 define("graph_lab", "SELECT node, min(root) AS label FROM graph_reach GROUP BY 1")
 define(
     "graph_ids",
-    """SELECT label, count(*) AS size, concat('sha256:',sha256(string_agg(node,chr(0) ORDER BY node))) AS component_id,
-       string_agg(node,chr(0) ORDER BY node) AS members FROM graph_lab GROUP BY 1""",
+    f"SELECT label, count(*) AS size, concat('sha256:',{set_digest_sql('node')}) AS component_id, {set_digest_sql('node')} AS members FROM graph_lab GROUP BY 1",
 )
 
 

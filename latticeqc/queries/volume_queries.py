@@ -99,11 +99,10 @@ def next_sheet_spacing(fx):
 PANEL_SQL = """SELECT package_id, count(*) AS sites, count(*) FILTER (spacing<=8) AS compressed_sites, round(avg(CAST(spacing<=8 AS DOUBLE)),6)+0e0 AS compressed_share,
   quantile_cont(spacing,5e-1)*1e0 AS median_spacing, round(quantile_cont(spacing*1e0,1e-1),6)+0e0 AS spacing_p10 FROM spaced_sites GROUP BY 1"""
 define("panels", PANEL_SQL)
-BOUND = 3 * 30_000
 
 
 def panels(fx):
-    out = V.panel_measurements(spacing(fx), ["package_id"], BOUND)
+    out = V.panel_measurements(spacing(fx), ["package_id"])
     return out.withColumns({c: rounded(F.col(c)) for c in ("compressed_share", "spacing_p10")})
 
 
@@ -130,7 +129,7 @@ def rank_panels(fx):
         WHERE spacing<=lim GROUP BY 1) m ON m.package_id=c.package_id GROUP BY 1)""",
 )
 def representative_center(fx):
-    return V.representative_center(spacing(fx), ["package_id"], BOUND)
+    return V.representative_center(spacing(fx), ["package_id"])
 
 
 @query("hash_sample_sites", "SELECT package_id, site, pick, sites FROM (SELECT package_id, site, row_number() OVER (PARTITION BY package_id ORDER BY md5(concat_ws('|',CAST(package_id AS VARCHAR),CAST(site AS VARCHAR))), site) AS pick, count(*) OVER (PARTITION BY package_id) AS sites FROM vol_sites) WHERE pick<=100 AND sites>=300")

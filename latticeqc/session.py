@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,24 +23,13 @@ def build_session(master: str | None = None, app: str = "latticeqc", **conf: str
     return builder.getOrCreate()
 
 
-_LOCAL_FOLDERS: dict[str, str] = {}
-
-
 def work_folder(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables, as the cluster names it.
+    """Folder for the intermediate tables of this run, below a folder that the cluster shares.
 
-    Only a local session may fall back to a folder of this machine; executors of a cluster could
-    not read it.
+    That is ``spark.checkpoint.dir``, or the warehouse where none is set; never a folder of one machine's own choosing.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir has to name a folder shared by the cluster")
-    application = spark.sparkContext.applicationId
-    if application not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="latticeqc-")
-    return _LOCAL_FOLDERS[application]
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/latticeqc-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -51,11 +39,29 @@ def materialize(df: DataFrame) -> DataFrame:
     the table: a join against it is broadcast only when the files are below the broadcast limit.
     """
     spark = df.sparkSession
-    path = f"{work_folder(spark).rstrip('/')}/latticeqc-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialize`` that nothing reads any more."""
+    for table in tables:
+        for name in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            if "/latticeqc-" in name:
+                _delete(table.sparkSession, name)
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this run; results that still read them have to be written before."""
+    _delete(spark, work_folder(spark))
+
+
 def prefer_small_methods(spark: SparkSession) -> None:
     """The JVM never compiles methods above 8000 bytes of bytecode to machine code.
 

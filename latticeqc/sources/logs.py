@@ -14,7 +14,6 @@ GENERATION = r"gen 0 processing (\d+) fringe cands .*? area (\d+) vx\^2"
 AREA = r"area est: (\d+) vx\^2 \(([^)]+) cm\^2\)"
 LIBRARY = r"(/[^\n]+/libvc_(?:core|tracer)\.dylib)"
 LINE_MARKS = ("resume_growth initialized", "gen 0 processing", "area est:")
-LINE_LIMIT = 12
 
 FIELDS = {
     "resume_points": (RESUME, 1, "bigint"),
@@ -30,8 +29,11 @@ FIELDS = {
 }
 
 
-def parse_trace_log(logs: DataFrame, keys: list[str]) -> DataFrame:
-    """First match of each pattern; all fields are null unless every pattern is present."""
+def parse_trace_log(logs: DataFrame, keys: list[str], line_limit: int | None = None) -> DataFrame:
+    """First match of each pattern; all fields are null unless every pattern is present.
+
+    All marked lines are kept in ``selected_lines``, or the first ``line_limit`` of them where that is asked for.
+    """
     log = F.col("log")
     complete = log.rlike(RESUME) & log.rlike(GENERATION) & log.rlike(AREA)
     lines = F.transform(F.split(log, "\r\n|\n|\r"), lambda line: F.trim(line))
@@ -42,7 +44,7 @@ def parse_trace_log(logs: DataFrame, keys: list[str]) -> DataFrame:
         *keys,
         complete.alias("complete"),
         *[F.when(complete, F.regexp_extract(log, p, g).cast(t)).alias(n) for n, (p, g, t) in FIELDS.items()],
-        F.when(complete, F.array_join(F.slice(marked, 1, LINE_LIMIT), "|")).alias("selected_lines"),
+        F.when(complete, F.array_join(marked if line_limit is None else F.slice(marked, 1, line_limit), "|")).alias("selected_lines"),
     )
 
 

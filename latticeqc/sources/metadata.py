@@ -11,8 +11,9 @@ from latticeqc.functions.numeric import is_finite
 FORMAT_NAME = "tifxyz"
 TYPE_NAME = "seg"
 
-# JSON text cut into string literals and the text between them.
-_SEGMENT = r'"(?:[^"\\]|\\.)*"|[^"]+'
+# JSON text cut into string literals and the text between them. The quantifiers are possessive: a backtracking group
+# recurses once per character in the JVM and overflows its stack on long strings.
+_SEGMENT = r'"(?:[^"\\]++|\\.)*+"|[^"]++'
 _TOKEN = r"-?Infinity|NaN"
 NUMBER_TYPES = "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
 
@@ -47,9 +48,11 @@ def nonfinite_tokens(raw: Column) -> Column:
 def parse_metadata(meta: DataFrame) -> DataFrame:
     """Adds ``v`` (variant or null), ``readable``, ``root_type`` and ``nonfinite_count``.
 
+    Of a key that comes twice the last value counts, as in the readers that the rules speak for.
     Non-finite tokens are legal for lenient readers; they become an empty list, which no field rule
     accepts as a number, a string or an absent value.
     """
+    meta.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     tolerant = _outside_strings(F.col("raw_json"), lambda s: F.regexp_replace(s, _TOKEN, "[]"))
     bare_token = F.regexp_like(F.trim("raw_json"), F.lit(f"^({_TOKEN})$"))
     shape = F.schema_of_variant(F.col("v"))

@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import duckdb
 
 from latticeqc.queries import all_queries
-from latticeqc.session import build_session
+from latticeqc.session import build_session, clear_work
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -84,6 +84,7 @@ def main() -> int:
         print(text, flush=True)
         if not ok:
             bad.append(name)
+    clear_work(spark)
     print(f"{len(chosen) - len(bad)}/{len(chosen)} good; bad: {bad}")
     return 1 if bad else 0
 

@@ -132,3 +132,9 @@ def test_reader_matrix(spark):
 def test_missing_scan_root_is_an_error(spark, tmp_path):
     assert root_findings(spark, str(tmp_path)).count() == 0
     assert root_findings(spark, str(tmp_path / "nowhere")).first()["code"] == "scan-root-not-directory"
+
+
+def test_long_strings_and_repeated_keys(spark):
+    assert codes_of(spark, json.dumps({**GOOD, "note": "x\\\" NaN " * 130_000})) == {}
+    assert codes_of(spark, '{"uuid":"u","uuid":" ","format":"tifxyz","type":"seg","scale":[1.0,1.0]}') == {"metadata-uuid-invalid": None}
+    assert codes_of(spark, '{"uuid":" ","uuid":"u","format":"tifxyz","type":"seg","scale":[1.0,1.0]}') == {}

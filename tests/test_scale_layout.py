@@ -157,3 +157,42 @@ def test_split_keeps_components_together(spark):
 def test_cell_lattice_size(marked):
     row = cell_shapes(marked).first()
     assert (row["height"], row["width"]) == (149, 139)
+
+
+def test_quantiles_have_the_same_bits_in_both_ways(spark):
+    values = np.random.default_rng(3).random(1501)
+    df = spark.createDataFrame(pd.DataFrame({"k": np.arange(1501) % 3, "v": values}))
+    probs = [0.0, 0.05, 0.37, 0.5, 0.95, 1.0]
+    plain = {r["k"]: r["q"] for r in exact_quantiles(df, ["k"], "v", probs).collect()}
+    narrowed = {r["k"]: r["q"] for r in exact_quantiles(df, ["k"], "v", probs, group_limit=10).collect()}
+    assert plain == narrowed
+
+
+def test_hub_of_a_component_is_split_over_tasks(spark):
+    edges = spark.range(60_000).selectExpr("id + 1 AS u", "CASE WHEN id % 10 = 0 THEN id ELSE 0 END AS v").repartition(8)
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        star = C._large_star(edges.where("u > v"), [])
+        star.collect()
+        assert "skew=true" in star._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_component_ids_have_one_rule(spark):
+    from latticeqc.plans.splits import component_ids
+
+    labels = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c")], "node string, label string")
+    first = {r["node"]: r["component_id"] for r in component_ids(labels).collect()}
+    again = {r["node"]: r["component_id"] for r in component_ids(labels.repartition(3).orderBy("node", ascending=False)).collect()}
+    assert first == again and first["a"] == first["b"] != first["c"]

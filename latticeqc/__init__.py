@@ -2,6 +2,7 @@
 
 from latticeqc.config import ReviewConfig
 from latticeqc.plans.contract_report import contract_report, scan_report
+from latticeqc.plans.folders import load_folder, read_folder, review_folder, scan_folder
 from latticeqc.plans.geometry_report import geometry_report
 from latticeqc.plans.perturbation import perturbation_benchmark
 from latticeqc.plans.scoring import paired_report, threshold_selection
@@ -13,9 +14,13 @@ __all__ = [
     "contract_report",
     "geometry_report",
     "isolated_split",
+    "load_folder",
     "load_surface",
     "paired_report",
     "perturbation_benchmark",
+    "read_folder",
+    "review_folder",
+    "scan_folder",
     "scan_report",
     "threshold_selection",
 ]

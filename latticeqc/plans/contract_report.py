@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,10 +95,8 @@ def scan_report(
 
 
 def root_findings(spark: SparkSession, root: str) -> DataFrame:
-    """An error finding when the scan root cannot be read at all; empty otherwise."""
-    schema = "severity string, code string, path string"
-    try:
-        spark.read.format("binaryFile").load(root)
-    except AnalysisException:
-        return spark.createDataFrame([("error", "scan-root-not-directory", root)], schema)
-    return spark.createDataFrame([], schema)
+    """An error finding when the scan root is missing or not a directory; empty otherwise."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [] if files.exists(path) and files.getFileStatus(path).isDirectory() else [("error", "scan-root-not-directory", root)]
+    return spark.createDataFrame(found, "severity string, code string, path string")

@@ -50,7 +50,9 @@ def ingest_rasters(fx):
             yield pd.DataFrame({"package_id": batch["vec_id"], "channel": "x", "content": planes})
 
     files = fx.table("embeddings").select("vec_id", "embedding").mapInPandas(encode, "package_id BIGINT, channel STRING, content BINARY")
-    samples = rasters.ingest_rasters(files)
+    decoded = materialize(rasters.ingest_rasters(files))
+    facts = rasters.channel_table(decoded).select("package_id", "channel", "dtype", "frames", "height", "width")
+    samples = decoded.where("row IS NOT NULL").select("package_id", "channel", "row", "col", "value").join(facts, ["package_id", "channel"])
     return samples.select("package_id", "channel", "row", "col", rounded(F.col("value")).alias("value"), "dtype", "frames", "height", "width")
 
 
@@ -248,6 +250,7 @@ def overlay_downsample(fx):
 
 define("vertex_holes", "SELECT package_id, row, col FROM flags WHERE sentinel_all")
 from latticeqc.queries.grid_queries import VERTEX_TO_CELLS  # noqa: E402
+from latticeqc.session import materialize
 
 
 @query("vertex_hole_projection", VERTEX_TO_CELLS.format(source="vertex_holes"))

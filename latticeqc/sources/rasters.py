@@ -6,9 +6,10 @@ import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 Decoder = Callable[[bytes], tuple[np.ndarray, int]]
 
@@ -18,9 +19,13 @@ KINDS = {1: "u", 2: "i", 3: "f"}
 FIELD_CODES = {1: "B", 3: "H", 4: "I"}
 
 SCHEMA = (
-    "package_id BIGINT, channel STRING, readable BOOLEAN, error STRING, dtype STRING, frames INT, ndim INT,"
+    "channel STRING, readable BOOLEAN, error STRING, dtype STRING, frames INT, ndim INT,"
     " height INT, width INT, row INT, col INT, value DOUBLE"
 )
+SAMPLE_FIELDS = [
+    ("channel", pa.string()), ("readable", pa.bool_()), ("error", pa.string()), ("dtype", pa.string()), ("frames", pa.int32()), ("ndim", pa.int32()),
+    ("height", pa.int32()), ("width", pa.int32()), ("row", pa.int32()), ("col", pa.int32()), ("value", pa.float64()),
+]
 
 
 def _directory(data: bytes, order: str, at: int) -> tuple[dict[int, tuple], int]:
@@ -73,49 +78,52 @@ def encode_strip(array: np.ndarray) -> bytes:
     return head + body + struct.pack("<H", len(values)) + tags + struct.pack("<I", 0)
 
 
-def ingest_rasters(files: DataFrame, decoder: Decoder = decode_strips) -> DataFrame:
-    """``package_id, channel, content`` to one row per sample; a file that fails gives one row with ``error``."""
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for package, channel, content in zip(batch["package_id"], batch["channel"], batch["content"]):
-                yield _table({"package_id": package, "channel": channel}, content)
-
-    def _table(known: dict, content) -> pd.DataFrame:
-        try:
-            array, frames = decoder(bytes(content))
-        except Exception as error:  # any failure of a decoder is a finding, not a failed job
-            return _columns({**known, "readable": False, "error": f"{type(error).__name__}: {error}"}, 1)
-        facts = {**known, "readable": True, "dtype": str(array.dtype.newbyteorder("=")), "frames": frames, "ndim": array.ndim}
-        if array.ndim != 2:
-            return _columns(facts, 1)
-        height, width = array.shape
-        rows, cols = np.divmod(np.arange(array.size), width)
-        samples = {"row": rows, "col": cols, "value": array.astype("float64").ravel()}
-        return _columns({**facts, "height": height, "width": width, **samples}, array.size)
+def ingest_rasters(files: DataFrame, decoder: Decoder = decode_strips, slice_rows: int = 65_536) -> DataFrame:
+    """``package_id, channel, content`` to decoding facts and samples; ids are of any type.
 
+    Each file gives one row with its facts (or ``error``) and no sample, then its samples without facts, in slices of
+    ``slice_rows``, so that what a task sends at once does not grow with a raster.
+    """
     slim = files.select("package_id", "channel", "content")
-    return slim.mapInPandas(decode, SCHEMA)
+    kind = slim.schema["package_id"].dataType
+    fields = pa.schema([("package_id", to_arrow_type(kind)), *SAMPLE_FIELDS])
 
+    def rows(size: int, package, channel: str, values: dict) -> pa.RecordBatch:
+        known = {"package_id": package, "channel": channel, **values}
 
-NAMES = [field.split()[0] for field in SCHEMA.split(", ")]
+        def column(field: pa.Field) -> pa.Array:
+            value = known.get(field.name)
+            return pa.array(value, field.type) if isinstance(value, np.ndarray) else pa.repeat(pa.scalar(value, field.type), size)
 
+        return pa.RecordBatch.from_arrays([column(f) for f in fields], schema=fields)
 
-def _columns(values: dict, size: int) -> pd.DataFrame:
-    """One column per schema field; single values are repeated, missing ones are null.
-
-    Plain object columns convert to any Arrow type, whatever string type pandas would choose.
-    """
-    def column(value):
-        return pd.Series(value if isinstance(value, np.ndarray) else [value] * size, dtype=None if isinstance(value, np.ndarray) else object)
-
-    return pd.DataFrame({name: column(values.get(name)) for name in NAMES})
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for package, channel, content in zip(batch["package_id"].to_pylist(), batch["channel"].to_pylist(), batch["content"]):
+                try:
+                    array, frames = decoder(content.as_py())
+                except Exception as error:  # any failure of a decoder is a finding, not a failed job
+                    yield rows(1, package, channel, {"readable": False, "error": f"{type(error).__name__}: {error}"})
+                    continue
+                facts = {"readable": True, "dtype": str(array.dtype.newbyteorder("=")), "frames": frames, "ndim": array.ndim}
+                if array.ndim != 2:
+                    yield rows(1, package, channel, facts)
+                    continue
+                yield rows(1, package, channel, {**facts, "height": array.shape[0], "width": array.shape[1]})
+                flat = array.reshape(-1)
+                for at in range(0, flat.size, slice_rows):
+                    part = flat[at : at + slice_rows]
+                    row, col = np.divmod(np.arange(at, at + len(part)), array.shape[1])
+                    yield rows(len(part), package, channel, {"row": row, "col": col, "value": part.astype("float64")})
+
+    ddl = f"package_id {kind.simpleString()}, {SCHEMA}"
+    return slim.mapInArrow(decode, ddl)
 
 
 def channel_table(samples: DataFrame) -> DataFrame:
     """One row per raster with its decoding facts."""
     facts = ["readable", "error", "dtype", "frames", "ndim", "height", "width"]
-    return samples.groupBy("package_id", "channel").agg(*[F.max(c).alias(c) for c in facts])
+    return samples.where("readable IS NOT NULL").select("package_id", "channel", *facts)
 
 
 def vertex_table(samples: DataFrame) -> DataFrame:
@@ -124,3 +132,8 @@ def vertex_table(samples: DataFrame) -> DataFrame:
     return planes.groupBy("package_id", "row", "col").agg(
         *[F.max(F.when(F.col("channel") == a, F.col("value"))).alias(a) for a in "xyz"]
     )
+
+
+def mask_table(samples: DataFrame) -> DataFrame:
+    """Samples of the mask channel: ``package_id, mrow, mcol, value``."""
+    return samples.where("channel = 'mask' AND row IS NOT NULL").selectExpr("package_id", "row AS mrow", "col AS mcol", "value")

@@ -5,13 +5,12 @@ import pytest
 
 from latticeqc.functions.numeric import above, edge_score, is_finite, nan_min, np_div
 from latticeqc.operators import contract as C
-from latticeqc.plans.contract_report import root_findings, scan_report
+from latticeqc.plans.contract_report import root_findings
+from latticeqc.plans.folders import load_folder, review_folder, scan_folder
 from latticeqc.plans.scoring import cluster_bootstrap
 from latticeqc.plans.perturbation import averaged_normals, choose_seam, offset_ladder
 from latticeqc.session import materialize
-from latticeqc.sources import packages as P
 from latticeqc.sources import rasters
-from latticeqc.sources.metadata import read_metadata
 from tests.grids import flat, frame, surface
 
 
@@ -81,15 +80,7 @@ def test_scan_of_written_packages(spark, tmp_path):
     write_package(tmp_path / "partial", z)
     (tmp_path / "partial" / "x.tif").unlink()
 
-    files = materialize(P.list_files(spark, str(tmp_path), content=True))
-    listing = files.select("dir", "filename")
-    planes = files.where("filename LIKE '%.tif'").selectExpr("xxhash64(dir) AS package_id", "replace(filename, '.tif', '') AS channel", "content")
-    names = materialize(files.selectExpr("dir", "xxhash64(dir) AS id").distinct())
-    samples = materialize(rasters.ingest_rasters(planes))
-    named = samples.join(names.withColumnRenamed("id", "package_id"), "package_id").drop("package_id").withColumnRenamed("dir", "package_id")
-    meta = read_metadata(spark, str(tmp_path)).withColumnRenamed("package_path", "package_id")
-    masks = named.where("channel = 'mask' AND row IS NOT NULL").selectExpr("package_id", "row AS mrow", "col AS mcol", "value")
-    scan = scan_report(listing, rasters.channel_table(named), meta, rasters.vertex_table(named), masks)
+    scan = scan_folder(spark, str(tmp_path))
     status = {r["package_id"].rsplit("/", 1)[1]: r["status"] for r in scan.report.status.collect()}
     assert status == {"clean": "pass", "again": "pass", "double": "error", "broken": "error", "partial": "error"}
     found = {(r["package_id"].rsplit("/", 1)[1], r["code"]) for r in scan.report.findings.collect()}
@@ -99,6 +90,29 @@ def test_scan_of_written_packages(spark, tmp_path):
     assert (facts["double"]["python_valid_count"], facts["double"]["cpp_finite_count"]) == (12, 11)
     repeated = scan.collection_findings.where("code = 'duplicate-uuid'").first()
     assert (repeated["uuid"], repeated["count"]) == ("same", 2)
+    surf = load_folder(spark, str(tmp_path))
+    loaded = {r["package_id"].rsplit("/", 1)[1]: (r["n"], r["v"]) for r in surf.groupBy("package_id").agg({"valid": "count", "z": "min"}).toDF("package_id", "n", "v").collect()}
+    assert loaded == {"clean": (12, 10.0), "again": (12, 10.0), "double": (12, 10.0)}
+    review = review_folder(spark, str(tmp_path))
+    assert {r["valid_quads"] for r in review.summary.collect()} == {6}
+
+
+def test_scan_of_a_file_or_nothing(spark, tmp_path):
+    (tmp_path / "plain").write_text("x")
+    for root in (tmp_path / "plain", tmp_path / "nowhere"):
+        scan = scan_folder(spark, str(root))
+        assert [r["code"] for r in scan.collection_findings.collect()] == ["scan-root-not-directory"] and scan.report.status.count() == 0
+    (tmp_path / "empty").mkdir()
+    assert [r["code"] for r in scan_folder(spark, str(tmp_path / "empty")).collection_findings.collect()] == ["no-tifxyz-directories"]
+
+
+def test_rasters_are_sent_in_slices(spark):
+    plane = np.arange(35, dtype="float32").reshape(5, 7)
+    files = spark.createDataFrame([("dir/a", "x", rasters.encode_strip(plane)), ("dir/b", "x", b"no")], "package_id string, channel string, content binary")
+    rows = rasters.ingest_rasters(files, slice_rows=8)
+    facts = {r["package_id"]: (r["readable"], r["height"], r["width"]) for r in rasters.channel_table(rows).collect()}
+    assert facts == {"dir/a": (True, 5, 7), "dir/b": (False, None, None)}
+    assert {(r["row"], r["col"]): r["value"] for r in rows.where("row IS NOT NULL").collect()} == {(i, j): plane[i, j] for i in range(5) for j in range(7)}
 
 
 def test_bootstrap_repeats_and_stays_in_range(spark):
@@ -131,6 +145,8 @@ def test_reader_matrix(spark):
 
 def test_missing_scan_root_is_an_error(spark, tmp_path):
     assert root_findings(spark, str(tmp_path)).count() == 0
+    (tmp_path / "file").write_text("")
+    assert root_findings(spark, str(tmp_path / "file")).first()["code"] == "scan-root-not-directory"
     assert root_findings(spark, str(tmp_path / "nowhere")).first()["code"] == "scan-root-not-directory"
 
 

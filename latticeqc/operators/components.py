@@ -8,7 +8,8 @@ join is then between two tables, and it is broadcast if the minima are few, or e
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -171,14 +172,28 @@ def _block_roots(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def label_runs(cells: DataFrame, keys: Sequence[str] = ("package_id",), connectivity: int = 4) -> DataFrame:
-    """``keys, row, lo, hi, label``: runs with their component; label is the first run in row-major order.
+    """``keys, row, lo, hi, label``: runs with their component; label is the first run in row-major order."""
+    keys = list(keys)
+    table = materialize(runs(cells, keys))
+    return _labelled(table, run_edges(table, keys, connectivity), keys)
+
+
+def label_kinds(cells: DataFrame, connectivity: Mapping[str, int], keys: Sequence[str] = ("package_id",)) -> DataFrame:
+    """``label_runs`` of several masks at once, told apart by ``kind``; one contraction serves all of them."""
+    keys = [*keys, "kind"]
+    table = materialize(runs(cells, keys))
+    edges = [
+        run_edges(table.where(F.col("kind").isin([k for k, c in connectivity.items() if c == reach])), keys, reach)
+        for reach in sorted(set(connectivity.values()))
+    ]
+    return _labelled(table, reduce(DataFrame.unionByName, edges), keys)
+
 
-    Runs are first joined inside blocks of bounded size, which shortens every path ROWS times; the
+def _labelled(table: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs are first joined inside blocks of bounded size, which shortens every path ROWS times; the
     star contraction then works on the few edges between blocks.
     """
-    keys = list(keys)
-    table = materialize(runs(cells, keys))
-    touching = materialize(run_edges(table, keys, connectivity))
+    touching = materialize(edges)
     local = materialize(_block_roots(touching, keys))
     between = touching.where(f"{_block('u')} <> {_block('v')}")
     for end in ("u", "v"):

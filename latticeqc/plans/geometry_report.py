@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,10 @@ def hole_runs(cells: DataFrame, shapes: DataFrame, keys: Sequence[str] = KEYS) -
 def coherent_bands(frame: DataFrame, cfg: ReviewConfig, keys: Sequence[str] = KEYS) -> DataFrame:
     """Runs of step-candidate cells in 8-connected bands of at least the configured size."""
     candidates = frame.where("cell").select(*keys, "row", "col", "step_candidate")
-    labelled = materialize(C.label_runs(materialize(candidates).where("step_candidate"), keys, 8))
+    return _large_bands(materialize(C.label_runs(materialize(candidates).where("step_candidate"), keys, 8)), cfg, keys)
+
+
+def _large_bands(labelled: DataFrame, cfg: ReviewConfig, keys: Sequence[str]) -> DataFrame:
     sizes = C.component_sizes(labelled, keys).where(F.col("size") >= cfg.normal_step_min_component_cells)
     return labelled.join(materialize(sizes.drop("size")), [*keys, "label"], "left_semi")
 
@@ -135,30 +139,39 @@ def geometry_report(surf: DataFrame, cfg: ReviewConfig = ReviewConfig(), keys: S
     # Written once: counters, summaries, examples, bands and scores all read columns of it.
     frame = materialize(G.surface_frame(surf, refs, cfg, keys).select(*keys, *FRAME_COLUMNS))
     shapes = cell_shapes(surf, keys)
-    vertex_parts = C.component_sizes(C.label_runs(surf.where("valid"), keys, 4), keys)
-    cell_parts = C.component_sizes(C.label_runs(frame.where("cell_valid"), keys, 4), keys)
-    holes = materialize(hole_runs(frame.where("cell"), shapes, keys))
-    bands = materialize(coherent_bands(frame, cfg, keys))
-    sample = materialize(proximity.proximity_sample(proximity.usable_points(surf, keys), cfg.max_proximity_points, keys))
+    masks = {
+        "vertex": (surf.where("valid"), 4),
+        "cell": (frame.where("cell_valid"), 4),
+        "gap": (frame.where("cell AND NOT cell_valid"), 8),
+        "step": (frame.where("cell AND step_candidate"), 8),
+    }
+    marked = [df.select(*keys, "row", "col", F.lit(kind).alias("kind")) for kind, (df, _) in masks.items()]
+    parts = materialize(C.label_kinds(reduce(DataFrame.unionByName, marked), {k: c for k, (_, c) in masks.items()}, keys))
+
+    def labelled(kind: str) -> DataFrame:
+        return parts.where(F.col("kind") == kind).drop("kind")
+
+    vertex_parts, cell_parts = (labelled(k).select(*keys, "label").distinct() for k in ("vertex", "cell"))
+    holes = materialize(C.enclosed(labelled("gap"), shapes, keys))
+    bands = materialize(_large_bands(labelled("step"), cfg, keys))
+    sample = proximity.proximity_sample(proximity.usable_points(surf, keys), cfg.max_proximity_points, keys)
     pairs = materialize(proximity.proximity_pairs(sample, refs, cfg, keys))
     near = project.vertices_to_cells(proximity.pair_vertices(pairs, keys), materialize(grid_sizes(surf, keys)), keys)
     cells = final_cells(
         frame.where("cell").select(*keys, "row", "col", "cell_valid", "local_cue", "local_score"), near, bands, keys
     )
-    parts = [
+    counted = [
         G.cell_counts(frame, cfg, keys),
         _count(vertex_parts, keys, "vertex_components"),
         _count(cell_parts, keys, "cell_components"),
-        _count(C.component_sizes(holes, keys), keys, "enclosed_regions"),
-        _count(C.component_sizes(holes, keys), keys, "enclosed_cells", F.sum("size")),
-        _count(C.component_sizes(bands, keys), keys, "coherent_components"),
-        _count(C.component_sizes(bands, keys), keys, "coherent_cells", F.sum("size")),
+        C.component_sizes(holes, keys).groupBy(*keys).agg(F.count("*").alias("enclosed_regions"), F.sum("size").alias("enclosed_cells")),
+        C.component_sizes(bands, keys).groupBy(*keys).agg(F.count("*").alias("coherent_components"), F.sum("size").alias("coherent_cells")),
         sample.groupBy(*keys).agg(F.count("*").alias("sampled_points"), F.max("stride").alias("proximity_stride"), F.max("capped").alias("proximity_capped")),
         _count(pairs, keys, "pair_count"),
         _count(project.incident_vertices(surf, keys), keys, "vertices_without_faces", F.count_if("without_face")),
     ]
     summary = G.vertex_integrity(surf, keys).join(refs, keys, "left").join(G.target_spacing(refs, cfg, keys), keys, "left")
-    for part in parts:
+    for part in counted:
         summary = summary.join(part, keys, "left")
     counters = [c for c in summary.columns if c.endswith(("_components", "_regions", "_cells", "_count", "_points"))]
     summary = summary.fillna(0, subset=counters)

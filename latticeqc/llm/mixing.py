@@ -7,8 +7,9 @@ leaf then takes whole seeded epochs and, from one more epoch in its own seeded o
 that fits.
 
 Everything is DataFrame code. Trees hold one row per node. The prefix of a leaf is found without sorting
-the leaf in one task: token sums per range of the seeded order give the range of the cut, and only that
-range is sorted. Texts are not shuffled: the cut is a filter on the seeded order.
+the leaf in one task: token sums of 256 ranges of the seeded order give the range of the cut, that range is
+cut in 256 again, and only what is left of it after the last step is sorted. Texts are not shuffled: the cut
+is a filter on the seeded order.
 
 Null level values are the branch ''. A document without tokens takes part with zero tokens. Rows with the
 same id have the same place in the order and go in or out together. A node of weight 0 gets nothing. A
@@ -41,7 +42,7 @@ class Mix:
     budget_percent: int = 60
     max_epochs: int = 2
     seed: str = "mix"
-    ranges: int = 3  # hex digits of the seeded order that name a range
+    steps: int = 3  # each narrows the cut 256 times
 
 
 def word_tokens(text: Column) -> Column:
@@ -102,13 +103,17 @@ def mix_documents(docs: DataFrame, levels: Sequence[Column], mix: Mix, tokens: C
     def order(identity: Column) -> Column:
         return F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("epochs").cast("string"), F.coalesce(identity, F.lit(""))))
 
-    ranked = slim.join(leaves, names).withColumn("place", order(F.col("id"))).withColumn("range", F.substring("place", 1, mix.ranges))
-    sums = ranked.groupBy(*names, "range").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
-    running = F.sum("n").over(Window.partitionBy(*names).orderBy("range"))
-    cut = sums.withColumn("upto", running).where("upto > rest").groupBy(*names).agg(F.min_by(F.struct("range", (F.col("upto") - F.col("n")).alias("before")), "range").alias("cut"))
-    cut = written(cut.select(*names, "cut.range", "cut.before"))
-    inside = ranked.join(cut, [*names, "range"])
-    peers = Window.partitionBy(*names, "range").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = written(slim.join(leaves, names).withColumn("place", order(F.col("id"))).select(*names, "place", "tokens"))
+    cut = leaves.select(*names, "rest", F.lit("").alias("prefix"), F.lit(0).cast("bigint").alias("before"))
+    within = Window.partitionBy(*names).orderBy("range")
+    for step in range(1, mix.steps + 1):
+        inside = ranked.join(cut, names).where(F.substring("place", 1, 2 * step - 2) == F.col("prefix"))
+        sums = inside.groupBy(*names, "rest", "before", F.substring("place", 1, 2 * step).alias("range")).agg(F.sum("tokens").alias("n"))
+        passed = sums.withColumn("upto", F.col("before") + F.sum("n").over(within)).where("upto > rest")
+        first = passed.groupBy(*names, "rest").agg(F.min_by(F.struct("range", (F.col("upto") - F.col("n")).alias("sum")), "range").alias("at"))
+        cut = written(first.select(*names, "rest", F.col("at.range").alias("prefix"), F.col("at.sum").alias("before")))
+    inside = ranked.join(cut, names).where(F.substring("place", 1, 2 * mix.steps) == F.col("prefix"))
+    peers = Window.partitionBy(*names).orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     last = inside.withColumn("upto", F.col("before") + F.sum("tokens").over(peers)).where("upto > rest").groupBy(*names).agg(F.min("place").alias("stop"))
     stops = written(leaves.join(last, names, "left"))
 

@@ -18,13 +18,14 @@ SPACING_CAP, COMPRESSED_MAX = 40, 8
 def score_rays(rays: DataFrame, threshold: float, keys: Sequence[str]) -> DataFrame:
     """One row per ray with an own label at the centre; flags as 0/1 counters.
 
-    A ray that meets another label is fused when every sample up to the nearest one clears the
+    The length is that of ``prob``, the centre its middle. A ray that meets another label is fused when every sample up to the nearest one clears the
     threshold; a ray that meets none is a false split when its own stretch does not.
     """
-    c, last = RAY_CENTER, RAY_SAMPLES - 1
+    c, last = "center", "last_place"
     t = f"double('{float(threshold)!r}')"
     at = f"sequence(0, {last})"
-    out = stage(rays, {"own": f"turn[{c}]"}).where("own > 0")
+    out = stage(rays, {"last_place": "size(prob) - 1", "center": "(size(prob) - 1) div 2"})
+    out = stage(out, {"own": f"turn[int({c})]"}).where("own > 0")
     out = stage(
         out,
         {
@@ -38,10 +39,10 @@ def score_rays(rays: DataFrame, threshold: float, keys: Sequence[str]) -> DataFr
         {
             "lo": f"CASE WHEN other IS NOT NULL THEN least(other, {c}) ELSE first END",
             "hi": f"CASE WHEN other IS NOT NULL THEN greatest(other, {c}) ELSE last END",
-            "seen": f"prob[{c}] >= {t}",
+            "seen": f"prob[int({c})] >= {t}",
         },
     )
-    out = stage(out, {"solid": f"forall(slice(prob, lo + 1, hi - lo + 1), p -> p >= {t})"})
+    out = stage(out, {"solid": f"forall(slice(prob, int(lo + 1), int(hi - lo + 1)), p -> p >= {t})"})
     flag = lambda text, name: f"CAST(coalesce({text}, false) AS INT) AS {name}"
     return out.selectExpr(
         *keys,

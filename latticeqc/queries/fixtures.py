@@ -216,8 +216,8 @@ class Fixtures:
         return self.table("embeddings").selectExpr(
             "CAST(label AS STRING) AS cell",
             "vec_id AS ray_id",
-            "transform(slice(embedding,1,49), v -> 5e-1+2*CAST(v AS DOUBLE)) AS prob",
-            "transform(sequence(0,48), i -> CAST(CASE WHEN abs(i-24)<=2 THEN 1 WHEN vec_id%3<>0 AND i=24+4+vec_id%7 THEN 2 ELSE 0 END AS INT)) AS turn",
+            "transform(embedding, v -> 5e-1+2*CAST(v AS DOUBLE)) AS prob",
+            "transform(sequence(0,size(embedding)-1), i -> CAST(CASE WHEN abs(i-31)<=2 THEN 1 WHEN vec_id%3<>0 AND i=31+4+vec_id%7 THEN 2 ELSE 0 END AS INT)) AS turn",
         )
 
     @cached_property
@@ -262,7 +262,7 @@ CTES: dict[str, str] = {
     "annotations_fx": "SELECT event_id%10 AS package_id, event_id AS point_id, event_type<>'error' AS valid, (event_id*37%4900)/1e2 AS h,"
     " (event_id*91%6300)/1e2 AS w FROM events",
     "instance_map": "SELECT package_id, r AS y, c AS x, CASE WHEN c%9=3 THEN 11+package_id*10+CAST(floor(c/9) AS INT) ELSE 0 END AS label FROM grid_raw",
-    "rays_fx": "SELECT CAST(label AS VARCHAR) AS cell, vec_id AS ray_id, list_transform(embedding[1:49], lambda v: 5e-1+2*CAST(v AS DOUBLE)) AS prob,"
-    " list_transform(generate_series(0,48), lambda i: CASE WHEN abs(i-24)<=2 THEN 1 WHEN vec_id%3<>0 AND i=24+4+vec_id%7 THEN 2 ELSE 0 END) AS turn FROM embeddings",
+    "rays_fx": "SELECT CAST(label AS VARCHAR) AS cell, vec_id AS ray_id, list_transform(embedding, lambda v: 5e-1+2*CAST(v AS DOUBLE)) AS prob,"
+    " list_transform(generate_series(0,63), lambda i: CASE WHEN abs(i-31)<=2 THEN 1 WHEN vec_id%3<>0 AND i=31+4+vec_id%7 THEN 2 ELSE 0 END) AS turn FROM embeddings",
     "logs_fx": _duck(f"SELECT doc_id, n_chars, {LOG_TEXT} AS log FROM documents"),
 }

@@ -12,7 +12,7 @@ from latticeqc.queries.contract_queries import whole
 from latticeqc.queries.grid_queries import CFG, K, cells, frame
 from latticeqc.queries.registry import define, query
 from latticeqc.queries.sql import above, below, r6
-from latticeqc.queries.topology_queries import DIGEST_SQL, near_pairs
+from latticeqc.queries.topology_queries import DIGEST_SQL, component_blocks, near_pairs
 from latticeqc.session import materialize
 
 # --- SQL: one summary row per package ------------------------------------------------------------
@@ -72,20 +72,34 @@ for _code in (
     "degenerate-triangles", "folded-quads", "triangulation-sensitive", "anisotropic-cells", "symmetric-stretch", "area-distortion", "high-shear", "high-distortion",
 ):
     _cue(_code, _counted, "cell_count")
-for _code in ("long-edges", "short-edges"):
-    _cue(_code, _counted, "edge_count")
+_cue("long-edges", _counted, "edge_count")
+# The surfaces have no edge of half the median length; the rule is shown with a narrower limit.
+NARROW = ReviewConfig(short_edge_ratio=0.98)
+_cue(
+    "short-edges",
+    lambda fx: G.cell_counts(G.surface_frame(fx.surf, G.spacing_reference(fx.surf, NARROW), NARROW), NARROW),
+    "(SELECT package_id, count(*) FILTER (ratio<98e-2) AS short_edges FROM edge_ratio GROUP BY 1)",
+)
 _cue("normal-jumps", _counted, "jump_count")
 TARGET = ReviewConfig(expected_spacing_x=0.8, expected_spacing_y=1.1)
 define("spaced", "SELECT package_id, sqrt(fx*fy) AS isotropic, greatest(fx/fy,fy/fx) AS anisotropy FROM (SELECT package_id, obs_h/8e-1 AS fx, obs_v/11e-1 AS fy FROM refs)")
-for _code in ("global-spacing-drift", "global-spacing-anisotropy"):
-    _cue(_code, lambda fx: G.target_spacing(G.spacing_reference(fx.surf, TARGET), TARGET), "spaced")
+_cue("global-spacing-anisotropy", lambda fx: G.target_spacing(G.spacing_reference(fx.surf, TARGET), TARGET), "spaced")
+FAR_TARGET = ReviewConfig(expected_spacing_x=0.5, expected_spacing_y=0.5)
+_cue(
+    "global-spacing-drift",
+    lambda fx: G.target_spacing(G.spacing_reference(fx.surf, FAR_TARGET), FAR_TARGET),
+    "(SELECT package_id, sqrt((obs_h/5e-1)*(obs_v/5e-1)) AS isotropic FROM refs)",
+)
 
 
 def _sized(name, table):
     return f"(SELECT package_id, count(*) AS {name} FROM {table} GROUP BY 1)"
 
 
-_cue("disconnected-vertices", lambda fx: C.component_sizes(C.label_runs(fx.surf.where("valid"))).groupBy("package_id").agg(F.count("*").alias("vertex_components")), _sized("vertex_components", "vc_size"))
+# Without every ninth column the valid vertices fall apart in strips.
+STRIPS = "valid AND col%9<>3"
+component_blocks("strip", f"SELECT package_id, row, col FROM surf WHERE {STRIPS}", 4)
+_cue("disconnected-vertices", lambda fx: C.component_sizes(C.label_runs(fx.surf.where(STRIPS))).groupBy("package_id").agg(F.count("*").alias("vertex_components")), _sized("vertex_components", "strip_size"))
 _cue(
     "enclosed-gaps",
     lambda fx: R.hole_runs(grid.quad_cells(fx.surf), R.cell_shapes(fx.surf)).groupBy("package_id").agg(F.count_distinct("label").alias("enclosed_regions")),

@@ -205,7 +205,19 @@ def evidence_index(fx):
     return P.evidence_index(fx.files)
 
 
-@query("write_report_json")
+_COUNTERS = {
+    "height": "max(row)+1", "mask_disagreement": "count(*) FILTER (explicit_mask IS NOT NULL AND valid<>(isfinite(z) AND z>0))",
+    "nonfinite_count": "count(*) FILTER (NOT fin)", "nonfinite_valid": "count(*) FILTER (valid AND NOT fin)", "package_id": "package_id",
+    "partial_sentinel": "count(*) FILTER ((x=-1 OR y=-1 OR z=-1) AND NOT (x=-1 AND y=-1 AND z=-1))",
+    "sentinel_count": "count(*) FILTER (x=-1 AND y=-1 AND z=-1)", "valid_count": "count(*) FILTER (valid)", "vertex_count": "count(*)", "width": "max(col)+1",
+}
+_REPORT_JSON = (
+    "SELECT package_id, concat('{'," + ",',',".join(f"'\"{name}\":',{value}" for name, value in _COUNTERS.items()) + ",'}') AS document"
+    " FROM (SELECT *, isfinite(x) AND isfinite(y) AND isfinite(z) AS fin FROM surf) GROUP BY 1"
+)
+
+
+@query("write_report_json", _REPORT_JSON)
 def write_report_json(fx):
     return P.report_json(G.vertex_integrity(fx.surf), "package_id")
 

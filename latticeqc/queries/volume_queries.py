@@ -11,18 +11,18 @@ from latticeqc.queries.sql import r6
 
 # --- rays ----------------------------------------------------------------------------------------
 
-define("ray_rows", "SELECT cell, ray_id, i, turn[i+1] AS t, prob[i+1] AS p, turn[25] AS own FROM rays_fx CROSS JOIN (SELECT unnest(generate_series(0,48)) AS i) WHERE turn[25]>0")
+define("ray_rows", "SELECT cell, ray_id, i, turn[i+1] AS t, prob[i+1] AS p, turn[32] AS own FROM rays_fx CROSS JOIN (SELECT unnest(generate_series(0,63)) AS i) WHERE turn[32]>0")
 define(
     "ray_span",
-    """SELECT cell, ray_id, first(i ORDER BY abs(i-24), i) FILTER (t>0 AND t<>own) AS other, coalesce(max(i) FILTER (i<24 AND t<>own)+1,0) AS a, coalesce(min(i) FILTER (i>24 AND t<>own)-1,48) AS b
+    """SELECT cell, ray_id, first(i ORDER BY abs(i-31), i) FILTER (t>0 AND t<>own) AS other, coalesce(max(i) FILTER (i<31 AND t<>own)+1,0) AS a, coalesce(min(i) FILTER (i>31 AND t<>own)-1,63) AS b
        FROM ray_rows GROUP BY 1,2""",
 )
 define(
     "ray_scores",
     """SELECT s.cell, s.ray_id, CAST(other IS NOT NULL AS INT) AS neighbour_sites, CAST(other IS NOT NULL AND seen AS INT) AS detected_sites, CAST(other IS NOT NULL AND seen AND solid AS INT) AS fused_sites,
        CAST(other IS NULL AS INT) AS control_sites, CAST(other IS NULL AND NOT solid AS INT) AS false_splits FROM ray_span s JOIN
-       (SELECT r.cell, r.ray_id, bool_and(p>=45e-2) FILTER (i BETWEEN coalesce(least(other,24),a) AND coalesce(greatest(other,24),b)) AS solid, bool_and(p>=45e-2) FILTER (i=24) AS seen
-        FROM ray_rows r JOIN ray_span s ON s.cell=r.cell AND s.ray_id=r.ray_id GROUP BY 1,2) q ON q.cell=s.cell AND q.ray_id=s.ray_id""".replace("coalesce(least(other,24),a)", "CASE WHEN other IS NULL THEN a ELSE least(other,24) END").replace("coalesce(greatest(other,24),b)", "CASE WHEN other IS NULL THEN b ELSE greatest(other,24) END"),
+       (SELECT r.cell, r.ray_id, bool_and(p>=45e-2) FILTER (i BETWEEN coalesce(least(other,31),a) AND coalesce(greatest(other,31),b)) AS solid, bool_and(p>=45e-2) FILTER (i=31) AS seen
+        FROM ray_rows r JOIN ray_span s ON s.cell=r.cell AND s.ray_id=r.ray_id GROUP BY 1,2) q ON q.cell=s.cell AND q.ray_id=s.ray_id""".replace("coalesce(least(other,31),a)", "CASE WHEN other IS NULL THEN a ELSE least(other,31) END").replace("coalesce(greatest(other,31),b)", "CASE WHEN other IS NULL THEN b ELSE greatest(other,31) END"),
 )
 
 
@@ -55,6 +55,18 @@ def rate_deltas_and_gates(fx):
     return scoring.rate_gates(armed, ("control", "gap")).withColumns({c: rounded(F.col(c)) for c in ("fusion_delta", "detection_delta", "split_delta")})
 
 
+@query(
+    "gate_totals",
+    """SELECT bool_and(f<=-1e-1) AS all_fusion, bool_and(d>=-2e-2) AS all_detection, bool_and(s<=2e-2) AS all_split FROM
+       (SELECT CAST(cell AS INT)//2 AS seed, max(fusion_rate) FILTER (CAST(cell AS INT)%2=1)-max(fusion_rate) FILTER (CAST(cell AS INT)%2=0) AS f, max(detection_rate) FILTER (CAST(cell AS INT)%2=1)-max(detection_rate) FILTER (CAST(cell AS INT)%2=0) AS d,
+        max(false_split_rate) FILTER (CAST(cell AS INT)%2=1)-max(false_split_rate) FILTER (CAST(cell AS INT)%2=0) AS s FROM pooled GROUP BY 1)""",
+)
+def gate_totals(fx):
+    pooled = scoring.pool_counts(V.score_rays(fx.rays, 0.45, ["cell"]), ["cell"])
+    armed = pooled.selectExpr("*", "CAST(cell AS INT) div 2 AS seed", "CASE WHEN CAST(cell AS INT)%2=1 THEN 'gap' ELSE 'control' END AS arm")
+    return scoring.gate_totals(scoring.rate_gates(armed, ("control", "gap")))
+
+
 # --- voxels --------------------------------------------------------------------------------------
 
 define("vox", "SELECT package_id, package_id%3 AS z, y, x, label FROM instance_map")

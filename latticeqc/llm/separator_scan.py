@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from latticeqc.llm.common import arrow_pass, inputs
+from latticeqc.llm.common import arrow_pass, inputs, written
 
 BLOCK_BYTES = 1 << 20
 #: Blocks whose counts one window adds up; the next level adds up the groups.
@@ -118,7 +118,8 @@ def scan_blocks(blocks: DataFrame, end_id: int, width: int = 2, file_col: str =
 
 def count_tokens(blocks: DataFrame, end_id: int, width: int = 2, file_col: str = "file", block_col: str = "block", payload_col: str = "payload") -> DataFrame:
     """``file, doc_no, n_tokens, closed``: one row per document of each file, numbered from 0 in file order."""
-    found = _before(scan_blocks(blocks, end_id, width, file_col, block_col, payload_col), "n_sep")
+    # Written: the counts are read several times, the files only once.
+    found = _before(written(scan_blocks(blocks, end_id, width, file_col, block_col, payload_col)), "n_sep")
     whole = found.select("file", "before", F.posexplode("inner").alias("k", "n_tokens"))
     whole = whole.select("file", (F.col("before") + 1 + F.col("k")).alias("doc_no"), "n_tokens", F.lit(True).alias("closed"))
     ends = F.array(

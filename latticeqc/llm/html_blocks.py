@@ -40,6 +40,8 @@ def _features(tag: str, attributes: str) -> tuple[str, ...]:
 def blocks(page: str) -> list[Block]:
     """Blocks in page order; white space inside a block is one space, character references are decoded.
 
+    The path of a block is that of the laid-out elements around it; inline elements are not in it.
+
     Scripts, styles, comments and the like have no text. ``br`` is white space. Unclosed elements end where HTML
     ends them: a paragraph at the next block, a list item at the next item.
     """
@@ -52,7 +54,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(f for t, fs in stack if t not in INLINE for f in fs), min(state["linked"], len(text))))
+                out.append(Block(text, stack[-1][1] if stack else (), min(state["linked"], len(text))))
             parts.clear()
         state["linked"] = 0
 
@@ -106,7 +108,8 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[k][0] in WALLS:
                     break
-        stack.append((tag, _features(tag, found[3] or found[6] or "")))
+        above = stack[-1][1] if stack else ()
+        stack.append((tag, above if tag in INLINE else above + _features(tag, found[3] or found[6] or "")))
         state["anchor"] += tag == "a"
     flush()
     return out

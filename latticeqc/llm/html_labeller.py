@@ -63,19 +63,16 @@ def said_label(path: tuple[str, ...]) -> int:
 
 
 class Features:
-    """Vectors of blocks; the words and path steps seen are kept up to a bound."""
+    """Vectors of blocks; the paths seen are kept up to a bound."""
+
+    #: Weights of the places in a word; a word's hash is the weighted sum of its bytes.
+    WEIGHTS = np.random.default_rng(11).integers(1, 1 << 62, 64, dtype=np.uint64) | np.uint64(1)
+    MARKS = np.isin(np.arange(256), list(b".,;:!?"))
 
     def __init__(self, limit: int = 200_000):
         self.limit = limit
-        self.words: dict[str, int] = {}
         self.paths: dict[tuple, list[int]] = {}
 
-    def _word(self, word: str) -> int:
-        if len(self.words) > self.limit:
-            self.words.clear()
-        place = self.words[word] = zlib.crc32(word.encode("utf-8", "replace")) % WORDS
-        return place
-
     def _path(self, path: tuple[str, ...]) -> list[int]:
         if len(self.paths) > self.limit:
             self.paths.clear()
@@ -83,21 +80,38 @@ class Features:
         places = self.paths[path] = sorted({zlib.crc32(s.encode()) % PATH for s in steps})
         return places
 
-    def page(self, found: list[Block]) -> np.ndarray:
+    def pages(self, pages: list[list[Block]]) -> list[np.ndarray]:
+        """One matrix per page. All words of all blocks are hashed in a few array steps."""
+        found = [b for page in pages for b in page]
         out = np.zeros((len(found), PATH + WORDS + MEASURES), np.float32)
-        known, paths = self.words.get, self.paths.get
+        if not found:
+            return [out for _ in pages]
+        known = self.paths.get
         for row, block in enumerate(found):
-            out[row, paths(block.path) or self._path(block.path)] = 1
-            words = block.text.split()
-            places = [p if (p := known(w)) is not None else self._word(w) for w in words]
-            count = np.bincount(places, minlength=WORDS)
-            out[row, PATH : PATH + WORDS] = count / np.sqrt((count * count).sum() + 1e-9)
-            size = len(block.text)
-            marks = sum(block.text.count(c) for c in ".,;:!?")
-            out[row, -MEASURES:] = (
-                np.log1p(size) / 8, np.log1p(len(words)) / 6, block.linked / size, 10 * marks / size, block.text[-1] in ".!?", row / len(found), 1 / (row + 1), 1 / (len(found) - row)
-            )
-        return out
+            out[row, known(block.path) or self._path(block.path)] = 1
+        text = np.frombuffer("\n".join(b.text for b in found).encode("utf-8", "replace"), np.uint8)  # texts have single spaces only
+        breaks = np.flatnonzero((text == 32) | (text == 10))
+        starts = np.concatenate([[0], breaks + 1])
+        lengths = np.diff(np.concatenate([starts, [len(text) + 1]])) - 1
+        place = np.arange(len(text)) - np.repeat(starts, lengths + 1)[: len(text)]
+        value = np.where((text == 32) | (text == 10), 0, text).astype(np.uint64)
+        hashes = np.add.reduceat(value * self.WEIGHTS[place % 64], starts)
+        block_of = np.cumsum(np.concatenate([[0], text[breaks] == 10]))
+        slot = ((hashes ^ (hashes >> np.uint64(33))) % np.uint64(WORDS)).astype(np.int64)
+        count = np.bincount(block_of * WORDS + slot, minlength=len(found) * WORDS).reshape(len(found), WORDS)
+        out[:, PATH : PATH + WORDS] = count / np.sqrt((count * count).sum(axis=1, keepdims=True) + 1e-9)
+        words = np.bincount(block_of, minlength=len(found))
+        line = np.cumsum(np.concatenate([[0], text == 10]))[:-1]
+        marks = np.bincount(line[self.MARKS[text]], minlength=len(found))
+        size = np.array([len(b.text) for b in found])
+        sizes = np.array([len(p) for p in pages if p])
+        row = np.arange(len(found)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        full = np.repeat(sizes, sizes)
+        out[:, -MEASURES:] = np.stack([
+            np.log1p(size) / 8, np.log1p(words) / 6, np.array([b.linked for b in found]) / size, 10 * marks / size,
+            np.array([b.text[-1] in ".!?" for b in found]), row / full, 1 / (row + 1), 1 / (full - row),
+        ], axis=1)
+        return np.split(out, np.cumsum([len(p) for p in pages])[:-1])
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -180,8 +194,7 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def fit(pages: list[list[Block]], labels: list[list[int]], labeller: Labeller) -> BiLstm:
     """Adam on batches of pages of similar length."""
     rng = np.random.default_rng(labeller.seed)
-    features = Features()
-    vectors = [features.page(p) for p in pages]
+    vectors = Features().pages(pages)
     net = BiLstm.fresh(PATH + WORDS + MEASURES, labeller.hidden, rng)
     first, second, step = {k: np.zeros_like(v) for k, v in net.w.items()}, {k: np.zeros_like(v) for k, v in net.w.items()}, 0
     order = np.argsort([len(v) for v in vectors], kind="stable")
@@ -289,7 +302,10 @@ def compose(paragraphs: list[str], rng) -> tuple[list[Block], list[int]]:
 def train(pages: DataFrame, labeller: Labeller = Labeller(), id_col: str = "page_id", html_col: str = "html") -> BiLstm | None:
     """The labeller fitted on at most ``sample`` pages and ``composed`` made ones; None without a page."""
     rows = inputs(pages, page=id_col, html=html_col).where("html is not null and html <> ''")
-    picked = rows.orderBy(F.xxhash64("page", "html"), "page").limit(labeller.sample).select("html").collect()
+    # First only the hashes: the pages themselves come to the driver once, not from every task.
+    hashed = rows.withColumn("place", F.xxhash64("page", "html"))
+    last = hashed.select("place").orderBy("place").limit(labeller.sample).agg(F.max("place")).first()[0]
+    picked = sorted(hashed.where(F.col("place") <= last).select("place", "html").limit(labeller.sample).collect()) if last is not None else []
     real = [found for found in (blocks(r.html) for r in picked) if found]
     paragraphs = [b.text for page in real for b in page if said_label(b.path)] or [b.text for page in real for b in page]
     if not paragraphs:
@@ -308,7 +324,7 @@ def label_pages(net: BiLstm | None, pages: list[list[Block]], features: Features
     while at < len(full) and net is not None:
         size = max(1, min(64, 4096 // len(pages[full[min(at + 63, len(full) - 1)]])))
         part = full[at : at + size]
-        x, mask = padded([features.page(pages[k]) for k in part])
+        x, mask = padded(features.pages([pages[k] for k in part]))
         p = net.forward(x, mask)[0]
         for row, k in enumerate(part):
             out[k] = p[row, : len(pages[k])]

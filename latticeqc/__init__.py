@@ -3,6 +3,7 @@
 from latticeqc.config import ReviewConfig
 from latticeqc.plans.contract_report import contract_report, scan_report
 from latticeqc.plans.folders import load_folder, read_folder, review_folder, scan_folder
+from latticeqc.plans.full_review import full_review
 from latticeqc.plans.geometry_report import geometry_report
 from latticeqc.plans.perturbation import perturbation_benchmark
 from latticeqc.plans.scoring import paired_report, threshold_selection
@@ -12,6 +13,7 @@ from latticeqc.sources.surfaces import load_surface
 __all__ = [
     "ReviewConfig",
     "contract_report",
+    "full_review",
     "geometry_report",
     "isolated_split",
     "load_folder",

@@ -283,3 +283,36 @@ def tagged_value(value: Column) -> list[Column]:
         F.when(F.isnan(value), "nan").when(value == float("inf"), "positive_infinity").when(value == float("-inf"), "negative_infinity")
     )
     return [F.when(is_finite(value), value).alias("value"), tag.alias("nonfinite")]
+
+
+# Metric names and the columns that they summarize.
+METRICS = {
+    "horizontal_edge_length": "h_len_ok",
+    "vertical_edge_length": "v_len_ok",
+    "horizontal_observed_ratio": "h_ratio",
+    "vertical_observed_ratio": "v_ratio",
+    "quad_area": "area",
+    "triangle_normalized_area_sine": ("sine_a", "sine_b"),
+    "official_diagonal_fold_cosine": "fold_cosine",
+    "alternate_diagonal_fold_cosine": "alt_fold_cosine",
+    "condition_number": "condition_number",
+    "symmetric_stretch": "symmetric_stretch",
+    "area_ratio": "area_ratio",
+    "shear": "shear",
+    "symmetric_dirichlet": "symmetric_dirichlet",
+    "normal_jump_degrees": ("h_angle", "v_angle"),
+    "horizontal_step": "top_step",
+    "vertical_step": "left_step",
+}
+
+
+def metric_rows(frame_df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Frame to long form ``keys, metric, value``."""
+    marked = frame_df.withColumns({"h_len_ok": F.when(F.col("h_ok"), F.col("h_len")), "v_len_ok": F.when(F.col("v_ok"), F.col("v_len"))})
+    entries = [
+        F.struct(F.lit(m).alias("metric"), F.col(c).alias("value"))
+        for m, cols in METRICS.items()
+        for c in ([cols] if isinstance(cols, str) else cols)
+    ]
+    usable = F.filter(F.array(*entries), lambda e: is_finite(e["value"]))
+    return marked.select(*keys, F.explode(usable).alias("e")).select(*keys, "e.metric", "e.value")

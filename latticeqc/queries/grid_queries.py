@@ -282,24 +282,6 @@ def review_score(fx):
     return cells(fx).select(*K, rounded(F.col("local_score")).alias("score"))
 
 
-METRICS = {
-    "horizontal_edge_length": "h_len_ok",
-    "vertical_edge_length": "v_len_ok",
-    "horizontal_observed_ratio": "h_ratio",
-    "vertical_observed_ratio": "v_ratio",
-    "quad_area": "area",
-    "triangle_normalized_area_sine": ("sine_a", "sine_b"),
-    "official_diagonal_fold_cosine": "fold_cosine",
-    "alternate_diagonal_fold_cosine": "alt_fold_cosine",
-    "condition_number": "condition_number",
-    "symmetric_stretch": "symmetric_stretch",
-    "area_ratio": "area_ratio",
-    "shear": "shear",
-    "symmetric_dirichlet": "symmetric_dirichlet",
-    "normal_jump_degrees": ("h_angle", "v_angle"),
-    "horizontal_step": "top_step",
-    "vertical_step": "left_step",
-}
 _cell_metric = lambda m, c: f"SELECT package_id, '{m}' AS metric, {c} AS v FROM cells"
 define(
     "metric_values",
@@ -310,7 +292,7 @@ define(
         + [f"SELECT package_id, '{d}_observed_ratio' AS metric, ratio AS v FROM edge_ratio WHERE direction='{d}'" for d in ("horizontal", "vertical")]
         + [
             _cell_metric(m, c)
-            for m, cols in METRICS.items()
+            for m, cols in G.METRICS.items()
             for c in ([cols] if isinstance(cols, str) else cols)
             if c in ("area", "sine_a", "sine_b", "fold_cosine", "alt_fold_cosine", "condition_number", "symmetric_stretch", "area_ratio", "shear", "symmetric_dirichlet")
         ]
@@ -322,21 +304,9 @@ METRIC_SQL = f"""SELECT package_id, metric, count(*) AS count, {r6('min(v)')} AS
   {r6('quantile_cont(v,95e-2)')} AS p95, {r6('max(v)')} AS max FROM metric_values WHERE v IS NOT NULL AND isfinite(v) GROUP BY 1,2"""
 
 
-def metric_rows(frame_df: DataFrame, keys=("package_id",)) -> DataFrame:
-    """Frame to long form ``keys, metric, value``."""
-    marked = frame_df.withColumns({"h_len_ok": F.when(F.col("h_ok"), F.col("h_len")), "v_len_ok": F.when(F.col("v_ok"), F.col("v_len"))})
-    entries = [
-        F.struct(F.lit(m).alias("metric"), F.col(c).alias("value"))
-        for m, cols in METRICS.items()
-        for c in ([cols] if isinstance(cols, str) else cols)
-    ]
-    usable = F.filter(F.array(*entries), lambda e: is_finite(e["value"]))
-    return marked.select(*keys, F.explode(usable).alias("e")).select(*keys, "e.metric", "e.value")
-
-
 @query("metric_summary", METRIC_SQL)
 def metric_summary(fx):
-    rows = summary(metric_rows(frame(fx)), ["package_id"], "metric", "value", 2 * largest_group(fx.vertices, ["package_id"]))
+    rows = summary(G.metric_rows(frame(fx)), ["package_id"], "metric", "value", 2 * largest_group(fx.vertices, ["package_id"]))
     return rows.select("package_id", "metric", "count", *[rounded(F.col(c)).alias(c) for c in ("min", "p05", "p50", "p95", "max")])
 
 

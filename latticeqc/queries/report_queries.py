@@ -7,12 +7,13 @@ from latticeqc.functions.numeric import finite_or_null, rounded
 from latticeqc.operators import components as C
 from latticeqc.operators import geometry as G
 from latticeqc.operators import grid
+from latticeqc.plans.full_review import DOUBLE, SINGLE, full_review
 from latticeqc.plans import geometry_report as R
 from latticeqc.queries.contract_queries import whole
-from latticeqc.queries.grid_queries import CFG, K, cells, frame
+from latticeqc.queries.grid_queries import CFG, K, METRIC_SQL, cells, frame
 from latticeqc.queries.registry import define, query
 from latticeqc.queries.sql import above, below, r6
-from latticeqc.queries.topology_queries import DIGEST_SQL, component_blocks, near_pairs
+from latticeqc.queries.topology_queries import DIGEST_SQL, REGION_RANKS, component_blocks, near_pairs
 from latticeqc.session import materialize
 
 # --- SQL: one summary row per package ------------------------------------------------------------
@@ -140,8 +141,6 @@ define(
        FROM (SELECT *, CASE WHEN isnan(v) THEN CAST('NaN' AS DOUBLE) ELSE round(v,9) END AS w FROM flagged)""",
 )
 LISTED = "CASE WHEN isfinite(w) THEN round(w,6)+0e0 END AS value, CASE WHEN isnan(w) THEN 'nan' WHEN isinf(w) AND w>0 THEN 'positive_infinity' WHEN isinf(w) THEN 'negative_infinity' END AS nonfinite"
-SINGLE = [c for c, e in G.EXAMPLES.items() if len(e) == 1]
-DOUBLE = [c for c, e in G.EXAMPLES.items() if len(e) == 2]
 
 
 def _found(fx, cues):
@@ -241,6 +240,26 @@ def audit_signature(fx):
     return R.signature(R.geometry_report(fx.surf, CFG))
 
 
+def _review(fx):
+    return full_review(fx.surf, CFG)
+
+
+@query("review_distributions", METRIC_SQL)
+def review_distributions(fx):
+    rows = _review(fx).distributions
+    return rows.select("package_id", "metric", "count", *[rounded(F.col(c)).alias(c) for c in ("min", "p05", "p50", "p95", "max")])
+
+
+@query("review_locations", f"SELECT package_id, cue, tag, rank, row, col, {LISTED} FROM ranked WHERE rank<=50 AND cue IN ({_names(SINGLE)})")
+def review_locations(fx):
+    return _out(_review(fx).locations)
+
+
+@query("review_regions", REGION_RANKS)
+def review_regions(fx):
+    return _review(fx).regions.withColumns({c: rounded(F.col(c)) for c in ("centroid_row", "centroid_col")})
+
+
 @query(
     "benchmark_snapshot",
     """SELECT g.package_id, s.status AS contract_status, CAST(s.errors AS BIGINT) AS contract_errors, vertex_components, enclosed_regions, long_edges, folded_quads, normal_jumps, high_shear, codes FROM geo_facts g

@@ -8,7 +8,7 @@ from latticeqc.operators import digest, project
 from latticeqc.operators import geometry as G
 from latticeqc.plans import reporting as P
 
-from latticeqc.queries.grid_queries import CFG, K, METRIC_SQL, cells, frame, metric_rows
+from latticeqc.queries.grid_queries import CFG, K, METRIC_SQL, cells, frame
 from latticeqc.queries.registry import define, query
 from latticeqc.queries.sql import fr6, r6, set_digest_sql
 from latticeqc.queries.topology_queries import DIGEST_SQL, graph
@@ -289,7 +289,7 @@ define("metric_table", METRIC_SQL)
 def summary_table(fx):
     from latticeqc.operators.quantiles import largest_group, summary
 
-    rows = metric_rows(frame(fx)).where(F.col("metric").isin(TABLE_METRICS))
+    rows = G.metric_rows(frame(fx)).where(F.col("metric").isin(TABLE_METRICS))
     table = summary(rows, ["package_id"], "metric", "value", 2 * largest_group(fx.vertices, ["package_id"]))
     return P.unpivot_summary(table).select("package_id", "metric", "stat", rounded(F.col("value")).alias("value"))
 

@@ -95,10 +95,10 @@ REGION_SQL = """SELECT package_id, label, CAST(sum(hi-lo+1) AS BIGINT) AS cell_c
   round(sum(row*(hi-lo+1))*1e0/sum(hi-lo+1),6)+0e0 AS centroid_row, round(sum((lo+hi)*(hi-lo+1)/2e0)/sum(hi-lo+1),6)+0e0 AS centroid_col FROM holes GROUP BY 1,2"""
 
 
-@query(
-    "region_summary",
-    f"SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY cell_count DESC, label) AS rank, count(*) OVER (PARTITION BY package_id) AS total, false AS truncated FROM ({REGION_SQL})",
-)
+REGION_RANKS = f"SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY cell_count DESC, label) AS rank, count(*) OVER (PARTITION BY package_id) AS total, false AS truncated FROM ({REGION_SQL})"
+
+
+@query("region_summary", REGION_RANKS)
 def region_summary(fx):
     surf = fx.surf
     regions = C.region_summary(hole_runs(grid.quad_cells(surf), cell_shapes(surf)))

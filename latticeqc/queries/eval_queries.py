@@ -399,20 +399,24 @@ def set_match(fx):
     return S.set_match(fx.requested_dirs, observed, "dir")
 
 
-RULES = "schema_ok, ids_ok, config_ok, ladder_ok, radius_ok"
+# What a frozen protocol fixes, and for which runs the observed one differs.
+PROTOCOL = {"schema": (50, 1), "ids": (60, 2), "config": (70, 3), "offsets": (80, 4), "widths": (90, 5), "radius": (110, 6), "leaked": (130, 7)}
+_KEPT = {c: f"(o.o_orderkey IS NOT NULL AND l.k IS NOT NULL AND coalesce(l.k,o.o_orderkey)%{m}<>{r})" for c, (m, r) in PROTOCOL.items()}
 
 
 @query(
     "frozen_protocol_guard",
-    """SELECT o_custkey AS run, bool_and(o_orderkey%50<>1) AS schema_ok, bool_and(o_orderkey%60<>2) AS ids_ok, bool_and(o_orderkey%60<>2 AND o_orderkey%50<>1) AS passed FROM orders GROUP BY 1""",
+    "SELECT coalesce(l.k,o.o_orderkey)//100 AS run, "
+    + ", ".join(f"bool_and({ok}) AS {c}_ok" for c, ok in _KEPT.items())
+    + f", bool_and({' AND '.join(_KEPT.values())}) AS passed FROM orders o FULL JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem) l ON l.k=o.o_orderkey GROUP BY 1",
 )
 def frozen_protocol_guard(fx):
-    frozen = fx.table("orders").selectExpr("o_orderkey", "'v1' AS schema", "sha2(CAST(o_orderkey AS STRING),256) AS ids")
-    seen = fx.table("orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey%50=1 THEN 'v0' ELSE 'v1' END AS schema", "CASE WHEN o_orderkey%60=2 THEN '' ELSE sha2(CAST(o_orderkey AS STRING),256) END AS ids")
-    checked = S.expected_vs_actual(frozen, seen, ["o_orderkey"], ["schema", "ids"])
-    return checked.join(fx.table("orders").select("o_orderkey", "o_custkey"), "o_orderkey").groupBy(F.col("o_custkey").alias("run")).agg(
-        F.bool_and("schema_ok").alias("schema_ok"), F.bool_and("ids_ok").alias("ids_ok"), F.bool_and("passed").alias("passed")
-    )
+    frozen = fx.table("orders").selectExpr("o_orderkey AS k", *[f"sha2('{c}:frozen', 256) AS {c}" for c in PROTOCOL])
+    runs = fx.table("lineitem").selectExpr("l_orderkey AS k").distinct()
+    seen = runs.selectExpr("k", *[f"sha2(CASE WHEN k%{m}={r} THEN '{c}:changed' ELSE '{c}:frozen' END, 256) AS {c}" for c, (m, r) in PROTOCOL.items()])
+    checked = S.expected_vs_actual(frozen, seen, ["k"], list(PROTOCOL))
+    flags = [f"{c}_ok" for c in PROTOCOL] + ["passed"]
+    return checked.groupBy(F.expr("k div 100").alias("run")).agg(*[F.bool_and(c).alias(c) for c in flags])
 
 
 @query(

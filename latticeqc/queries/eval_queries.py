@@ -299,12 +299,12 @@ def _boot(units: str, keys: list[str], seed: str, iterations: int) -> str:
 UNITS = "SELECT split, component_id AS unit, count(*) FILTER (detected)*1e0 AS num, count(*)*1e0 AS den FROM cases_fx GROUP BY 1,2"
 
 
-@query("cluster_bootstrap", _boot(UNITS, ["split"], "boot-1", 200))
+@query("cluster_bootstrap", _boot(UNITS, ["split"], "boot-1", 10_000))
 def cluster_bootstrap(fx):
     units = cases(fx).groupBy("split", F.col("component_id").alias("unit")).agg(
         F.count_if("detected").cast("double").alias("num"), F.count("*").cast("double").alias("den")
     )
-    out = S.cluster_bootstrap(units, ["split"], "unit", "boot-1", 200)
+    out = S.cluster_bootstrap(units, ["split"], "unit", "boot-1", 10_000)
     return out.withColumns({c: rounded(F.col(c)) for c in ("estimate", "low", "high")})
 
 
@@ -342,9 +342,9 @@ def paired_delta(fx):
     return both.withColumn("delta", rounded(F.col("delta")))
 
 
-@query("bootstrap_mean_interval", _boot("SELECT concat('seed ',CAST(seed AS VARCHAR)) AS scope, patch AS unit, delta AS num, 1e0 AS den FROM deltas UNION ALL SELECT 'pooled', patch, avg(delta), 1e0 FROM deltas GROUP BY patch", ["scope"], "boot-2", 200))
+@query("bootstrap_mean_interval", _boot("SELECT concat('seed ',CAST(seed AS VARCHAR)) AS scope, patch AS unit, delta AS num, 1e0 AS den FROM deltas UNION ALL SELECT 'pooled', patch, avg(delta), 1e0 FROM deltas GROUP BY patch", ["scope"], "boot-2", 10_000))
 def bootstrap_mean_interval(fx):
-    out = S.paired_report(armed(fx), ("control", "gap"), "boot-2", 200)
+    out = S.paired_report(armed(fx), ("control", "gap"), "boot-2", 10_000)
     return out.withColumns({c: rounded(F.col(c)) for c in ("estimate", "low", "high")})
 
 

@@ -39,6 +39,8 @@ from latticeqc.llm.words import hash_words, mixed, split_words, window_hashes
 from latticeqc.operators.components import star_components
 
 SLICE = 400
+#: Slots of the filter that keeps texts out of a shuffle that has no use for them: so many rows are broadcast at most.
+SLOTS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -248,6 +250,21 @@ def _tile_check(forest: Forest):
     return verify
 
 
+def _slot(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(SLOTS))
+
+
+def _slots(keys: DataFrame, key: str) -> DataFrame:
+    """The slots that ``key`` takes: SLOTS rows at most, whatever the number of keys."""
+    return written(keys.select(_slot(key).alias("slot_")).distinct())
+
+
+def _sifted(rows: DataFrame, key: str, slots: DataFrame, inside: bool) -> DataFrame:
+    """Rows whose key takes one of the slots, or none of them; no key in the slots' table is missed."""
+    placed = rows.withColumn("slot_", _slot(key))
+    return placed.join(F.broadcast(slots), "slot_", "left_semi" if inside else "left_anti").drop("slot_")
+
+
 def jaccard_classes(docs: DataFrame, forest: Forest = Forest(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, class_id, copy_id, links`` for every row; see the module for what they mean."""
     rows = written(signed(docs, forest, id_col, text_col))
@@ -255,8 +272,8 @@ def jaccard_classes(docs: DataFrame, forest: Forest = Forest(), id_col: str = "d
     members = written(star_components(candidate_links(classes, forest)).select("node", F.col("label").alias("comp")))
 
     # Whole sets again, for the candidates only: one document of each class.
-    wanted = members.join(classes.drop("keys"), "node")
-    text = inputs(docs, rep=id_col, body=text_col)
+    wanted = written(members.join(classes.drop("keys"), "node"))
+    text = _sifted(inputs(docs, rep=id_col, body=text_col), "rep", _slots(wanted, "rep"), True)
     found = wanted.select("rep", "node").join(text, "rep").select("node", F.col("body").cast("string").alias("body"))
 
     def sets(batch: pa.RecordBatch) -> dict:
@@ -267,7 +284,7 @@ def jaccard_classes(docs: DataFrame, forest: Forest = Forest(), id_col: str = "d
         return {"node": batch["node"], "shingles": pa.array([s.tobytes() if ok else None for s, ok in zip(made, right)], pa.binary())}
 
     whole = arrow_pass(found, sets, "node string, shingles binary").where("shingles is not null").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    tiles = wanted.groupBy("comp").agg(F.ceil(F.sum("n") / forest.tile_shingles).cast("int").alias("tiles"))
+    tiles = written(wanted.groupBy("comp").agg(F.ceil(F.sum("n") / forest.tile_shingles).cast("int").alias("tiles")))
     dealt = wanted.join(tiles, "comp").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     dealt = dealt.join(whole, "node").withColumn("other", other)
@@ -288,9 +305,19 @@ def jaccard_classes(docs: DataFrame, forest: Forest = Forest(), id_col: str = "d
 
 
 def one_of_each_class(docs: DataFrame, forest: Forest = Forest(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names its class, once each, with all their columns."""
-    keep = jaccard_classes(docs, forest, id_col, text_col).where("doc_id = class_id or doc_id is null").select("doc_id").distinct()
+    """The rows of ``docs`` whose id names its class, once each, with all their columns; rows without an id stay.
+
+    Most rows are neither dropped nor repeated; they pass without a shuffle.
+    """
+    found = jaccard_classes(docs, forest, id_col, text_col).groupBy("doc_id")
+    found = found.agg(F.count("*").alias("rows_"), F.coalesce(F.max(F.col("doc_id") == F.col("class_id")), F.lit(True)).alias("keep_"))
+    special = written(found.where("rows_ > 1 or not keep_").select("doc_id", "keep_"))
     own = {c: f"in{i}" for i, c in enumerate(docs.columns)}
     rows = inputs(docs, **{v: k for k, v in own.items()})
-    kept = rows.join(keep, rows[own[id_col]].eqNullSafe(keep["doc_id"]), "left_semi").dropDuplicates([own[id_col], own[text_col]])
+    slots, key = _slots(special, "doc_id"), own[id_col]
+    plain, looked_at = _sifted(rows, key, slots, False), _sifted(rows, key, slots, True)
+    looked_at = looked_at.join(special, looked_at[key].eqNullSafe(special["doc_id"]), "left")
+    single = looked_at.where("keep_ is null").select(*own.values())
+    repeated = looked_at.where("keep_").select(*own.values()).dropDuplicates([key, own[text_col]])
+    kept = plain.unionByName(single).unionByName(repeated)
     return kept.select(*[F.col(v).alias(k) for k, v in own.items()])

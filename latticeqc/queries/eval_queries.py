@@ -157,13 +157,15 @@ def _moved(offset: str, width: str) -> str:
     return f"SELECT package_id, {offset} AS offset_voxels, {width} AS width_cells, row, col, {cols}, valid FROM (SELECT m.*, {share_sql(POS, width)} AS share, o, w FROM movable m JOIN seams s ON s.package_id=m.package_id CROSS JOIN ladder)"
 
 
-define("ladder", "SELECT 0e0 AS o, 1 AS w UNION ALL SELECT o, w FROM (SELECT unnest([4e0,16e0]) AS o) CROSS JOIN (SELECT unnest([1,4]) AS w)")
+# Offsets in voxels and widths in cells of the perturbation ladder.
+OFFSETS, WIDTHS = [4.0, 8.0, 16.0], [1, 4, 12]
+define("ladder", "SELECT 0e0 AS o, 1 AS w UNION ALL SELECT o, w FROM (SELECT unnest([4e0,8e0,16e0]) AS o) CROSS JOIN (SELECT unnest([1,4,12]) AS w)")
 define("moved", _moved("o", "w"))
 
 
 def ladder(fx):
     normals = materialize(X.averaged_normals(fx.surf))
-    return X.offset_ladder(normals, materialize(X.choose_seam(normals)), [4.0, 16.0], [1, 4])
+    return X.offset_ladder(normals, materialize(X.choose_seam(normals)), OFFSETS, WIDTHS)
 
 
 @query(
@@ -230,7 +232,7 @@ def incremental_cues(fx):
 
 @query("perturbation_benchmark")
 def perturbation_benchmark(fx):
-    return X.perturbation_benchmark(fx.surf, [16.0], [1])
+    return X.perturbation_benchmark(fx.surf, OFFSETS, WIDTHS)
 
 
 # --- rates and bootstrap -------------------------------------------------------------------------

@@ -39,13 +39,23 @@ def dropped(*tables: DataFrame) -> None:
                 path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of an Arrow batch. A batch is held by the JVM and by a worker at once, and each core has one.
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark cut the session's Arrow batches by bytes; texts differ too much in length to count rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def inputs(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names, so that other columns cannot clash."""
+    small_batches(df.sparkSession)
     return df.select(*[column(name).alias(own) for own, name in columns.items()])
 
 
 def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str) -> DataFrame:
-    """``fn`` applied to each Arrow batch; a batch never holds more than the session's bytes for one batch."""
+    """``fn`` applied to each Arrow batch; a batch has about BATCH_BYTES at most."""
     names = T.StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -119,5 +119,7 @@ def judge_documents(docs: DataFrame, rules: CompressionRules = CompressionRules(
 
 def keep_documents(docs: DataFrame, rules: CompressionRules = CompressionRules(), text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    names = tuple(docs.columns)
-    return judge_documents(docs, rules, text_col=text_col, carry=names).where("kept_").select(*docs.columns)
+    own = {name: f"in{i}" for i, name in enumerate(docs.columns)}
+    rows = inputs(docs, **{v: k for k, v in own.items()})
+    judged = judge_documents(rows, rules, text_col=own[text_col], carry=tuple(own.values()))
+    return judged.where("kept_").select(*[judged[v].alias(k) for k, v in own.items()])

@@ -93,6 +93,8 @@ def test_bands_reject_repetitive_and_random_text(spark):
     assert rows[0].kept and rows[1].band == "incompressible" and rows[2].band == "repetitive"
     kept = compression.keep_documents(frame(spark, [prose, noise, repeats, None]))
     assert kept.columns == ["doc_id", "text", "body", "kept"] and [r.doc_id for r in kept.collect()] == [0]
+    clash = frame(spark, [prose]).withColumnsRenamed({"body": "kept_", "kept": "ratio_"})
+    assert compression.keep_documents(clash).columns == ["doc_id", "text", "kept_", "ratio_"]
 
 
 def test_empty_table(spark):

@@ -54,6 +54,7 @@ class Forest:
     recall: float = 0.9995
     slack: float = 0.12
     tile_shingles: int = 200_000
+    tile_sets: int = 256
     node_members: int = 4000
 
     @property
@@ -284,7 +285,8 @@ def jaccard_classes(docs: DataFrame, forest: Forest = Forest(), id_col: str = "d
         return {"node": batch["node"], "shingles": pa.array([s.tobytes() if ok else None for s, ok in zip(made, right)], pa.binary())}
 
     whole = arrow_pass(found, sets, "node string, shingles binary").where("shingles is not null").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    tiles = written(wanted.groupBy("comp").agg(F.ceil(F.sum("n") / forest.tile_shingles).cast("int").alias("tiles")))
+    need = F.greatest(F.ceil(F.sum("n") / forest.tile_shingles), F.ceil(F.count("*") / forest.tile_sets))
+    tiles = written(wanted.groupBy("comp").agg(need.cast("int").alias("tiles")))
     dealt = wanted.join(tiles, "comp").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     dealt = dealt.join(whole, "node").withColumn("other", other)

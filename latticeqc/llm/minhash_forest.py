@@ -8,10 +8,10 @@ below a shared node of a trie are candidates; exact Jaccard of whole sets decide
 How it stays whole and spread out:
 
 * Equal sets are one class (a group-by with map-side combine), so copies meet once.
-* Below a trie node nobody is compared with everybody: a member is compared with leaders. Jaccard
-  distance is a metric, so two sets at distance d that lie within d of leaders A and B are joined by
-  linking members with every leader within 2d (3d between leaders of the parts of a split node). A node with
-  very many members is split over tasks.
+* Below a trie node a member is compared with those that no component has yet; near copies fall away at once.
+  A node with very many members is split over tasks. A part passes on leaders with the radius of what they stand for;
+  the share of unequal minima is a metric, so leaders within the reach plus both radii are linked. Leaders
+  are dealt into parts again, and every pair of parts is one group of bounded size.
 * What hangs together is a candidate component. Its sets are dealt into tiles of bounded size, and every pair of
   tiles is one group, in which pairs are verified and only counts and spanning links leave.
 
@@ -45,7 +45,7 @@ SLOTS = 1 << 20
 
 @dataclass(frozen=True)
 class Forest:
-    """``slack`` is added to the distances of estimated similarities: with 128 minima, 0.12 is about three deviations."""
+    """Twice ``slack`` is added to the distance for estimates: with 128 minima, 0.12 is about three deviations."""
 
     words: int = 5
     threshold: Fraction = Fraction(4, 5)
@@ -122,20 +122,38 @@ def _roots(u: np.ndarray, v: np.ndarray, size: int) -> np.ndarray:
     return low
 
 
-def _leaders(keys: np.ndarray, near: float, far: float) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Links between members and leaders within ``far``; every member is within ``near`` of a leader."""
-    left = np.ones(len(keys), bool)
-    u, v, leaders = [], [], []
-    while left.any():
-        leader = int(np.argmax(left))
-        leaders.append(leader)
-        distance = 1 - (keys == keys[leader]).mean(axis=1)
-        left &= distance > near
-        left[leader] = False
-        close = np.flatnonzero(distance <= far)
-        u.append(close)
-        v.append(np.full(len(close), leader))
-    return np.concatenate(u), np.concatenate(v), leaders
+def _united(keys: np.ndarray, reach: float, radius: np.ndarray) -> np.ndarray:
+    """For each row, the first row of its component; rows are linked within ``reach`` plus both their radii.
+
+    A row is compared with the rows that no component has yet, so memory is that of the keys.
+    """
+    root = np.arange(len(keys))
+    left, rest = root.copy(), keys
+    while len(left):
+        first, ahead = left[0], [left[0]]
+        left, rest = left[1:], rest[1:]
+        while ahead and len(left):
+            row = ahead.pop()
+            distance = 1 - np.count_nonzero(rest == keys[row], axis=1) / keys.shape[1]
+            close = distance <= reach + radius[row] + radius[left]
+            if close.any():
+                root[left[close]] = first
+                ahead += left[close].tolist()
+                left, rest = left[~close], rest[~close]
+    return root
+
+
+def _leaders(keys: np.ndarray, near: float) -> tuple[list[int], list[float]]:
+    """Leaders and their radii: every row is within the radius, ``near`` at most, of one of them."""
+    left, rest = np.arange(len(keys)), keys
+    leaders, radii = [], []
+    while len(left):
+        distance = 1 - np.count_nonzero(rest == rest[0], axis=1) / keys.shape[1]
+        mine = distance <= near
+        leaders.append(int(left[0]))
+        radii.append(float(distance[mine].max()))
+        left, rest = left[~mine], rest[~mine]
+    return leaders, radii
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -157,6 +175,16 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _part_pairs(heads: DataFrame, node_members: int) -> DataFrame:
+    """``heads`` with a ``spot`` for each pair of parts: two heads of a place share one, which has two parts at most."""
+    parts = F.ceil(F.col("heads") / node_members).cast("int")
+    counted = heads.groupBy("place").agg(F.count("*").alias("heads")).where("heads > 1").select("place", parts.alias("parts"))
+    dealt = heads.join(counted, "place").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("parts = 1 or part <> other")
+    spot = F.concat_ws(":", "place", F.least("part", "other"), F.greatest("part", "other"))
+    return dealt.withColumn("spot", spot).drop("parts", "part", "other")
+
+
 def candidate_links(classes: DataFrame, forest: Forest) -> DataFrame:
     """``u, v`` links whose components hold every pair at the threshold, up to the target recall."""
     distance = 1 - float(forest.threshold)
@@ -167,39 +195,36 @@ def candidate_links(classes: DataFrame, forest: Forest) -> DataFrame:
     shared = placed.groupBy("place").agg(F.count("*").alias("members")).where("members > 1")
     parts = F.ceil(F.col("members") / forest.node_members)
     met = placed.join(shared, "place").select("node", "place", F.pmod(F.xxhash64("node"), parts).alias("part"), (parts > 1).alias("split"))
-    met = met.join(classes.select("node", "keys"), "node").withColumn("spot", F.concat_ws(":", "place", "part"))
+    met = met.join(classes.select("node", "keys"), "node").withColumn("spot", F.concat_ws(":", "place", "part")).withColumn("radius", F.lit(0.0))
     size = forest.trees * forest.depth
-
-    def linked(near: float, far: float):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for group in _grouped(batches, "spot"):
-                nodes = group["node"].to_pylist()
-                keys = np.frombuffer(b"".join(group["keys"].to_pylist()), np.uint32).reshape(-1, size)
-                a, b, leaders = _leaders(keys, near, far)
-                root = _roots(a, b, len(nodes))
-                tied = np.flatnonzero(root != np.arange(len(nodes)))
-                heads = leaders if group["split"][0].as_py() else []
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "u": pa.array([nodes[i] for i in tied] + [nodes[i] for i in heads], pa.string()),
-                        "v": pa.array([nodes[root[i]] for i in tied] + [None for _ in heads], pa.string()),
-                        "place": pa.array([None for _ in tied] + [group["place"][0].as_py() for _ in heads], pa.int64()),
-                    }
-                )
-
-        return run
-
-    def search(df: DataFrame, near: float, far: float) -> DataFrame:
+    reach = distance + 2 * forest.slack
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches, "spot"):
+            nodes = group["node"].to_pylist()
+            keys = np.frombuffer(b"".join(group["keys"].to_pylist()), np.uint32).reshape(-1, size)
+            root = _united(keys, reach, group["radius"].to_numpy())
+            tied = np.flatnonzero(root != np.arange(len(nodes)))
+            heads, radii = _leaders(keys, distance) if group["split"][0].as_py() else ([], [])
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "u": pa.array([nodes[i] for i in tied] + [nodes[i] for i in heads], pa.string()),
+                    "v": pa.array([nodes[root[i]] for i in tied] + [None for _ in heads], pa.string()),
+                    "place": pa.array([None for _ in tied] + [group["place"][0].as_py() for _ in heads], pa.int64()),
+                    "radius": pa.array([None for _ in tied] + radii, pa.float64()),
+                }
+            )
+
+    def search(df: DataFrame) -> DataFrame:
         ordered = df.repartition("spot").sortWithinPartitions("spot", "keys")
-        return ordered.select("spot", "place", "split", "node", "keys").mapInArrow(linked(near, far), "u string, v string, place bigint")
+        return ordered.select("spot", "place", "split", "node", "radius", "keys").mapInArrow(linked, "u string, v string, place bigint, radius double")
 
     # A part with one member has no group; it is its own leader.
     alone = met.where("split").groupBy("spot").agg(F.count("*").alias("c"), F.first("place").alias("place"), F.first("node").alias("node")).where("c = 1")
-    found = written(search(met, distance, 2 * distance + 2 * forest.slack))
-    heads = found.where("v is null").select(F.col("u").alias("node"), "place").unionByName(alone.select("node", "place"))
-    heads = heads.join(classes.select("node", "keys"), "node").withColumn("spot", F.col("place").cast("string")).withColumn("split", F.lit(False))
-    between = search(heads, 0.0, 3 * distance + 3 * forest.slack).where("v is not null")
-    return found.where("v is not null").select("u", "v").unionByName(between.select("u", "v")).distinct()
+    found = written(search(met))
+    heads = found.where("v is null").select(F.col("u").alias("node"), "place", "radius").unionByName(alone.select("node", "place", F.lit(0.0).alias("radius")))
+    heads = _part_pairs(written(heads), forest.node_members).join(classes.select("node", "keys"), "node").withColumn("split", F.lit(False))
+    return found.where("v is not null").select("u", "v").unionByName(search(heads).select("u", "v")).distinct()
 
 
 def _tile_check(forest: Forest):

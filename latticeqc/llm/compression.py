@@ -1,10 +1,12 @@
 """Quality rules by compression bands.
 
 The zstandard ratio (compressed over plain bytes) of a whole document, and of its fixed chunks, has to
-lie within the limits for its length. Text that repeats itself falls below the band, text that does not
+lie within the limits for its length. The last chunk is the final ``chunk_bytes`` of the text; where it
+overlaps the one before, it weighs as much as the bytes that it adds. A text below ``chunk_bytes`` is one piece,
+which the limits for its length judge. Text that repeats itself falls below the band, text that does not
 compress (encoded binary, keys, random characters) lies above it. Short texts compress badly by nature,
 so the limits depend on the length. A document is rejected for its chunks when more than ``chunk_share``
-of them lie outside, so one table or list does not reject a long document.
+of its bytes lie in chunks outside, so one table or list does not reject a long document.
 
 A null text counts as empty; an empty text has ratio null, fails the word rule and is not kept. Repeated
 rows give repeated results; other columns are ignored; whole texts are read, chunk by chunk.
@@ -70,16 +72,17 @@ def _judge(text: bytes, rules: CompressionRules, compressor) -> tuple:
     failed = len(words) < rules.min_words or 100 * repeat > rules.max_repeat_percent * len(words)
     size = rules.chunk_bytes
     ratio = len(compressor.compress(text)) / len(text) if text else None
-    chunks = [len(compressor.compress(text[at : at + size])) / size for at in range(0, len(text) - size + 1, size)]
+    starts = range(0, len(text), size) if len(text) >= size else ()
+    chunks = [len(compressor.compress(text[at : at + size])) / size for at in (min(s, len(text) - size) for s in starts)]
     low, high = next((b[1], b[2]) for b in reversed(rules.bands) if len(text) >= b[0])
-    outside = sum(not rules.chunk_low <= c <= rules.chunk_high for c in chunks)
+    outside = sum(min(size, len(text) - at) for at, c in zip(starts, chunks) if not rules.chunk_low <= c <= rules.chunk_high)
     if ratio is None:
         verdict = "empty"
     elif ratio < low:
         verdict = "repetitive"
     elif ratio > high:
         verdict = "incompressible"
-    elif chunks and outside > rules.chunk_share * len(chunks):
+    elif outside > rules.chunk_share * len(text):
         verdict = "chunks"
     else:
         verdict = "pass"

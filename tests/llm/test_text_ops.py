@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import zstandard
 
 from latticeqc.llm import compression, sentencepiece_table
 from latticeqc.llm.queries import QUERIES
@@ -97,6 +98,22 @@ def test_bands_reject_repetitive_and_random_text(spark):
     assert compression.keep_documents(clash).columns == ["doc_id", "text", "kept_", "ratio_"]
 
 
+def test_junk_is_found_wherever_it_stands():
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(3000)]
+    clean = " ".join(rng.choice(words, 1500)).encode()[:4100]
+    noise = " ".join("".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 60)) for _ in range(90)).encode()[:4080]
+    repeats = (b"the same sentence over and over again. " * 200)[:4080]
+    rules = compression.CompressionRules(bands=((0, 0.0, 9.0),))
+    judge = lambda text: compression._judge(text, rules, zstandard.ZstdCompressor(level=3))[-1]
+    for bad in (noise, repeats):
+        assert judge(bad + clean) == judge(clean + bad) == "chunks"
+    assert judge(clean) == judge(clean + clean[::-1]) == "pass"
+    # The overlap is not counted twice: ten bytes more after one bad chunk of six.
+    long = b" ".join(w.encode() for w in rng.choice(words, 6000))[: 5 * 4096]
+    assert judge(long + repeats + b" " * 16 + clean[:10]) == judge(long + repeats + b" " * 16) == "pass"
+
+
 def test_empty_table(spark):
     empty = frame(spark, ["x"]).where("false")
     assert compression.judge_documents(empty).count() == 0

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,24 +25,76 @@ from pyspark.sql import functions as F
 from latticeqc.llm.common import arrow_pass, inputs, written
 
 BLOCK_BYTES = 1 << 20
+#: Blocks that a task reads in one go from a file.
+RUN = 64
 #: Blocks whose counts one window adds up; the next level adds up the groups.
 GROUP = 4096
 BYTE_END = 256
 
 
+def _opened(path: str):
+    """The file for reading by ranges: paths as Spark lists them, of the local file system or one that pyarrow knows."""
+    if path.startswith("file:"):
+        return open("/" + path[len("file:") :].lstrip("/"), "rb")
+    store, inside = FileSystem.from_uri(path)
+    return store.open_input_file(inside)
+
+
+def _opens(path: str) -> bool:
+    try:
+        _opened(path).close()
+    except (OSError, ValueError, NotImplementedError):
+        return path.startswith("file:")
+    return True
+
+
+def flat_ranges(files: DataFrame, block_bytes: int) -> DataFrame:
+    """``path, length, first`` of every run of RUN blocks of ``files``, dealt over tasks."""
+    run = RUN * block_bytes
+    runs = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.floor((F.col("length") - 1) / run), F.lit(0)))).alias("run"))
+    total = files.agg(F.sum(F.floor(F.col("length") / run) + 1)).first()[0] or 1
+    return runs.select("path", "length", (F.col("run") * RUN).alias("first")).repartition(min(total, 10_000))
+
+
 def read_flat(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``file, block, payload`` of the flat files under ``path``; a file is one part of at most 2 GB, as binaryFile reads it."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    """``file, block, payload`` of the flat files under ``path``.
+
+    Files are listed with their lengths only; tasks read runs of blocks, whatever the size of a file. In a
+    store that Python workers cannot open (neither local nor known to pyarrow), a file is one row of at most 2 GB.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    store = F.regexp_extract("path", "^([^:]*):", 1)
+    known = {r.s: _opens(r.path) for r in files.groupBy(store.alias("s")).agg(F.min("path").alias("path")).collect()}
+    ranged = store.isin([s for s, opens in known.items() if opens])
+    schema = "file string, block bigint, payload binary"
+
+    def block(name: str, number: int, payload: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"file": [name], "block": pa.array([number], pa.int64()), "payload": [payload]})
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                with _opened(row["path"]) as file:
+                    file.seek(row["first"] * block_bytes)
+                    for number in range(row["first"], row["first"] + RUN):
+                        size = min(block_bytes, row["length"] - number * block_bytes)
+                        if size > 0 or number == 0:
+                            payload = file.read(size)
+                            if len(payload) != size:
+                                raise OSError(f"{row['path']} is shorter than listed")
+                            yield block(row["path"], number, payload)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch["path"].to_pylist(), batch["content"]):
                 view = content.as_buffer()
                 for number, at in enumerate(range(0, max(view.size, 1), block_bytes)):
-                    part = view.slice(at, min(block_bytes, view.size - at)).to_pybytes()
-                    yield pa.RecordBatch.from_pydict({"file": [name], "block": pa.array([number], pa.int64()), "payload": [part]})
+                    yield block(name, number, view.slice(at, min(block_bytes, view.size - at)).to_pybytes())
 
-    return files.mapInArrow(cut, "file string, block bigint, payload binary")
+    out = flat_ranges(files.where(ranged).select("path", "length"), block_bytes).mapInArrow(ranges, schema)
+    if all(known.values()):
+        return out
+    return out.unionByName(files.where(~ranged).select("path", "content").mapInArrow(cut, schema))
 
 
 def flat_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -79,6 +79,24 @@ def test_flat_files_round_trip(spark, tmp_path):
     assert [r.n_tokens for r in separator_scan.count_tokens(read, 256).orderBy("doc_no").collect()] == [1, 0, 2]
 
 
+def test_a_flat_file_of_any_size_is_read_by_ranges(spark, tmp_path):
+    tokens = np.random.default_rng(2).integers(0, 200, 100_000).astype("<u2")
+    (tmp_path / "a b%20.bin").write_bytes(tokens.tobytes() + b"\x01")
+    (tmp_path / "none.bin").write_bytes(b"")
+    read = separator_scan.read_flat(spark, str(tmp_path), block_bytes=1000)
+    assert read.where("length(payload) > 0").select(F.spark_partition_id()).distinct().count() > 1
+    rows = {(r.file.rsplit("/", 1)[1], r.block): bytes(r.payload) for r in read.collect()}
+    assert len(rows) == 201
+    assert b"".join(rows["a b%20.bin", k] for k in range(201)) == tokens.tobytes() + b"\x01"
+    got = [r.n_tokens for r in separator_scan.count_tokens(read, 7).orderBy("doc_no").collect()]
+    assert len(got) == (tokens == 7).sum() + (tokens[-1] != 7) and sum(got) == (tokens != 7).sum()
+    # Beyond 2 GB: holes take no disk.
+    with open(tmp_path / "large.bin", "wb") as file:
+        file.truncate((2 << 30) + 5000)
+    large = separator_scan.read_flat(spark, str(tmp_path / "large.bin"))
+    assert large.selectExpr("count(*)", "max(block)", "sum(length(payload))").first() == (2049, 2048, (2 << 30) + 5000)
+
+
 def base_rule(host, path):
     fits = [(len(h + p), h + p, v) for v, h, p in url_rules.BASE_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fits)[1:] if fits else (None, None)

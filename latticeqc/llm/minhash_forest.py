@@ -1,9 +1,10 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
-A document is its set of word shingles. Signatures are cut into ``trees`` keys of ``depth`` minima; the
-keys of a tree, sorted, are the leaves of a prefix trie. Prefixes are shortened from ``depth`` until the
-chance that a pair at the threshold shares a prefix in some tree reaches the target recall. Documents
-below a shared node of a trie are candidates; exact Jaccard of whole sets decides.
+A document is its set of word shingles. Signatures are cut into ``trees`` keys of ``depth`` minima. In place of
+walking prefix tries by data, one prefix length is computed: the longest, ``depth`` at most, at which the
+chance that a pair at the threshold shares a prefix in some tree reaches the target recall. That is banding at
+this prefix; later minima of a tree serve only the estimated distances. Documents that share a prefix (a node)
+are candidates; exact Jaccard of whole sets decides. Where no length reaches the recall, an error is raised.
 
 How it stays whole and spread out:
 
@@ -63,6 +64,8 @@ class Forest:
         length = self.depth
         while length > 1 and 1 - (1 - float(self.threshold) ** length) ** self.trees < self.recall:
             length -= 1
+        if 1 - (1 - float(self.threshold) ** length) ** self.trees < self.recall:
+            raise ValueError(f"{self.trees} trees miss a recall of {self.recall} at {self.threshold} even with one minimum; give more trees")
         return length
 
 

@@ -2,6 +2,7 @@
 
 import random
 import tracemalloc
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -115,3 +116,9 @@ def test_links_of_one_group_need_no_pair_lists():
     assert len(_leaders(keys, 0.2)[0]) == 3000
     assert tracemalloc.get_traced_memory()[1] < 8 * keys.nbytes
     tracemalloc.stop()
+
+
+def test_a_recall_out_of_reach_is_an_error():
+    assert Forest().prefix == 4 and Forest(threshold=Fraction(2, 5)).prefix == 1
+    with pytest.raises(ValueError):
+        Forest(threshold=Fraction(3, 10)).prefix

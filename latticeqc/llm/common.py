@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,3 +64,43 @@ def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | di
             yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict({n: out[n] for n in names})
 
     return df.mapInArrow(run, schema)
+
+
+#: A key is hot when it holds more than this part of all rows; there are fewer hot keys than HOT_SHARE.
+HOT_SHARE = 1000
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has at most one row per key; null where it has none.
+
+    A hot key would send all its rows to one task of a shuffled join. Fewer than HOT_SHARE keys can be hot, so their rows of
+    ``table`` are broadcast whatever the size of the input, and only the other rows are shuffled. ``rows`` is read twice.
+    """
+    keys = list(keys)
+    extra = [c for c in table.columns if c not in keys]
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n_"))
+    limit = max(rows.count() // HOT_SHARE, HOT_SHARE)
+    hot = written(table.join(counts.where(F.col("n_") > limit).select(*keys), keys, "left_semi").withColumn("hot_", F.lit(True)))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    near = marked.where("hot_").drop("hot_")
+    far = marked.where("hot_ IS NULL").drop("hot_", *extra).join(table, keys, "left")
+    return near.select(*rows.columns, *extra).unionByName(far.select(*rows.columns, *extra))
+
+
+def scanned(rows: DataFrame, keys: Sequence[str], place: str, columns: Mapping[str, str], fold=F.sum, both=lambda a, b: a + b, reverse: bool = False, run: int = 1024) -> DataFrame:
+    """Running folds along ``place`` inside each group of ``keys``; ``columns`` maps new names to the columns folded.
+
+    ``both`` joins the folds of two runs. Windows cover runs of ``run`` places and, on top, one row per run, so that a group of
+    any size is spread over tasks. ``rows`` is read twice.
+    """
+    keys = list(keys)
+    order = F.desc if reverse else F.asc
+    rows = rows.withColumn("run_", F.floor(F.col(place) / run))
+    inside = Window.partitionBy(*keys, "run_").orderBy(order(place)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*keys).orderBy(order("run_")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "run_").agg(*[fold(c).alias(f"{n}_before_") for n, c in columns.items()])
+    before = totals.select(*keys, "run_", *[fold(f"{n}_before_").over(earlier).alias(f"{n}_before_") for n in columns])
+    before = before.where(F.col(f"{next(iter(columns))}_before_").isNotNull())
+    out = rows.withColumns({n: fold(c).over(inside) for n, c in columns.items()}).join(before, [*keys, "run_"], "left")
+    whole = {n: F.when(F.col(f"{n}_before_").isNull(), F.col(n)).otherwise(both(F.col(n), F.col(f"{n}_before_"))) for n in columns}
+    return out.withColumns(whole).drop("run_", *[f"{n}_before_" for n in columns])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticeqc.llm.common import written
-from latticeqc.llm import compression, cover_tree, html_labeller, license_scan, minhash_forest, mixing, ngram_scoring, sentencepiece_table, separator_scan, url_rules
+from latticeqc.llm import compression, cover_tree, html_labeller, license_scan, minhash_forest, mixing, ngram_scoring, prefix_trie, sentencepiece_table, separator_scan, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -144,3 +144,35 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_compression_bands")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.judge_documents(table(spark, sf_dir, "documents"))
+
+
+# Each conversation shares its first crc32(id) % 9 turns with the one whose id is the next lower multiple of five.
+# CRC-32 (reflected polynomial 0xEDB88320) is folded over the bytes of the decimal id, as DuckDB has no function for it.
+TRIE_SQL = """
+WITH s AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS p
+           FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, conv_id - conv_id % 5 AS base,
+               xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+                   lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]),
+                       lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)), 4294967295::BIGINT) % 9 AS h
+        FROM (SELECT DISTINCT conv_id FROM s)),
+turns AS (SELECT i.conv_id, s.p, role, text FROM ids i JOIN s ON s.conv_id = i.base AND s.p < i.h UNION ALL SELECT i.conv_id, s.p, role, text FROM ids i JOIN s ON s.conv_id = i.conv_id AND s.p >= i.h),
+placed AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY p) AS depth, md5(concat(strlen(role), ':', role, text)) AS t, strlen(text) AS n_bytes FROM turns),
+paths AS (SELECT conv_id, depth, string_agg(t, '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS path, n_bytes FROM placed
+          UNION ALL SELECT conv_id, 0, '', 0 FROM ids),
+upward AS (SELECT conv_id, depth, path, n_bytes, lag(path) OVER (PARTITION BY conv_id ORDER BY depth) AS up, depth = max(depth) OVER (PARTITION BY conv_id) AS is_end FROM paths),
+nodes AS (SELECT path, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n_bytes) AS saved,
+                 sha256(coalesce(string_agg(CASE WHEN is_end THEN conv_id END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM upward GROUP BY path, depth),
+kids AS (SELECT up AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+below AS (SELECT u.path, sum(CASE WHEN k.path IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum(n.saved)::BIGINT AS saved_tokens
+          FROM nodes n JOIN upward u ON u.conv_id = n.conv_id AND u.depth <= n.depth LEFT JOIN kids k ON k.path = n.path GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, parent.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, n_leaves, saved_tokens, ends_sha256
+FROM nodes n JOIN below b ON b.path = n.path LEFT JOIN kids k ON k.path = n.path LEFT JOIN nodes parent ON n.depth > 0 AND parent.path = n.up
+"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    rebuilt = prefix_trie.share_beginnings(turns, lambda c: c - c % 5, lambda c: F.crc32(c.cast("string").cast("binary")) % 9, range(-4, 5))
+    return prefix_trie.build_trie(*rebuilt)

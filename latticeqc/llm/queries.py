@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticeqc.llm.common import written
-from latticeqc.llm import compression, cover_tree, html_labeller, license_scan, minhash_forest, mixing, ngram_scoring, prefix_trie, sentencepiece_table, separator_scan, url_rules
+from latticeqc.llm import alignment, compression, cover_tree, html_labeller, license_scan, minhash_forest, mixing, ngram_scoring, prefix_trie, sentencepiece_table, separator_scan, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,7 +166,7 @@ nodes AS (SELECT path, depth, any_value(up) AS up, min(conv_id) AS conv_id, coun
 kids AS (SELECT up AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
 below AS (SELECT u.path, sum(CASE WHEN k.path IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum(n.saved)::BIGINT AS saved_tokens
           FROM nodes n JOIN upward u ON u.conv_id = n.conv_id AND u.depth <= n.depth LEFT JOIN kids k ON k.path = n.path GROUP BY 1)
-SELECT n.conv_id, n.depth::BIGINT AS depth, parent.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, n_leaves, saved_tokens, ends_sha256
+SELECT n.conv_id, n.depth::BIGINT AS depth, parent.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
 FROM nodes n JOIN below b ON b.path = n.path LEFT JOIN kids k ON k.path = n.path LEFT JOIN nodes parent ON n.depth > 0 AND parent.path = n.up
 """
 
@@ -176,3 +176,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
     rebuilt = prefix_trie.share_beginnings(turns, lambda c: c - c % 5, lambda c: F.crc32(c.cast("string").cast("binary")) % 9, range(-4, 5))
     return prefix_trie.build_trie(*rebuilt)
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    byte_level, pieces = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align_documents(table(spark, sf_dir, "documents"), byte_level, pieces)[0]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticeqc.llm.common import written
-from latticeqc.llm import alignment, compression, cover_tree, html_labeller, license_scan, minhash_forest, mixing, ngram_scoring, prefix_trie, sentencepiece_table, separator_scan, url_rules
+from latticeqc.llm import alignment, compression, cover_tree, html_labeller, license_scan, minhash_forest, mixing, ngram_scoring, prefix_trie, sentencepiece_table, separator_scan, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -182,3 +182,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     byte_level, pieces = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
     return alignment.align_documents(table(spark, sf_dir, "documents"), byte_level, pieces)[0]
+
+
+@query("op13_toxicity")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score_documents(docs, net).withColumn("held_out", held_out)

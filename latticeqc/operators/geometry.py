@@ -32,8 +32,13 @@ def spacing_reference(surf: DataFrame, cfg: ReviewConfig = ReviewConfig(), keys:
         F.max(F.when(F.col("direction") == "vertical", F.col("q")[0])).alias("obs_v"),
     )
     packages = surf.select(*keys).distinct()
+    return with_declared(packages.join(wide, keys, "left"), cfg, keys)
+
+
+def with_declared(observed: DataFrame, cfg: ReviewConfig, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``keys, obs_h, obs_v`` with the references: the declared spacing, or else what was observed."""
     return materialize(
-        packages.join(wide, keys, "left").select(
+        observed.select(
             *keys,
             "obs_h",
             "obs_v",

@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticeqc.config import ReviewConfig
 from latticeqc.functions.numeric import is_finite
-from latticeqc.session import materialize
+from latticeqc.session import materialize, spread
 
 KEYS = ("package_id",)
-# One of each pair of opposite bucket offsets, and the bucket itself.
-HALF = [o for o in product((-1, 0, 1), repeat=3) if o >= (0, 0, 0)]
 
 
 def usable_points(surf: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -55,40 +54,85 @@ def proximity_sample(points: DataFrame, max_points: int | None = None, keys: Seq
 def proximity_pairs(sample: DataFrame, refs: DataFrame, cfg: ReviewConfig, keys: Sequence[str] = KEYS) -> DataFrame:
     """Every pair once: ``a`` is the earlier vertex in row-major order, ``visit`` the bucket offset order.
 
-    Points meet through buckets as wide as the distance limit.  Each point looks at its own bucket and
-    13 of the 26 around it, which finds every pair once with half the copies of a full probe.
+    Buckets are as wide as the distance limit. A point goes to the block of BLOCK buckets a side that holds its bucket, and to
+    the block beside it only if a bucket next to its own lies there. A block with more than CROWD points is dealt over pairs
+    of parts of that size, so that no task holds more than two parts however many points share a place.
     """
     keys = list(keys)
     limit = (cfg.nonlocal_distance_ratio * F.sqrt(F.col("ref_h") * F.col("ref_v"))).alias("limit")
-    placed = sample.join(refs.select(*keys, limit), keys).where("limit > 0")
+    placed = sample.select(*keys, "row", "col", "x", "y", "z").join(refs.select(*keys, limit), keys).where("limit > 0")
     placed = placed.withColumns({f"b{a}": F.floor(F.col(a) / F.col("limit")) for a in "xyz"})
-    offsets = F.array(*[F.struct(*[F.lit(v).alias(f"d{a}") for v, a in zip(o, "xyz")]) for o in HALF])
-    left = placed.withColumn("_o", F.explode(offsets)).select(
-        *keys, "limit", "_o", *[(F.col(f"b{a}") + F.col(f"_o.d{a}")).alias(f"b{a}") for a in "xyz"],
-        F.struct("row", "col", "x", "y", "z").alias("p"),
-    )
-    right = placed.select(*keys, "bx", "by", "bz", F.struct("row", "col", "x", "y", "z").alias("q"))
-    together = left.join(right, [*keys, "bx", "by", "bz"])
-    apart = F.greatest(F.abs(F.col("p.row") - F.col("q.row")), F.abs(F.col("p.col") - F.col("q.col")))
-    first = F.struct("p.row", "p.col") < F.struct("q.row", "q.col")
-    own = (F.col("_o.dx") == 0) & (F.col("_o.dy") == 0) & (F.col("_o.dz") == 0)
-    shift = 9 * F.col("_o.dx") + 3 * F.col("_o.dy") + F.col("_o.dz")
-    gap: Column = F.lit(0.0)
-    for axis in "xyz":
-        gap = gap + (F.col(f"q.{axis}") - F.col(f"p.{axis}")) * (F.col(f"q.{axis}") - F.col(f"p.{axis}"))
-    pairs = together.where((apart > cfg.nonlocal_uv_exclusion) & (~own | first)).withColumn("distance", F.sqrt(gap))
-    ends = {"a": F.when(first, F.col("p")).otherwise(F.col("q")), "b": F.when(first, F.col("q")).otherwise(F.col("p"))}
-    return (
-        pairs.where(F.col("distance") < F.col("limit"))
-        .withColumn("visit", F.when(first, 13 - shift).otherwise(13 + shift))
-        .withColumns(ends)
-        .select(
-            *keys,
-            F.col("a.row").alias("a_row"), F.col("a.col").alias("a_col"),
-            F.col("b.row").alias("b_row"), F.col("b.col").alias("b_col"),
-            "distance", "visit",
-        )
-    )
+    for a in "xyz":
+        low, high = (F.floor((F.col(f"b{a}") + step) / BLOCK) for step in (-1, 1))
+        placed = placed.withColumn(f"k{a}", F.explode(F.when(low == high, F.array(low)).otherwise(F.array(low, high))))
+    block = [*keys, "kx", "ky", "kz"]
+    crowded = materialize(placed.groupBy(*block).agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(*block, F.ceil(F.col("n") / CROWD).cast("int").alias("parts")))
+    dealt = placed.join(crowded, block, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("row", "col"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumns({"first": F.least("part", "other"), "second": F.greatest("part", "other")}).drop("parts", "other")
+    own_kinds = ", ".join(f"`{k}` {sample.schema[k].dataType.simpleString()}" for k in keys)
+    uv = cfg.nonlocal_uv_exclusion
+
+    def pairs(group: pa.Table) -> pa.Table:
+        column = {n: group[n].to_numpy() for n in group.column_names if n not in keys}
+        made = near_pairs(column, uv)
+        first = [group[k].combine_chunks().slice(0, 1).take(pa.array(np.zeros(len(made["distance"]), np.int64))) for k in keys]
+        return pa.Table.from_arrays([*first, *map(pa.array, made.values())], [*keys, *made])
+
+    schema = f"{own_kinds}, a_row int, a_col int, b_row int, b_col int, distance double, visit int"
+    group = [*block, "first", "second"]
+    return spread(dealt, *group).groupBy(*group).applyInArrow(pairs, schema)
+
+
+#: Buckets of a block along each side, points of a part of a crowded block, and candidates that are compared at once.
+BLOCK, CROWD, AT_ONCE = 256, 100_000, 2_000_000
+#: Buckets to look at from one's own, as (dx, dy, dz from, dz to): one of each pair of opposite ones, and the own one.
+LOOKS = ((0, 0, 0, 1), (0, 1, -1, 1), (1, -1, -1, 1), (1, 0, -1, 1), (1, 1, -1, 1))
+
+
+def near_pairs(at: dict[str, np.ndarray], uv: int) -> dict[str, np.ndarray]:
+    """Pairs of one group of ``proximity_pairs``: the point with the smaller bucket belongs to the block, one lies in
+    the first and one in the second part, they are more than ``uv`` lines apart and nearer than the limit."""
+    lows = [int(at[f"b{a}"].min()) - 1 for a in "xyz"]
+    spans = [int(at[f"b{a}"].max()) - low + 2 for a, low in zip("xyz", lows)]
+    bucket = [at[f"b{a}"] - low for a, low in zip("xyz", lows)]
+    key = (bucket[0] * spans[1] + bucket[1]) * spans[2] + bucket[2]
+    order = np.argsort(key, kind="stable")
+    at = {n: v[order] for n, v in at.items()}
+    bucket, key = [b[order] for b in bucket], key[order]
+    mine = np.flatnonzero(np.logical_and.reduce([at[f"b{a}"] // BLOCK == at[f"k{a}"] for a in "xyz"]))
+    alone = at["first"][0] == at["second"][0]
+    kept: list[tuple[np.ndarray, ...]] = []
+    for dx, dy, below, above in LOOKS:
+        middle = key[mine] + (dx * spans[1] + dy) * spans[2]
+        start, end = np.searchsorted(key, middle + below), np.searchsorted(key, middle + above, "right")
+        upto = np.concatenate([[0], np.cumsum(end - start)])
+        lo = 0
+        while lo < len(mine):
+            hi = max(int(np.searchsorted(upto, upto[lo] + AT_ONCE, "right")) - 1, lo + 1)
+            count = end[lo:hi] - start[lo:hi]
+            p = np.repeat(mine[lo:hi], count)
+            q = np.arange(count.sum()) - np.repeat(upto[lo:hi] - upto[lo], count) + np.repeat(start[lo:hi], count)
+            lo = hi
+            p_row, p_col, q_row, q_col = at["row"][p], at["col"][p], at["row"][q], at["col"][q]
+            first = (p_row < q_row) | ((p_row == q_row) & (p_col < q_col))
+            good = np.maximum(np.abs(p_row - q_row), np.abs(p_col - q_col)) > uv
+            good &= first | (key[p] != key[q])
+            if not alone:
+                good &= at["part"][p] != at["part"][q]
+            p, q, first = p[good], q[good], first[good]
+            gap = np.zeros(len(p))
+            for a in "xyz":
+                gap = gap + (at[a][q] - at[a][p]) * (at[a][q] - at[a][p])
+            distance = np.sqrt(gap)
+            good = distance < at["limit"][p]
+            p, q, first, distance = p[good], q[good], first[good], distance[good]
+            shift = 9 * dx + 3 * dy + (bucket[2][q] - bucket[2][p])
+            a, b = np.where(first, p, q), np.where(first, q, p)
+            kept.append((at["row"][a], at["col"][a], at["row"][b], at["col"][b], distance, np.where(first, 13 - shift, 13 + shift)))
+    kinds = {"a_row": np.int32, "a_col": np.int32, "b_row": np.int32, "b_col": np.int32, "distance": np.float64, "visit": np.int32}
+    return {n: np.concatenate(v).astype(k) if kept else np.zeros(0, k) for (n, k), v in zip(kinds.items(), zip(*kept) if kept else [()] * 6)}
 
 
 def listed_pairs(pairs: DataFrame, max_pairs: int | None = None, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from latticeqc.config import ReviewConfig
 from latticeqc.operators import components as C
 from latticeqc.operators import geometry as G
-from latticeqc.operators.quantiles import summary
+from latticeqc.operators import tile_tables as T
 from latticeqc.plans.geometry_report import KEYS, GeometryReport, geometry_report
 
 SINGLE = tuple(c for c, e in G.EXAMPLES.items() if len(e) == 1)
@@ -35,16 +35,19 @@ def full_review(
 ) -> FullReview:
     """All tables of the review; the limits are those of the lists, each list says its ranks."""
     keys = list(keys)
-    report = geometry_report(surf, cfg, keys)
+    report = geometry_report(surf, cfg, keys, max(locations, each))
 
     def found(cues: Sequence[str]) -> DataFrame:
         # Nine digits, so that locations that differ by rounding only rank by place.
-        candidates = G.example_candidates(report.frame, cues, cfg, keys)
+        candidates = T.tile_candidates(report.reviewed, keys, cues)
         return candidates.withColumn("value", F.when(F.isnan("value"), F.col("value")).otherwise(F.round("value", 9)))
 
+    quantiles = T.value_quantiles(report.reviewed, keys, (0.0, 0.05, 0.5, 0.95, 1.0))
+    named = F.array(*[F.lit(m) for m in T.VALUES])[F.col("metric").cast("int")].alias("metric")
+    numbers = [F.col("q")[i].alias(n) for i, n in enumerate(("min", "p05", "p50", "p95", "max"))]
     return FullReview(
         report,
-        summary(G.metric_rows(report.frame, keys), keys, "metric", "value"),
+        quantiles.select(*keys, named, F.col("n").alias("count"), *numbers),
         G.top_locations(found(SINGLE), locations, keys),
         G.merged_examples(found(DOUBLE), examples, each, keys),
         C.region_summary(report.holes, keys, regions),

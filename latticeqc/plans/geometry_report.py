@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +11,8 @@ from pyspark.sql import functions as F
 from latticeqc.config import ReviewConfig
 from latticeqc.operators import components as C
 from latticeqc.operators import geometry as G
-from latticeqc.operators import grid, project, proximity
+from latticeqc.operators import project, proximity
+from latticeqc.operators import tile_tables as T
 from latticeqc.operators.digest import grid_digest
 from latticeqc.session import materialize
 
@@ -114,6 +114,7 @@ class GeometryReport:
     pairs: DataFrame
     holes: DataFrame
     bands: DataFrame
+    reviewed: DataFrame
 
 
 FRAME_COLUMNS = [
@@ -126,51 +127,51 @@ FRAME_COLUMNS = [
 ]
 
 
+def tile_references(tiles: DataFrame, cfg: ReviewConfig, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``spacing_reference`` from packed tiles."""
+    medians = T.value_quantiles(T.edge_values(tiles, keys), keys, [0.5])
+    median = lambda m: F.max(F.when(F.col("metric") == m, F.col("q")[0]))
+    wide = medians.groupBy(*keys).agg(median(0).alias("obs_h"), median(1).alias("obs_v"))
+    packages = tiles.select(*keys).distinct()
+    return G.with_declared(packages.join(wide, list(keys), "left"), cfg, keys)
+
+
 def _count(df: DataFrame, keys: Sequence[str], name: str, value: Column | None = None) -> DataFrame:
     return df.groupBy(*keys).agg((F.count("*") if value is None else value).alias(name))
 
 
-def geometry_report(surf: DataFrame, cfg: ReviewConfig = ReviewConfig(), keys: Sequence[str] = KEYS) -> GeometryReport:
-    """Summary, findings and detail tables for every package of ``surf`` (see ``load_surface``)."""
+def geometry_report(surf: DataFrame, cfg: ReviewConfig = ReviewConfig(), keys: Sequence[str] = KEYS, keep: int = 50) -> GeometryReport:
+    """Summary, findings and detail tables for every package of ``surf`` (see ``load_surface``); ``keep`` places of an example list."""
     cfg.check()
     keys = list(keys)
     surf = materialize(surf)
-    refs = G.spacing_reference(surf, cfg, keys)
-    # Written once: counters, summaries, examples, bands and scores all read columns of it.
-    frame = materialize(G.surface_frame(surf, refs, cfg, keys).select(*keys, *FRAME_COLUMNS))
-    shapes = cell_shapes(surf, keys)
-    masks = {
-        "vertex": (surf.where("valid"), 4),
-        "cell": (frame.where("cell_valid"), 4),
-        "gap": (frame.where("cell AND NOT cell_valid"), 8),
-        "step": (frame.where("cell AND step_candidate"), 8),
-    }
-    marked = [df.select(*keys, "row", "col", F.lit(kind).alias("kind")) for kind, (df, _) in masks.items()]
-    parts = materialize(C.label_kinds(reduce(DataFrame.unionByName, marked), {k: c for k, (_, c) in masks.items()}, keys))
+    tiles = T.surface_tiles(surf, keys)
+    refs = tile_references(tiles, cfg, keys)
+    reviewed = T.review_tiles(tiles, refs, cfg, keys, keep)
+    counts = materialize(T.tile_counters(reviewed, keys))
+    shapes = materialize(counts.select(*keys, (F.col("height") - 1).alias("height"), (F.col("width") - 1).alias("width")))
+    parts = T.tile_components(reviewed, keys)
 
     def labelled(kind: str) -> DataFrame:
         return parts.where(F.col("kind") == kind).drop("kind")
 
-    vertex_parts, cell_parts = (labelled(k).select(*keys, "label").distinct() for k in ("vertex", "cell"))
     holes = materialize(C.enclosed(labelled("gap"), shapes, keys))
     bands = materialize(_large_bands(labelled("step"), cfg, keys))
     sample = proximity.proximity_sample(proximity.usable_points(surf, keys), cfg.max_proximity_points, keys)
     pairs = materialize(proximity.proximity_pairs(sample, refs, cfg, keys))
-    near = project.vertices_to_cells(proximity.pair_vertices(pairs, keys), materialize(grid_sizes(surf, keys)), keys)
-    cells = final_cells(
-        frame.where("cell").select(*keys, "row", "col", "cell_valid", "local_cue", "local_score"), near, bands, keys
-    )
+    near = project.vertices_to_cells(proximity.pair_vertices(pairs, keys), counts.select(*keys, "height", "width"), keys)
+    cells = final_cells(T.tile_cells(reviewed, keys), near, bands, keys)
     counted = [
-        G.cell_counts(frame, cfg, keys),
-        _count(vertex_parts, keys, "vertex_components"),
-        _count(cell_parts, keys, "cell_components"),
+        T.component_count(parts, keys, "vertex", "vertex_components"),
+        T.component_count(parts, keys, "cell", "cell_components"),
         C.component_sizes(holes, keys).groupBy(*keys).agg(F.count("*").alias("enclosed_regions"), F.sum("size").alias("enclosed_cells")),
         C.component_sizes(bands, keys).groupBy(*keys).agg(F.count("*").alias("coherent_components"), F.sum("size").alias("coherent_cells")),
         sample.groupBy(*keys).agg(F.count("*").alias("sampled_points"), F.max("stride").alias("proximity_stride"), F.max("capped").alias("proximity_capped")),
         _count(pairs, keys, "pair_count"),
-        _count(project.incident_vertices(surf, keys), keys, "vertices_without_faces", F.count_if("without_face")),
     ]
-    summary = G.vertex_integrity(surf, keys).join(refs, keys, "left").join(G.target_spacing(refs, cfg, keys), keys, "left")
+    # Of the frame nothing is written: a caller that wants values per vertex pays for them.
+    frame = G.surface_frame(surf, refs, cfg, keys).select(*keys, *FRAME_COLUMNS)
+    summary = counts.join(refs, keys, "left").join(G.target_spacing(refs, cfg, keys), keys, "left")
     for part in counted:
         summary = summary.join(part, keys, "left")
     counters = [c for c in summary.columns if c.endswith(("_components", "_regions", "_cells", "_count", "_points"))]
@@ -180,7 +181,7 @@ def geometry_report(surf: DataFrame, cfg: ReviewConfig = ReviewConfig(), keys: S
     summary = materialize(
         summary.withColumns({"observed_grid_area": observed, "area_to_grid": F.try_divide("surface_area", observed)})
     )
-    return GeometryReport(summary, geometry_findings(summary, keys), frame, cells, pairs, holes, bands)
+    return GeometryReport(summary, geometry_findings(summary, keys), frame, cells, pairs, holes, bands, reviewed)
 
 
 def signature(report: GeometryReport, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticeqc.functions.numeric import flag_count
 from latticeqc.operators.ordering import with_global_position
 from latticeqc.operators.ranking import choose_threshold
-from latticeqc.session import materialize
+from latticeqc.session import materialize, spread
 
 
 def rate(numerator: str | Column, denominator: str | Column) -> Column:
@@ -18,31 +21,65 @@ def rate(numerator: str | Column, denominator: str | Column) -> Column:
     return F.try_divide(numerator, denominator)
 
 
+#: Units of a group that one row holds, and draws that one row asks for.
+UNIT_CHUNK, DRAWS = 1 << 18, 1 << 20
+
+
+def _drawn_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, iteration, num, den``: sums over the units that the draws of each iteration take from one chunk of units.
+
+    The draws of a range of iterations become multiplicities (iteration by unit) in one array, whose product with the
+    units gives the sums, so no row per unit and iteration exists anywhere.
+    """
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                text, n, chunk, start, stop = (batch[c][at].as_py() for c in ("text", "n", "chunk", "start", "stop"))
+                units = [batch[c][at].values.to_numpy() for c in ("num", "den")]
+                draws = [str(d).encode() for d in range(n)]
+                sums = [[], []]
+                for i in range(start, stop):
+                    prefix = f"{text}|{i}|".encode()
+                    heads = b"".join([md5(prefix + d).digest()[:8] for d in draws])
+                    place = (np.frombuffer(heads, ">u8") >> 4) % np.uint64(n)
+                    place = place.astype(np.int64) - chunk * UNIT_CHUNK
+                    times = np.bincount(place[(place >= 0) & (place < len(units[0]))], minlength=len(units[0]))
+                    for held, unit in zip(sums, units):
+                        held.append(float(times @ unit))
+                first = [batch[k].take(pa.array(np.full(stop - start, at))) for k in keys]
+                yield pa.RecordBatch.from_arrays([*first, pa.array(np.arange(start, stop)), *map(pa.array, sums)], [*keys, "iteration", "num", "den"])
+
+    return rows.mapInArrow(draw, ", ".join(filter(None, [kinds, "iteration bigint, num double, den double"])))
+
+
 def cluster_bootstrap(
     units: DataFrame, keys: Sequence[str], unit: str, seed: str, iterations: int = 10_000, bounds: Sequence[float] = (0.025, 0.975)
 ) -> DataFrame:
     """Percentile interval of sum(num)/sum(den) over units drawn with replacement, per key group.
 
     ``units`` has ``keys, unit, num, den``, one row per unit.  Draw ``d`` of iteration ``i`` takes the unit at
-    place ``md5(seed|keys|i|d) mod n``, so draws need no generator state and can run anywhere.
+    place ``md5(seed|keys|i|d) mod n``, so draws need no generator state and can run anywhere. A null num or den counts as 0.
+    Units are held in chunks of UNIT_CHUNK; a group of more chunks makes its draws once for each of them.
     """
     keys = list(keys)
-    placed = materialize(with_global_position(units.select(*keys, unit, "num", "den"), [unit], keys=keys))
+    placed = materialize(with_global_position(units.select(*keys, unit, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("num", "den")]), [unit], keys=keys))
     sizes = placed.groupBy(*keys).agg(F.count("*").alias("n"))
-    # One row per place and iteration: the draw table grows with the units, not on the driver.
-    draws = placed.select(*keys, F.col("pos").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
-    text = F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys], F.col("iteration").cast("string"), F.col("draw").cast("string"))
-    number = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
-    drawn = draws.join(sizes, keys) if keys else draws.join(sizes.withColumn("_k", F.lit(1)), F.lit(1) == F.col("_k")).drop("_k")
-    drawn = drawn.withColumn("pos", number % F.col("n")).drop("draw", "n")
-    rates = (
-        drawn.join(placed.select(*keys, "pos", "num", "den"), [*keys, "pos"])
-        .groupBy(*keys, "iteration").agg((F.sum("num") / F.sum("den")).alias("rate"))
-    )
+    listed = F.array_sort(F.collect_list(F.struct("pos", "num", "den")))
+    chunks = placed.groupBy(*keys, F.floor(F.col("pos") / UNIT_CHUNK).alias("chunk")).agg(listed.alias("u"))
+    chunks = chunks.join(sizes, keys) if keys else chunks.crossJoin(sizes)
+    text = F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys])
+    span = F.greatest(F.lit(1), F.floor(F.lit(DRAWS) / F.col("n"))).cast("int")
+    starts = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1), span))
+    rows = chunks.select(*keys, "chunk", "n", text.alias("text"), F.col("u.num").alias("num"), F.col("u.den").alias("den"), span.alias("span"), starts.alias("start"))
+    rows = rows.withColumn("stop", F.least(F.col("start") + F.col("span"), F.lit(iterations))).drop("span")
+    summed = _drawn_sums(spread(rows, *keys, "chunk", "start"), keys).groupBy(*keys, "iteration").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
+    rates = summed.select(*keys, (F.col("num") / F.col("den")).alias("rate"))
     points = F.array(*[F.lit(float(b)) for b in bounds])
     total = units.groupBy(*keys).agg(F.count("*").alias("units"), (F.sum("num") / F.sum("den")).alias("estimate"))
     interval = rates.groupBy(*keys).agg(F.percentile("rate", points).alias("q"))
-    joined = total.join(interval, keys)
+    joined = total.join(interval, keys) if keys else total.crossJoin(interval)
     return joined.select(*keys, "units", "estimate", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 

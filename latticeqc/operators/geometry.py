@@ -140,7 +140,7 @@ def local_cues(frame: DataFrame, cfg: ReviewConfig) -> DataFrame:
         f"least(nanvl(shear, 0D) / {T.number(cfg.shear)}, 1D)",
         "jump_level",
     ]
-    frame = T.stage(frame, {"jump_level": "coalesce(least(degrees(acos(worst_dot)) / 90D, 1D), 0D)"})
+    frame = T.stage(frame, {"jump_level": "CASE WHEN worst_dot IS NULL THEN 0D ELSE least(degrees(acos(worst_dot)) / 90D, 1D) END"})
     # A fold or collapse sets the score to 1; no level exceeds that.
     score = f"CASE WHEN degenerate_a OR degenerate_b OR folded THEN 1D ELSE greatest({', '.join(levels)}) END"
     return T.stage(

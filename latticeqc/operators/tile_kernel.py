@@ -222,8 +222,8 @@ def measured(tile: Tile, refs: dict[str, float], cfg: ReviewConfig) -> dict[str,
     return m
 
 
-def counters(tile: Tile, m: dict[str, np.ndarray]) -> tuple[list[int], float]:
-    """COUNTERS over the own window, and the surface area."""
+def counters(tile: Tile, m: dict[str, np.ndarray]) -> tuple[list[int], float | None]:
+    """COUNTERS over the own window, and the surface area; None without a cell that has one."""
     def n(flag: np.ndarray) -> int:
         return int(np.count_nonzero(flag[tile.own]))
 
@@ -239,7 +239,8 @@ def counters(tile: Tile, m: dict[str, np.ndarray]) -> tuple[list[int], float]:
         there, tile.valid, there & ~finite, tile.valid & ~finite, there & every, there & some & ~every,
         there & tile.masked & (tile.valid != (np.isfinite(z) & (z > 0))), tile.valid & ~incident,
     ]
-    return cells + pairs + [n(v) for v in vertices], float(np.nansum(m["area"][tile.own]))
+    area = m["area"][tile.own]
+    return cells + pairs + [n(v) for v in vertices], None if np.isnan(area).all() else float(np.nansum(area))
 
 
 def masks(tile: Tile, m: dict[str, np.ndarray]) -> dict[str, np.ndarray]:

@@ -26,8 +26,8 @@ PLACE = ("tile_row int, tile_col int, top int, left int, height int, width int")
 #: Columns of the measures behind each metric; edge lengths are NaN where an edge is not usable.
 VALUES = {m: [{"h_len_ok": "h_len", "v_len_ok": "v_len"}.get(c, c) for c in ([cols] if isinstance(cols, str) else cols)] for m, cols in METRICS.items()}
 ENTRIES = [(cue, tag, flag, value, largest) for cue, listed in EXAMPLES.items() for flag, value, largest, tag in listed]
-#: Leading bits of a value that make its bin: sign, exponent and eight bits of the fraction.
-BIN_BITS = 20
+#: Leading bits of a value that make its bin: sign, exponent and six bits of the fraction.
+BIN_BITS = 18
 
 
 def _ddl(df: DataFrame, keys: Sequence[str]) -> str:
@@ -125,7 +125,7 @@ def value_quantiles(measured: DataFrame, keys: Sequence[str], probs: Sequence[fl
     """``keys, metric, n, q``: exact quantiles, linear between order statistics, of the values of all tiles.
 
     The bins of all tiles are summed and tell in which bin each wanted order statistic lies and at which place; one more
-    pass sends the different values of those bins only (a bin spans a 256th of an octave).
+    pass sends the different values of those bins only (a bin spans a 64th of an octave).
     """
     keys = list(keys)
     group = [*keys, "metric"]
@@ -227,7 +227,7 @@ def review_tiles(tiles: DataFrame, refs: DataFrame, cfg: ReviewConfig, keys: Seq
         place = {"kind": text, "root": big, "row": big, "col": big}
         kinds = {"runs": {"kind": text, "row": big, "lo": big, "hi": big, "root": big}, "links": place, "portals": place, "found": {"entry": big, "row": big, "col": big, "value": real}}
         nested = {n: _struct_lists({c: (k, a) for (c, k), a in zip(columns.items(), lists[n])}) for n, columns in kinds.items()}
-        own = {"counts": pa.array(out["counts"], pa.list_(big)), "area": pa.array(out["area"]), "cells": pa.array(out["cells"], pa.binary()), "score": pa.array(out["score"], pa.binary())}
+        own = {"counts": pa.array(out["counts"], pa.list_(big)), "area": pa.array(out["area"], pa.float64()), "cells": pa.array(out["cells"], pa.binary()), "score": pa.array(out["score"], pa.binary())}
         return {**own, **_value_columns(out["binned"], out["planes"], out["sizes"]), **nested}
 
     schema = f"counts array<bigint>, area double, cells binary, score binary, bins {PAIRS}, planes binary, sizes array<bigint>, runs array<{RUN}>, links array<{LINK}>, portals array<{LINK}>, found array<{FOUND}>"

@@ -127,9 +127,9 @@ FRAME_COLUMNS = [
 ]
 
 
-def tile_references(tiles: DataFrame, cfg: ReviewConfig, keys: Sequence[str] = KEYS) -> DataFrame:
-    """``spacing_reference`` from packed tiles."""
-    medians = T.value_quantiles(T.edge_values(tiles, keys), keys, [0.5])
+def tile_references(tiles: DataFrame, cfg: ReviewConfig, keys: Sequence[str] = KEYS, size: int = T.TILE) -> DataFrame:
+    """``spacing_reference`` from packed tiles of ``size``."""
+    medians = T.value_quantiles(T.edge_values(tiles, keys, size), keys, [0.5])
     median = lambda m: F.max(F.when(F.col("metric") == m, F.col("q")[0]))
     wide = medians.groupBy(*keys).agg(median(0).alias("obs_h"), median(1).alias("obs_v"))
     packages = tiles.select(*keys).distinct()

@@ -329,7 +329,7 @@ def normal_jumps(fx):
        ON j.package_id=c.package_id AND j.row=c.row AND j.col=c.col GROUP BY 1,2,3""",
 )
 def normal_jump_score(fx):
-    score = F.coalesce(F.least(F.degrees(F.acos("worst_dot")) / 90.0, F.lit(1.0)), F.lit(0.0))
+    score = F.when(F.col("worst_dot").isNull(), F.lit(0.0)).otherwise(F.least(F.degrees(F.acos("worst_dot")) / 90.0, F.lit(1.0)))
     return cells(fx).select(*K, rounded(score).alias("score"))
 
 

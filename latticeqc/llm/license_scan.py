@@ -15,6 +15,7 @@ repeated results, also with the same id; other columns are ignored. Whole texts
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -148,6 +149,23 @@ def common_in_order(a: list[bytes], b: list[bytes]) -> int:
     return row[-1]
 
 
+def best_share(template: list[bytes], words: list[bytes], least: float) -> float:
+    """Largest share of the template that stands in order in windows of four template lengths, each half over the next.
+
+    So whatever fits into two lengths lies whole in a window. A window of a long span is compared only if it holds ``least`` of
+    the template's words in any order.
+    """
+    size = 4 * len(template)
+    if len(words) <= size:
+        return common_in_order(template, words) / len(template)
+    need, best = Counter(template), 0.0
+    for start in range(0, len(words) - size // 2, size // 2):
+        window = words[start : start + size]
+        if (need & Counter(window)).total() >= max(least, best) * len(template):
+            best = max(best, common_in_order(template, window) / len(template))
+    return best
+
+
 def scan_licenses(docs: DataFrame, scan: LicenseScan = LicenseScan(), templates: Mapping[str, tuple[str, ...]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Documents and spans.
 
@@ -174,10 +192,9 @@ def scan_licenses(docs: DataFrame, scan: LicenseScan = LicenseScan(), templates:
             good = []
             for s in found or ():
                 label, template = listed[s["template"]]
-                inside = words[s["first"] : s["last"] + 1]
                 # Ends of a template shorter than k are not in the hits: look at as many words around.
                 wide = words[max(0, s["first"] - scan.k) : s["last"] + 1 + scan.k]
-                share = common_in_order(template, wide if len(wide) <= 4 * len(template) else inside[: 4 * len(template)]) / len(template)
+                share = best_share(template, wide, scan.min_share)
                 if share >= scan.min_share:
                     good.append({"label": label, "first": s["first"], "last": s["last"], "votes": s["votes"], "share": share})
             out["n_words"].append(len(words))

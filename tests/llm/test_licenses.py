@@ -58,3 +58,12 @@ def test_edited_statements_and_corner_cases(spark):
 
 def test_common_in_order():
     assert common_in_order("a b c d".split(), "a x c d".split()) == 3 and common_in_order([], ["a"]) == 0
+
+
+def test_statement_behind_a_long_repetitive_span(spark):
+    """A phrase over and over merges into one long span; a whole statement behind it, or between such runs, still counts."""
+    run, whole = "licensed under the apache " * 12, "licensed under the apache license version 2 0"
+    texts = [whole, run + whole, run * 20 + whole + " " + run * 20, run * 20]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = {r.doc_id: r.labels for r in scan_licenses(frame)[0].collect()}
+    assert all("apache-2.0" in labels[i].split(",") for i in (0, 1, 2)) and "apache-2.0" not in labels[3].split(",")

@@ -11,11 +11,15 @@ MARKUP = re.compile(
 )
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Elements by how they are laid out.
-RAW = {"script", "style", "noscript", "template", "svg", "textarea", "title", "iframe", "object", "math", "select"}
+RAW = {"script", "style", "template", "svg", "textarea", "title", "iframe", "select"}
 VOID = {"area", "base", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "br"}
 INLINE = set(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var noscript object"
+    " math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts"
+    " mtable mtr mtd semantics annotation".split()
 )
+#: Foreign elements, which end at once where their tag ends with a slash.
+FOREIGN = {"svg", "math"}
 #: An opening tag ends an open element of these kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that an implied end does not go beyond.
@@ -37,12 +41,22 @@ def _features(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def _below(above: tuple[str, ...], steps: tuple[str, ...]) -> tuple[str, ...]:
+    """The path one element deeper. A step that comes again is left out but for the last two steps.
+
+    So the path of deep nesting stays as long as the page has names, and neither its steps nor their first order change.
+    """
+    whole = above + steps
+    return (*dict.fromkeys(whole[:-2]), *whole[-2:])
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks in page order; white space inside a block is one space, character references are decoded.
 
     The path of a block is that of the laid-out elements around it; inline elements are not in it.
 
-    Scripts, styles, comments and the like have no text. ``br`` is white space. Unclosed elements end where HTML
+    Scripts, styles, drawings, comments and the like have no text; formulas, ``noscript`` and ``object`` are text
+    of the block around them. ``br`` is white space. Unclosed elements end where HTML
     ends them: a paragraph at the next block, a list item at the next item.
     """
     out: list[Block] = []
@@ -88,6 +102,8 @@ def blocks(page: str) -> list[Block]:
             elif tag in ("p", "br"):
                 say(" ")
             continue
+        if tag in FOREIGN and found[0].endswith("/>"):
+            continue
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = close.end() if close else end
@@ -109,7 +125,7 @@ def blocks(page: str) -> list[Block]:
                 if stack[k][0] in WALLS:
                     break
         above = stack[-1][1] if stack else ()
-        stack.append((tag, above if tag in INLINE else above + _features(tag, found[3] or found[6] or "")))
+        stack.append((tag, above if tag in INLINE else _below(above, _features(tag, found[3] or found[6] or ""))))
         state["anchor"] += tag == "a"
     flush()
     return out

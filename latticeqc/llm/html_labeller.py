@@ -4,8 +4,8 @@ A page is a sequence of leaf blocks. A bidirectional LSTM in numpy reads, for ea
 tag path (tags, class and id words), a hashed vector of its words and a few measures, and labels every
 block as article or not, knowing the whole page in both directions.
 
-It is trained on the driver on a bounded sample: ``sample`` real pages (smallest hashes), labelled by what their
-tags say of themselves (article and main, or navigation, footers, adverts, forms, comments), and ``composed``
+It is trained on the driver on a bounded sample: ``sample`` real pages (smallest hashes, as many of them as have
+``characters`` code points in all, and at least one), labelled by what their tags say of themselves (article and main, or navigation, footers, adverts, forms, comments), and ``composed``
 pages put together from the sample's paragraphs under many other layouts, so that the labels are
 learned from context and wording where a page names nothing. Then every page is labelled, whole.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ PATH, WORDS, MEASURES = 384, 48, 8
 #: Names by which pages say what a part is.
 ARTICLE_TAGS = {"article", "main"}
 ARTICLE_NAMES = set("article content entry post story main body text".split())
-OTHER_TAGS = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "label", "fieldset", "figure"}
+OTHER_TAGS = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "label", "fieldset"}
 OTHER_NAMES = set(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs byline comment commentlist comments consent cookie cookies disclaimer disqus footer gdpr header hero legal login masthead menu menubar modal nav navbar navigation newsletter notice notices notification popup promo promoted recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar topbar widget widgets".split()
 )
@@ -39,9 +40,10 @@ OTHER_NAMES = set(
 
 @dataclass(frozen=True)
 class Labeller:
-    """``sample`` bounds the real pages, ``composed`` the made ones; blocks from ``threshold`` on are article."""
+    """``sample`` and ``characters`` bound the real pages, ``composed`` the made ones; blocks from ``threshold`` on are article."""
 
     sample: int = 300
+    characters: int = 16_000_000
     composed: int = 600
     hidden: int = 24
     epochs: int = 9
@@ -283,11 +285,12 @@ def compose(paragraphs: list[str], rng) -> tuple[list[Block], list[int]]:
     start = pick(ARTICLES)
     made.append(start)
     if rng.random() < 0.7:
-        made.append(f"<h1>{mine(short(2, 12))}</h1>")
+        made.append(pick(["<h1>{}</h1>", "<h1>{}</h1>", "<header><h1>{}</h1></header>"]).format(mine(short(2, 12))))
     for _ in range(int(rng.integers(1, 14))):
-        form = int(rng.integers(8))
+        form = int(rng.integers(9))
         body = mine(some())
-        made.append(["<p>{}</p>", "<p>{}</p>", "<p>{}", "<div>{}</div>", "<p><b>{}<br>", "<ul><li>{}</li></ul>", "<blockquote><p>{}</p></blockquote>", "<h2>{}</h2>"][form].format(body))
+        laid = ["<p>{}</p>", "<p>{}</p>", "<p>{}", "<div>{}</div>", "<p><b>{}<br>", "<ul><li>{}</li></ul>", "<blockquote><p>{}</p></blockquote>", "<h2>{}</h2>", '<figure><img src="a.png"><figcaption>{}</figcaption></figure>'][form]
+        made.append(laid.format(body) * (2 if rng.random() < 0.04 else 1))  # a text may come twice
         if rng.random() < 0.12:
             made.append(other())
     if rng.random() < 0.3:
@@ -302,10 +305,14 @@ def compose(paragraphs: list[str], rng) -> tuple[list[Block], list[int]]:
 def train(pages: DataFrame, labeller: Labeller = Labeller(), id_col: str = "page_id", html_col: str = "html") -> BiLstm | None:
     """The labeller fitted on at most ``sample`` pages and ``composed`` made ones; None without a page."""
     rows = inputs(pages, page=id_col, html=html_col).where("html is not null and html <> ''")
-    # First only the hashes: the pages themselves come to the driver once, not from every task.
+    # First only hashes and lengths: the pages themselves come to the driver once, not from every task.
     hashed = rows.withColumn("place", F.xxhash64("page", "html"))
-    last = hashed.select("place").orderBy("place").limit(labeller.sample).agg(F.max("place")).first()[0]
-    picked = sorted(hashed.where(F.col("place") <= last).select("place", "html").limit(labeller.sample).collect()) if last is not None else []
+    listed = hashed.select("place", F.length("html").alias("size")).orderBy("place", "size").limit(labeller.sample).collect()
+    total = accumulate(r.size for r in listed)
+    fitting = [r.place for k, (r, t) in enumerate(zip(listed, total)) if not k or t <= labeller.characters]
+    # Rows of one hash are one page, so that one of them is enough.
+    picked = hashed.where(F.col("place") <= fitting[-1]).groupBy("place").agg(F.any_value("html").alias("html")).collect() if fitting else []
+    picked.sort(key=lambda r: r.place)
     real = [found for found in (blocks(r.html) for r in picked) if found]
     paragraphs = [b.text for page in real for b in page if said_label(b.path)] or [b.text for page in real for b in page]
     if not paragraphs:

@@ -36,6 +36,37 @@ def test_blocks_of_broken_markup():
     assert blocks("") == [] and blocks("<") == [hl.Block("<", (), 0)] and blocks("a < b")[0].text == "a < b"
 
 
+def test_nothing_but_raw_elements_is_dropped():
+    page = """<article><p>One <svg class="i"/> two <svg><path d="m"/><title>t</title></svg>end</p><p>three four</p>
+    <p>sum <math><mfrac><mi>a</mi><mn>2</mn></mfrac><mo>=</mo><mi>b</mi></math> here <math/>is</p>
+    <noscript>no script</noscript><div><object data="x">instead</object></div><figure><img><figcaption>the caption</figcaption></figure></article>"""
+    texts = ["One two end", "three four", "sum a2=b here is", "no script", "instead", "the caption"]
+    assert [b.text for b in blocks(page)] == texts and all(hl.said_label(b.path) for b in blocks(page))
+
+
+def test_deep_nesting_keeps_short_paths():
+    depth = 20_000
+    found = blocks("<article>" + "<div>a" * depth + "</div>" * depth + "</article><div><div><div><nav>b")
+    assert len(found) == depth + 1 and max(len(b.path) for b in found) <= 4
+    assert [hl.said_label(b.path) for b in (found[0], found[-2], found[-1])] == [1, 1, 0]
+
+
+def test_sample_is_bounded_by_bytes(spark):
+    pages = spark.createDataFrame([(k, f"<article><p>{'word ' * 100}{k}</p></article>") for k in range(6)] * 2, "page_id long, html string")
+    small = hl.Labeller(composed=2, epochs=1, characters=1)
+    assert hl.train(pages, small) is not None
+
+
+def test_kept_by_the_trained_net(spark):
+    net = hl.train(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    lead, more = "The river rose over the old bridge in the night, and nobody in the town slept.", "In the morning the water had gone down again, and people came out to look at the damage."
+    page = f"""<body><nav><ul><li><a href="/">home</a></li></ul></nav><article><header><h1>The river</h1></header><p>{lead}</p><p>{more}</p><p>{more}</p><p>It rose by
+    <math><mi>h</mi><mo>=</mo><mn>3</mn></math> m <svg/> that night, as the gauge below the bridge shows.</p><figure><img><figcaption>The old bridge after the flood, seen from the south.</figcaption></figure></article><footer>legal notes</footer></body>"""
+    rows = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    kept = ["The river", lead, more, more, "It rose by h=3 m that night, as the gauge below the bridge shows.", "The old bridge after the flood, seen from the south."]
+    assert hl.extract(rows, net).first().text.split("\n\n") == kept
+
+
 def test_corner_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain words only"), (3, "u", "plain words only"), (4, "u", "<article><p>" + "word " * 50_000 + "</article>"), (5, "u", "<nav>x</nav>")]
     pages = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")

@@ -13,6 +13,7 @@ from latticeqc.plans.geometry_report import GeometryReport, geometry_report
 from latticeqc.session import materialize
 from latticeqc.sources import rasters
 from latticeqc.sources.packages import list_files
+from latticeqc.sources.ranges import opens
 from latticeqc.sources.surfaces import load_surface
 
 
@@ -28,10 +29,15 @@ class FolderTables:
 
 
 def read_folder(spark: SparkSession, root: str, decoder: rasters.Decoder = rasters.decode_strips) -> FolderTables:
-    """Listing, decoding facts, metadata texts, vertices and mask samples of every package below ``root``."""
+    """Listing, decoding facts, metadata texts, vertices and mask samples of every package below ``root``.
+
+    The default decoder reads rasters by ranges of bytes; another one, or a store that Python workers do not
+    know, gets each raster whole (2 GB at most).
+    """
     files = list_files(spark, root, content=True)
-    planes = files.where("filename LIKE '%.tif'").selectExpr("dir AS package_id", "replace(filename, '.tif', '') AS channel", "content")
-    decoded = materialize(rasters.ingest_rasters(planes, decoder))
+    planes = files.where("filename LIKE '%.tif'").selectExpr("dir AS package_id", "replace(filename, '.tif', '') AS channel", "concat(dir, '/', filename) AS path", "bytes", "content")
+    one = planes.select("path").first() if decoder is rasters.decode_strips else None
+    decoded = materialize(rasters.ingest_raster_files(planes.drop("content")) if one and opens(one.path) else rasters.ingest_rasters(planes, decoder))
     meta = files.where("filename = 'meta.json'").select(F.col("dir").alias("package_id"), F.col("content").cast("string").alias("raw_json"))
     listing = list_files(spark, root).select("dir", "filename")
     return FolderTables(listing, rasters.channel_table(decoded), materialize(meta), rasters.vertex_table(decoded), rasters.mask_table(decoded))

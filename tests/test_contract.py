@@ -1,4 +1,5 @@
 import json
+import struct
 
 import numpy as np
 import pytest
@@ -115,6 +116,52 @@ def test_rasters_are_sent_in_slices(spark):
     assert {(r["row"], r["col"]): r["value"] for r in rows.where("row IS NOT NULL").collect()} == {(i, j): plane[i, j] for i in range(5) for j in range(7)}
 
 
+def stripped(plane, order, rows, big=False, magic=None, following=None):
+    """A TIFF of ``plane`` in strips of ``rows`` rows that lie backwards in the file."""
+    place, count = ("Q", "Q") if big else ("I", "H")
+    parts = [plane[at : at + rows].astype(plane.dtype.newbyteorder(order)).tobytes() for at in range(0, len(plane), rows)]
+    body, at, places = b"", 16, []
+    for part in reversed(parts):
+        places.insert(0, at + len(body))
+        body += part
+    width = struct.calcsize(place)
+    lists = [struct.pack(f"{order}{len(parts)}{place}", *v) for v in (places, [len(p) for p in parts])]
+    ends = [at + len(body), at + len(body) + len(lists[0])]
+    code = 16 if big else 4
+    fields = [(256, 4, 1, plane.shape[1]), (257, 4, 1, plane.shape[0]), (258, 4, 1, 8 * plane.dtype.itemsize), (259, 4, 1, 1), (339, 4, 1, 3)]
+    fields += [(tag, code, len(parts), v[0] if len(v) == 1 else end) for tag, v, end in ((273, places, ends[0]), (279, [len(p) for p in parts], ends[1]))]
+    where = at + len(body) + sum(map(len, lists))
+    tags = b"".join(struct.pack(f"{order}HH{place}", t, c, n) + struct.pack(order + ("I" if c == 4 else "Q"), v).ljust(width, b"\0") for t, c, n, v in fields)
+    head = (b"II" if order == "<" else b"MM") + struct.pack(order + "H", magic or (43 if big else 42)) + (struct.pack(order + "HHQ", 8, 0, where) if big else struct.pack(order + "I", where)).ljust(12, b"\0")
+    return head + body + b"".join(lists) + struct.pack(order + count, len(fields)) + tags + struct.pack(order + place, where if following else 0)
+
+
+def test_rasters_are_read_by_ranges(spark, tmp_path):
+    plane = np.arange(35, dtype="float32").reshape(5, 7)
+    made = {
+        "little": stripped(plane, "<", 2), "big end": stripped(plane, ">", 1), "wide": stripped(plane, "<", 2, big=True), "wide%20one": stripped(plane, ">", 5, big=True), "one": rasters.encode_strip(plane),
+        "odd": stripped(plane, "<", 2, magic=44), "circle": stripped(plane, "<", 2, following=True), "short": rasters.encode_strip(plane)[:-90], "no": b"no", "empty": b"",
+    }
+    for name, content in made.items():
+        (tmp_path / name).write_bytes(content)
+    listed = [(name, "x", f"file:{tmp_path / name}", len(content), "extra") for name, content in made.items()] + [("null", "x", None, None, "extra")]
+    files = spark.createDataFrame(listed, "package_id string, channel string, path string, bytes long, first string")
+    found = rasters.ingest_raster_files(files, slice_rows=8, piece_bytes=48)
+    whole = rasters.ingest_rasters(spark.createDataFrame([(n, "x", c) for n, c in made.items()], "package_id string, channel string, content binary"))
+    assert found.schema == whole.schema
+    facts = {r["package_id"]: r for r in rasters.channel_table(found).collect()}
+    sound = {"little", "big end", "wide", "wide%20one", "one"}
+    assert {n for n, r in facts.items() if r["readable"]} == sound and len(facts) == len(listed)
+    assert {r["package_id"] for r in rasters.channel_table(whole).where("readable").collect()} == sound
+    assert all((r["dtype"], r["frames"], r["ndim"], r["height"], r["width"]) == ("float32", 1, 2, 5, 7) for n, r in facts.items() if n in sound)
+    samples = found.where("row IS NOT NULL").collect()
+    assert sorted((r["package_id"], r["row"], r["col"], r["value"]) for r in samples) == sorted((n, i, j, plane[i, j]) for n in sound for i in range(5) for j in range(7))
+    # 140 bytes in pieces of 48 are three pieces, whatever the strips.
+    assert [[(r["at"], r["size"]) for r in p] for p in rasters.pieces((10, 200), (30, 40), 48)] == [[(10, 30), (200, 18)], [(218, 22)]]
+    with pytest.raises(ValueError):
+        rasters.ingest_raster_files(files, piece_bytes=20)
+
+
 def test_bootstrap_repeats_and_stays_in_range(spark):
     units = spark.createDataFrame([("g", f"u{i}", float(i % 2), 1.0) for i in range(20)], "g string, unit string, num double, den double")
     first, second = (cluster_bootstrap(u, ["g"], "unit", "s", 250).first() for u in (units, units.repartition(6)))

@@ -76,6 +76,21 @@ def offset_ladder(normals: DataFrame, seams: DataFrame, offsets: Sequence[float]
     )
 
 
+def moved_control(surf: DataFrame, cases: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """Per case: ``vertices``, ``moved_vertices`` (finite, a coordinate off by more than ``tolerance``) and ``validity_mismatches``.
+
+    The null case has to move nothing, and no case may change which vertices are valid.
+    """
+    at = ["package_id", "row", "col"]
+    before = surf.select(*at, *[F.col(a).alias(f"_{a}") for a in "xyz"], F.col("valid").alias("_valid"))
+    near = " AND ".join(f"abs({a} - _{a}) <= {tolerance!r}D" for a in "xyz")
+    finite = " AND ".join(f"abs({a}) < CAST('Infinity' AS DOUBLE)" for a in "xyz")
+    return cases.join(before, at).groupBy(*CASE).agg(
+        F.count("*").alias("vertices"), F.count_if(F.expr(f"{finite} AND NOT ({near})")).alias("moved_vertices"),
+        F.count_if(~F.col("valid").eqNullSafe(F.col("_valid"))).alias("validity_mismatches"),
+    )
+
+
 def seam_cells(cells: DataFrame, seams: DataFrame, width: int) -> DataFrame:
     """Valid cells whose corners get different shares of the offset."""
     joined = cells.where("cell_valid").join(seams, "package_id")

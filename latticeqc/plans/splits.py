@@ -54,3 +54,15 @@ def isolated_split(nodes: DataFrame, edges: DataFrame, development: DataFrame, t
     named = component_ids(labels).select("node", "component_id")
     role = F.when(F.col("held"), "holdout").otherwise(F.col("role"))
     return roles.join(held, "label", "left").join(named, "node").select("node", "component_id", role.alias("role"))
+
+
+def disjointness(parts: DataFrame) -> DataFrame:
+    """One row on ``component_id, role``: components, those with nodes on both sides, nodes, development and holdout."""
+    sides = parts.groupBy("component_id").agg(
+        F.bool_or(F.col("role").isin("development", "excluded")).alias("d"), F.bool_or(F.col("role").isin("holdout", "clean")).alias("h"),
+        F.count("*").alias("n"), F.count_if(F.col("role") == "development").alias("dn"), F.count_if(F.col("role") == "holdout").alias("hn"),
+    )
+    return sides.agg(
+        F.count("*").alias("components"), F.count_if(F.col("d") & F.col("h")).cast("int").alias("mixed_components"), F.sum("n").alias("nodes"),
+        F.sum("dn").alias("development"), F.sum("hn").alias("holdout"),
+    )

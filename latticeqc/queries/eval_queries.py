@@ -58,17 +58,23 @@ def isolated_split(fx):
 
 @query(
     "split_disjointness",
-    f"SELECT count(DISTINCT component_id) AS components, 0 AS mixed_components, count(*) AS nodes, count(*) FILTER (role='development') AS development, count(*) FILTER (role='holdout') AS holdout FROM ({ROLE_SQL})",
+    f"""SELECT count(*) AS components, CAST(count(*) FILTER (d AND h) AS INT) AS mixed_components, CAST(sum(n) AS BIGINT) AS nodes, CAST(sum(dn) AS BIGINT) AS development, CAST(sum(hn) AS BIGINT) AS holdout FROM
+        (SELECT component_id, bool_or(role IN ('development','excluded')) AS d, bool_or(role IN ('holdout','clean')) AS h, count(*) AS n, count(*) FILTER (role='development') AS dn, count(*) FILTER (role='holdout') AS hn FROM ({ROLE_SQL}) GROUP BY 1)""",
 )
 def split_disjointness(fx):
-    parts = split(fx).groupBy("component_id").agg(
-        F.bool_or(F.col("role").isin("development", "excluded")).alias("d"), F.bool_or(F.col("role").isin("holdout", "clean")).alias("h"),
-        F.count("*").alias("n"), F.count_if(F.col("role") == "development").alias("dn"), F.count_if(F.col("role") == "holdout").alias("hn"),
-    )
-    return parts.agg(
-        F.count("*").alias("components"), F.count_if(F.col("d") & F.col("h")).cast("int").alias("mixed_components"), F.sum("n").alias("nodes"),
-        F.sum("dn").alias("development"), F.sum("hn").alias("holdout"),
-    )
+    return splits.disjointness(split(fx))
+
+
+@query(
+    "split_leakage",
+    f"""SELECT count(*) AS components, CAST(count(*) FILTER (d AND h) AS INT) AS mixed_components, CAST(sum(n) AS BIGINT) AS nodes, CAST(sum(dn) AS BIGINT) AS development, CAST(sum(hn) AS BIGINT) AS holdout FROM
+        (SELECT component_id, bool_or(role='development') AS d, bool_or(role='holdout') AS h, count(*) AS n, count(*) FILTER (role='development') AS dn, count(*) FILTER (role='holdout') AS hn
+         FROM (SELECT component_id, CASE WHEN CAST(node AS BIGINT)%3=0 THEN 'development' ELSE 'holdout' END AS role FROM ({ROLE_SQL})) GROUP BY 1)""",
+)
+def split_leakage(fx):
+    # The same check of a split that deals nodes without regard to their components.
+    naive = F.when(F.col("node").cast("bigint") % 3 == 0, "development").otherwise("holdout")
+    return splits.disjointness(split(fx).withColumn("role", naive))
 
 
 @query(
@@ -200,6 +206,16 @@ def null_control(fx):
     return out.withColumn("identical", (F.col("coordinate_mismatches") == 0) & (F.col("validity_mismatches") == 0))
 
 
+@query(
+    "moved_control",
+    """SELECT m.package_id, m.offset_voxels, m.width_cells, count(*) AS vertices,
+       count(*) FILTER (NOT (abs(m.x-s.x)<=0.01 AND abs(m.y-s.y)<=0.01 AND abs(m.z-s.z)<=0.01) AND isfinite(m.x+m.y+m.z)) AS moved_vertices, count(*) FILTER (m.valid IS DISTINCT FROM s.valid) AS validity_mismatches
+       FROM moved m JOIN surf s ON s.package_id=m.package_id AND s.row=m.row AND s.col=m.col GROUP BY 1,2,3""",
+)
+def moved_control(fx):
+    return X.moved_control(materialize(fx.surf), ladder(fx), tolerance=0.01)
+
+
 define("seam_set", f"SELECT q.package_id, q.row, q.col FROM quad q JOIN seams s ON s.package_id=q.package_id WHERE ok AND abs(({share_sql(POS.replace('col', 'q.col+1').replace('ELSE row', 'ELSE q.row+1'), '4')})-({share_sql(POS.replace('col', 'q.col').replace('ELSE row', 'ELSE q.row'), '4')}))>1e-12")
 
 
@@ -421,6 +437,39 @@ def frozen_protocol_guard(fx):
     return checked.groupBy(F.expr("k div 100").alias("run")).agg(*[F.bool_and(c).alias(c) for c in flags])
 
 
+SCHEMA_NAME = "split-v1"
+# Each order is a run: its frozen document from orders, its own from lineitem, with changes by remainders of the key.
+_FROZEN_DOC = f"""concat('{{"schema_version":"', CASE WHEN k%50=1 THEN 'split-v0' ELSE '{SCHEMA_NAME}' END, '","source":{{"selected_patch_ids_sha256":"', sha2(CAST(k AS STRING),256),
+ '"}},"frozen_detector":{{"configuration":{{"limits":{{"edge":', k%7, ',"ratio":0.5}},"names":["a","b"],"none":[]}}}},"protocol":{{"normal_offsets_voxels":[4,8,16],"transition_widths_cells":[1,4,12],"annotation_neighborhood_radius_cells":3}},',
+ '"split":{{"development_ids":["p', k, '","p', k+1, '","p', k+2, '"],"development_related_excluded_ids":["p', k+3, '"],"clean_holdout_pool_ids":["p', k+4, '","p', k+5,
+ CASE WHEN k%140=9 THEN concat('","p', k+3, '","p', k, '","p', k) ELSE '' END, '"],"selected_holdout_ids":["p', k+CASE WHEN k%130=7 THEN 1 ELSE 4 END, '"]}}}}')"""
+_OWN_DOC = """concat('{"frozen_detector":{"configuration":{"none":[],"names":', CASE WHEN k%70=4 THEN 'null' ELSE '["a","b"]' END, ',"limits":{"ratio":', CASE WHEN k%70=3 THEN '0.50' ELSE '0.5' END, ',"edge":', k%7+CASE WHEN k%70=5 THEN 1 ELSE 0 END, '}}},
+ "source":{"selected_patch_ids_sha256":"', CASE WHEN k%60=2 THEN 'other' ELSE sha2(CAST(k AS STRING),256) END, '"},"protocol":{"normal_offsets_voxels":', CASE k%80 WHEN 4 THEN '[4,8]' WHEN 5 THEN '[4.0,8,16,32]' WHEN 6 THEN '[4,16,8]' ELSE '[4.0,8e0,16]' END,
+ ',"transition_widths_cells":', CASE WHEN k%90=5 THEN '[1,4,13]' ELSE '[1,4,12]' END, ',"annotation_neighborhood_radius_cells":', CASE WHEN k%110=6 THEN '4' WHEN k%110=7 THEN '"3"' ELSE '3' END, '}}')"""
+
+
+define("protocol_runs", "SELECT o_orderkey AS k, l.k IS NULL AS lost FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem) l ON l.k=o_orderkey")
+
+
+@query(
+    "frozen_protocol_findings",
+    """SELECT * FROM (SELECT k AS run, 'unsupported-schema' AS code, CAST(k%50=1 AS BIGINT) AS n FROM protocol_runs
+         UNION ALL SELECT k, 'ids-differ', CAST(lost OR k%60=2 AS BIGINT) FROM protocol_runs
+         UNION ALL SELECT k, 'configuration-differs', CASE WHEN lost THEN 5 WHEN k%70=4 THEN 3 WHEN k%70=5 THEN 1 ELSE 0 END FROM protocol_runs
+         UNION ALL SELECT k, 'offsets-differ', CASE WHEN lost THEN 3 WHEN k%80 IN (4,5) THEN 1 WHEN k%80=6 THEN 2 ELSE 0 END FROM protocol_runs
+         UNION ALL SELECT k, 'widths-differ', CASE WHEN lost THEN 3 WHEN k%90=5 THEN 1 ELSE 0 END FROM protocol_runs
+         UNION ALL SELECT k, 'radius-differs', CAST(lost OR k%110 IN (6,7) AS BIGINT) FROM protocol_runs
+         UNION ALL SELECT k, 'development-in-holdout', CAST(k%130=7 AS BIGINT) FROM protocol_runs
+         UNION ALL SELECT k, 'component-leaks', CASE WHEN k%140=9 THEN 2 ELSE 0 END FROM protocol_runs) WHERE n>0""",
+)
+def frozen_protocol_findings(fx):
+    from latticeqc.plans.protocol import protocol_findings
+
+    frozen = fx.table("orders").selectExpr("o_orderkey AS k").selectExpr("k AS run", f"{_FROZEN_DOC} AS raw_json")
+    own = fx.table("lineitem").selectExpr("l_orderkey AS k").distinct().selectExpr("k AS run", f"{_OWN_DOC} AS raw_json")
+    return protocol_findings(frozen, own, ["run"], SCHEMA_NAME)
+
+
 @query(
     "preregistered_fixture",
     """SELECT b.package_id, height=50 AND width=64 AS shape_ok, nf=0 AS finite_ok, xy=0 AND xz=0 AS sentinels_agree, valid_vertices=3101 AS vertices_ok, added_quads=b.last_row_quads+b.last_col_quads-b.corner_quad AS boundary_ok FROM boundary_counts b JOIN

@@ -9,6 +9,7 @@ from latticeqc.operators import geometry as G
 from latticeqc.operators import grid
 from latticeqc.plans.full_review import DOUBLE, SINGLE, full_review
 from latticeqc.plans import geometry_report as R
+from latticeqc.plans import reporting as P
 from latticeqc.queries.contract_queries import whole
 from latticeqc.queries.grid_queries import CFG, K, METRIC_SQL, cells, frame
 from latticeqc.queries.registry import define, query
@@ -276,3 +277,21 @@ def benchmark_snapshot(fx):
 @query("finding_prevalence", "SELECT code, count(DISTINCT package_id) AS packages FROM all_findings GROUP BY 1")
 def finding_prevalence(fx):
     return whole(fx).findings.select("package_id", "code").distinct().groupBy("code").agg(F.count("*").alias("packages"))
+
+
+_TEXTS = {
+    "Grid shape": "concat(height,' x ',width)", "Valid vertices": "format('{:,}',valid_count)", "Valid quads": "format('{:,}',valid_quads)",
+    "Vertex components": "format('{:,}',vertex_components)", "Enclosed gaps": "format('{:,}',enclosed_regions)", "Long / short edges": "concat(long_edges,' / ',short_edges)",
+    "Folded quads": "format('{:,}',folded_quads)", "Normal jumps": "format('{:,}',normal_jumps)", "Nonlocal pairs": "format('{:,}',pair_count)",
+    "Area": "format('{:,}.{:03d}',CAST(floor(round(area*1000)/1000) AS BIGINT),CAST(round(area*1000) AS BIGINT)%1000)",
+}
+
+
+@query(
+    "headline_rows",
+    f"""SELECT package_id, u.label, u.value FROM (SELECT g.package_id, unnest([{','.join(f"{{'label': '{k}', 'value': {v}}}" for k, v in _TEXTS.items())}]) AS u FROM geo_facts g
+       JOIN (SELECT package_id, max(row)+1 AS height, max(col)+1 AS width, count(*) FILTER (valid) AS valid_count FROM surf GROUP BY 1) s ON s.package_id=g.package_id
+       JOIN (SELECT package_id, coalesce(sum(area) FILTER (isfinite(area)),0) AS area FROM cells GROUP BY 1) a ON a.package_id=g.package_id)""",
+)
+def headline_rows(fx):
+    return P.headline_rows(R.geometry_report(fx.surf, CFG).summary)

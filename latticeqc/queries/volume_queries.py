@@ -213,17 +213,32 @@ define(
 )
 
 
+def tiles(fx):
+    sized = fx.grid_raw.join(vol_shape(fx).select("package_id", "height", "width"), "package_id")
+    for axis, pos, size in (("row0", "r", "height"), ("col0", "c", "width")):
+        starts = V.window_starts(size, 32, 24)
+        sized = sized.selectExpr("*", f"explode(filter({starts}, s -> {pos} BETWEEN s AND s + 31)) AS {axis}")
+    return sized.selectExpr("package_id", "r AS row", "c AS col", "row0", "col0", "0.5D+0.1D*e+0.01D*((row0+col0)%3) AS prob")
+
+
 @query(
     "overlap_blend",
     f"""SELECT package_id, row, col, {r6('sum(prob*w)/sum(w)')} AS value FROM (SELECT *, greatest({_BELL.format(p='(row-row0)')}*{_BELL.format(p='(col-col0)')}/power(exp(-5e-1*power(5e-1/4e0,2)),2),1e-4) AS w FROM tile_rows) GROUP BY 1,2,3""",
 )
 def overlap_blend(fx):
-    sized = fx.grid_raw.join(vol_shape(fx).select("package_id", "height", "width"), "package_id")
-    for axis, pos, size in (("row0", "r", "height"), ("col0", "c", "width")):
-        starts = V.window_starts(size, 32, 24)
-        sized = sized.selectExpr("*", f"explode(filter({starts}, s -> {pos} BETWEEN s AND s + 31)) AS {axis}")
-    tiles = sized.selectExpr("package_id", "r AS row", "c AS col", "row0", "col0", "0.5D+0.1D*e+0.01D*((row0+col0)%3) AS prob")
-    return V.overlap_blend(tiles, 32).withColumn("value", rounded(F.col("value")))
+    return V.overlap_blend(tiles(fx), 32).withColumn("value", rounded(F.col("value")))
+
+
+_LOST = "package_id%3=1 AND row0=18 AND col0=0"
+
+
+@query(
+    "uncovered",
+    f"""SELECT package_id, r AS row, c AS col FROM grid_raw g WHERE NOT EXISTS (SELECT 1 FROM tile_rows t WHERE t.package_id=g.package_id AND t.row=g.r AND t.col=g.c AND NOT ({_LOST}))""",
+)
+def uncovered(fx):
+    blended = V.overlap_blend(tiles(fx).where(f"NOT ({_LOST})"), 32)
+    return V.uncovered(fx.grid_raw.selectExpr("package_id", "r AS row", "c AS col"), blended)
 
 
 # --- normalization and caches --------------------------------------------------------------------

@@ -11,7 +11,7 @@ from latticeqc.plans import scoring as S
 from latticeqc.plans import splits
 from latticeqc.plans.geometry_report import cell_shapes
 from latticeqc.queries.grid_queries import CFG, K, frame
-from latticeqc.queries.registry import define, query
+from latticeqc.queries.registry import define, define_over, query
 from latticeqc.queries.sql import r6
 from latticeqc.queries.topology_queries import _dilated, graph, versions
 from latticeqc.session import materialize
@@ -216,7 +216,12 @@ def moved_control(fx):
     return X.moved_control(materialize(fx.surf), ladder(fx), tolerance=0.01)
 
 
-define("seam_set", f"SELECT q.package_id, q.row, q.col FROM quad q JOIN seams s ON s.package_id=q.package_id WHERE ok AND abs(({share_sql(POS.replace('col', 'q.col+1').replace('ELSE row', 'ELSE q.row+1'), '4')})-({share_sql(POS.replace('col', 'q.col').replace('ELSE row', 'ELSE q.row'), '4')}))>1e-12")
+def _seam_set(width: int) -> str:
+    far, near = (share_sql(POS.replace("col", f"q.col{step}").replace("ELSE row", f"ELSE q.row{step}"), str(width)) for step in ("+1", ""))
+    return f"SELECT q.package_id, q.row, q.col FROM quad q JOIN seams s ON s.package_id=q.package_id WHERE ok AND abs(({far})-({near}))>1e-12"
+
+
+define("seam_set", _seam_set(4))
 
 
 def seam_band(fx):
@@ -246,7 +251,36 @@ def incremental_cues(fx):
     return X.incremental(every.where("high_shear"), every.where("jump_cue"), ["package_id"]).join(band, K, "left_semi")
 
 
-@query("perturbation_benchmark")
+# The moved surfaces as packages of their own, and the blocks of the review once more over them.
+define("moved_surf", "SELECT package_id*10000+CAST(offset_voxels AS INT)*100+width_cells AS package_id, row, col, x, y, z, valid, CAST(NULL AS BOOLEAN) AS explicit_mask FROM moved")
+define_over("moved_", "final_cells", "surf")
+define(
+    "seam_bands",
+    " UNION ALL ".join(
+        f"SELECT d.package_id, {w} AS width_cells, d.row, d.col FROM ({_dilated(_seam_set(w), 1)}) d JOIN quad q ON q.package_id=d.package_id AND q.row=d.row AND q.col=d.col AND q.ok"
+        for w in WIDTHS
+    ),
+)
+define(
+    "moved_cues",
+    """SELECT m.*, e.row IS NOT NULL AS near, m.cue AND NOT coalesce(b.cue,false) AS incremental, m.band AND NOT coalesce(b.band,false) AS incremental_step, m.cue_before AND NOT coalesce(b.cue_before,false) AS incremental_before
+       FROM (SELECT package_id//10000 AS package_id, package_id%10000//100*1e0 AS offset_voxels, package_id%100 AS width_cells, row, col, cue, band, cue_before FROM moved_final_cells) m
+       LEFT JOIN final_cells b ON b.package_id=m.package_id AND b.row=m.row AND b.col=m.col
+       LEFT JOIN seam_bands e ON e.package_id=m.package_id AND e.width_cells=m.width_cells AND e.row=m.row AND e.col=m.col""",
+)
+_FAMILIES = ("incremental", "incremental_step", "incremental_before")
+_COUNTED = ", ".join(f"count(*) FILTER ({f}) AS {f}_cells, count(*) FILTER ({f} AND near) AS {f}_localized" for f in _FAMILIES)
+
+
+@query(
+    "perturbation_benchmark",
+    f"""SELECT s.package_id, l.o AS offset_voxels, l.w AS width_cells, orientation, seam, support, coalesce(z.n,0) AS evaluation_cells,
+       {', '.join(f"coalesce({f}_{k},0) AS {f}_{k}" for f in _FAMILIES for k in ('cells', 'localized'))}, coalesce(localized_cue_cells,0) AS localized_cue_cells, coalesce(localized_cue_cells,0)>0 AS raw_detected,
+       coalesce(incremental_localized,0)>0 AS detected, coalesce(incremental_step_localized,0)>0 AS step_detected, coalesce(incremental_before_localized,0)>0 AS before_detected
+       FROM seams s CROSS JOIN ladder l LEFT JOIN (SELECT package_id, width_cells, count(*) AS n FROM seam_bands GROUP BY 1,2) z ON z.package_id=s.package_id AND z.width_cells=l.w
+       LEFT JOIN (SELECT package_id, offset_voxels, width_cells, {_COUNTED}, count(*) FILTER (cue AND near) AS localized_cue_cells FROM moved_cues GROUP BY 1,2,3) c
+       ON c.package_id=s.package_id AND c.offset_voxels=l.o AND c.width_cells=l.w""",
+)
 def perturbation_benchmark(fx):
     return X.perturbation_benchmark(fx.surf, OFFSETS, WIDTHS)
 

@@ -34,6 +34,28 @@ def define(name: str, text: str) -> None:
     CTES[name] = text.strip()
 
 
+def define_over(prefix: str, name: str, base: str) -> None:
+    """Copy the block ``name``, and all blocks between it and ``base``, to prefixed blocks that read ``prefix + base`` instead."""
+
+    def named(text: str) -> list[str]:
+        return [w for w in dict.fromkeys(re.findall(r"(?:FROM|JOIN)\s+([A-Za-z_]\w*)", text)) if w in CTES]
+
+    above: dict[str, bool] = {base: True}
+
+    def reaches(block: str) -> bool:
+        if block not in above:
+            above[block] = False  # a recursive block names itself
+            above[block] = any([reaches(w) for w in named(CTES[block])])
+        return above[block]
+
+    reaches(name)
+    chain = [w for w, used in above.items() if used]
+    pattern = re.compile(rf"\b(FROM|JOIN)(\s+)({'|'.join(chain)})\b")
+    for block in chain:
+        if block != base:
+            define(prefix + block, pattern.sub(rf"\1\2{prefix}\3", CTES[block]))
+
+
 def with_ctes(body: str) -> str:
     """Prefix ``body`` with the blocks it names, directly or through other blocks."""
     order: list[str] = []

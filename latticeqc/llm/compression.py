@@ -8,18 +8,24 @@ compress (encoded binary, keys, random characters) lies above it. Short texts co
 so the limits depend on the length. A document is rejected for its chunks when more than ``chunk_share``
 of its bytes lie in chunks outside, so one table or list does not reject a long document.
 
+``fit_rules`` moves the stated limits inwards to what the corpus shows: for each doubling of the length it takes the
+5 % and 95 % points of the ratios of all different texts that pass the base rules (copies count once), leaves a margin beyond them, and
+moves a limit by ``FitLimits.low_move`` or ``high_move`` at most, so that a length that is full of junk or of copies of one text
+cannot turn the limits against the rest. Lengths with few texts keep the stated limits; so does an empty table.
+
 A null text counts as empty; an empty text has ratio null, fails the word rule and is not kept. Repeated
 rows give repeated results; other columns are ignored; whole texts are read, chunk by chunk.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from latticeqc.llm.common import arrow_pass, inputs
 
@@ -92,6 +98,55 @@ def _judge(text: bytes, rules: CompressionRules, compressor) -> tuple:
     )
 
 
+@dataclass(frozen=True)
+class FitLimits:
+    """How far ``fit_rules`` may move a limit, the margin it leaves, and the different texts that a length has to have."""
+
+    low_margin: float = 0.8
+    high_margin: float = 1.15
+    low_move: float = 0.10
+    high_move: float = 0.15
+    min_texts: int = 100
+    accuracy: int = 10_000
+
+
+def fit_rules(docs: DataFrame, rules: CompressionRules = CompressionRules(), limits: FitLimits = FitLimits(), text_col: str = "text") -> CompressionRules:
+    """``rules`` with bands and chunk limits fitted to all texts of ``docs``; at most one row per doubling of the length reaches the driver."""
+    rows = inputs(docs, body_=text_col)
+    rows = rows.withColumn("body_", rows["body_"].cast("binary"))
+    size = rules.chunk_bytes
+
+    def measure(batch: pa.RecordBatch) -> dict:
+        compressor = zstandard.ZstdCompressor(level=rules.level)
+        found: list[tuple[int, int, float]] = []
+        for text in batch["body_"].to_pylist():
+            words = text.split() if text else []
+            if len(words) < rules.min_words or 100 * repeated_words(words) > rules.max_repeat_percent * len(words):
+                continue
+            found.append((len(text).bit_length() - 1, len(text), len(compressor.compress(text)) / len(text)))
+            found += [(-1, size, len(compressor.compress(text[at : at + size])) / size) for at in range(0, len(text) - size + 1, size)]
+        group, length, ratio = zip(*found) if found else ((), (), ())
+        return {"doubling": pa.array(group, pa.int32()), "length": pa.array(length, pa.int64()), "ratio": pa.array(ratio, pa.float64())}
+
+    points = F.percentile_approx("ratio", F.array(F.lit(0.05), F.lit(0.95)), limits.accuracy).alias("at")
+    seen = arrow_pass(rows, measure, "doubling int, length bigint, ratio double").distinct().groupBy("doubling").agg(F.count("*").alias("n"), points)
+    shown = {r.doubling: r["at"] for r in seen.where(F.col("n") >= limits.min_texts).collect()}
+
+    def moved(low: float, high: float, at: list[float] | None) -> tuple[float, float]:
+        if at is None:
+            return low, high
+        return min(max(low, at[0] * limits.low_margin), low + limits.low_move), max(min(high, at[1] * limits.high_margin), high - limits.high_move)
+
+    starts = sorted({b[0] for b in rules.bands} | {1 << k for k in shown if k >= 0} | {2 << k for k in shown if k >= 0})
+    bands = []
+    for start in starts:
+        stated = [b for b in rules.bands if b[0] <= start]
+        if stated:
+            bands.append((start, *moved(*max(stated)[1:], shown.get(start.bit_length() - 1) if start else None)))
+    low, high = moved(rules.chunk_low, rules.chunk_high, shown.get(-1))
+    return replace(rules, bands=tuple(bands), chunk_low=low, chunk_high=high)
+
+
 COLUMNS = (
     ("n_words", "bigint"), ("word_chars", "bigint"), ("n_symbols", "bigint"), ("n_dup_lines", "bigint"), ("n_repeat_words", "bigint"),
     ("base_failed", "boolean"), ("kept", "boolean"), ("ratio", "double"), ("chunk_min", "double"), ("chunk_max", "double"), ("band", "string"),

@@ -143,7 +143,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_compression_bands")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compression.judge_documents(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return compression.judge_documents(docs, compression.fit_rules(docs))
 
 
 # Each conversation shares its first crc32(id) % 9 turns with the one whose id is the next lower multiple of five.

@@ -114,6 +114,29 @@ def test_junk_is_found_wherever_it_stands():
     assert judge(long + repeats + b" " * 16 + clean[:10]) == judge(long + repeats + b" " * 16) == "pass"
 
 
+def test_fitted_limits(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(3000)]
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    junk = lambda n: " ".join("".join(rng.choice(letters, 12)) for _ in range(n // 13))
+    prose = [" ".join(rng.choice(vocabulary, n)) for n in (100, 200, 400, 800, 1600, 3200) for _ in range(120)]
+    planted = [junk(n) for n in (1200, 1500, 2500, 3500, 5000, 9000, 20000)]
+    # Copies of one text that outnumber all others of their length.
+    docs = frame(spark, [*prose, *planted, *[prose[300]] * 2000, None, ""]).repartition(8)
+    stated, fitted = compression.CompressionRules(), compression.fit_rules(docs)
+    assert fitted == compression.fit_rules(docs.repartition(3))
+    for start, low, high in fitted.bands:
+        outer = max(b for b in stated.bands if b[0] <= start)
+        assert outer[1] <= low <= outer[1] + 0.1 + 1e-9 and outer[2] - 0.15 - 1e-9 <= high <= outer[2]
+    assert any(high < max(b for b in stated.bands if b[0] <= start)[2] for start, _, high in fitted.bands)
+    rows = {r.doc_id: r for r in compression.judge_documents(docs, fitted).collect()}
+    assert all(rows[k].kept for k in range(len(prose)))
+    assert [rows[len(prose) + k].band for k in range(len(planted))] == ["incompressible"] * len(planted)
+    before = compression.judge_documents(docs, stated).collect()
+    assert any(r.band == "pass" and len(prose) <= r.doc_id < len(prose) + len(planted) for r in before)
+    assert compression.fit_rules(docs.where("false")) == stated
+
+
 def test_empty_table(spark):
     empty = frame(spark, ["x"]).where("false")
     assert compression.judge_documents(empty).count() == 0

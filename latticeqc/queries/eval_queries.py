@@ -9,7 +9,7 @@ from latticeqc.operators.ordering import evenly_spaced, row_count, with_global_p
 from latticeqc.plans import perturbation as X
 from latticeqc.plans import scoring as S
 from latticeqc.plans import splits
-from latticeqc.plans.geometry_report import cell_shapes
+from latticeqc.plans.geometry_report import cell_shapes, geometry_report
 from latticeqc.queries.grid_queries import CFG, K, frame
 from latticeqc.queries.registry import define, define_over, query
 from latticeqc.queries.sql import r6
@@ -253,6 +253,15 @@ def incremental_cues(fx):
 
 # The moved surfaces as packages of their own, and the blocks of the review once more over them.
 define("moved_surf", "SELECT package_id*10000+CAST(offset_voxels AS INT)*100+width_cells AS package_id, row, col, x, y, z, valid, CAST(NULL AS BOOLEAN) AS explicit_mask FROM moved")
+# The same pairs as std_pairs, met in cubes of the limit's side.
+define("moved_points", "SELECT u.*, 25e-2*sqrt(obs_h*obs_v) AS near, floor(x/(25e-2*sqrt(obs_h*obs_v))) AS i, floor(y/(25e-2*sqrt(obs_h*obs_v))) AS j, floor(z/(25e-2*sqrt(obs_h*obs_v))) AS k FROM moved_usable u JOIN moved_refs r ON r.package_id=u.package_id")
+define(
+    "moved_std_pairs",
+    """SELECT a.package_id, a.row AS a_row, a.col AS a_col, b.row AS b_row, b.col AS b_col FROM
+       (SELECT p.* EXCLUDE (i, j, k), i+di AS i, j+dj AS j, k+dk AS k FROM moved_points p CROSS JOIN (SELECT unnest([-1,0,1]) AS di) CROSS JOIN (SELECT unnest([-1,0,1]) AS dj) CROSS JOIN (SELECT unnest([-1,0,1]) AS dk)) a
+       JOIN moved_points b ON b.package_id=a.package_id AND b.i=a.i AND b.j=a.j AND b.k=a.k AND (b.row>a.row OR (b.row=a.row AND b.col>a.col)) WHERE greatest(abs(a.row-b.row),abs(a.col-b.col))>4
+       AND sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)+(b.z-a.z)*(b.z-a.z))<a.near""",
+)
 define_over("moved_", "final_cells", "surf")
 define(
     "seam_bands",
@@ -285,6 +294,18 @@ def perturbation_benchmark(fx):
     return X.perturbation_benchmark(fx.surf, OFFSETS, WIDTHS)
 
 
+@query("incremental_moved_cues", "SELECT package_id, offset_voxels, width_cells, row, col, near FROM moved_cues WHERE incremental AND offset_voxels=16 AND width_cells=4")
+def incremental_moved_cues(fx):
+    surf = materialize(fx.surf)
+    normals = materialize(X.averaged_normals(surf))
+    seams = materialize(X.choose_seam(normals))
+    moved = X.offset_ladder(normals, seams, [16.0], [4]).where("offset_voxels > 0").drop("orientation", "seam")
+    fresh = X.incremental(geometry_report(moved, CFG, X.CASE).cells.where("cue"), geometry_report(surf, CFG).cells.where("cue"))
+    valid = materialize(grid.quad_cells(surf))
+    band = X.evaluation_cells(X.seam_cells(valid, seams, 4), valid, cell_shapes(surf)).withColumn("near", F.lit(True))
+    return fresh.join(band, K, "left").select(*X.CASE, "row", "col", F.coalesce("near", F.lit(False)).alias("near"))
+
+
 # --- rates and bootstrap -------------------------------------------------------------------------
 
 CASES = [

@@ -35,7 +35,10 @@ def define(name: str, text: str) -> None:
 
 
 def define_over(prefix: str, name: str, base: str) -> None:
-    """Copy the block ``name``, and all blocks between it and ``base``, to prefixed blocks that read ``prefix + base`` instead."""
+    """Copy the block ``name``, and all blocks between it and ``base``, to prefixed blocks that read ``prefix + base`` instead.
+
+    Prefixed blocks that exist already stay as they are.
+    """
 
     def named(text: str) -> list[str]:
         return [w for w in dict.fromkeys(re.findall(r"(?:FROM|JOIN)\s+([A-Za-z_]\w*)", text)) if w in CTES]
@@ -52,7 +55,7 @@ def define_over(prefix: str, name: str, base: str) -> None:
     chain = [w for w, used in above.items() if used]
     pattern = re.compile(rf"\b(FROM|JOIN)(\s+)({'|'.join(chain)})\b")
     for block in chain:
-        if block != base:
+        if block != base and prefix + block not in CTES:
             define(prefix + block, pattern.sub(rf"\1\2{prefix}\3", CTES[block]))
 
 

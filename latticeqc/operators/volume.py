@@ -69,9 +69,10 @@ def sample_rays(sites: DataFrame, voxels: DataFrame, shape: DataFrame, keys: Seq
     ray = [*keys, "site", "i"]
     within = rays.where(inside).select(*ray, "pz", "py", "px")
     near = stage(within, {f"v{a}": f"CAST(floor(p{a} + 0.5D) AS INT)" for a in "zyx"}).select(*ray, "vz", "vy", "vx")
+    # Voxels and samples grow with the volume, whatever Catalyst takes for their size before they are exploded: no broadcast.
     named = voxels.select(*keys, *[F.col(a).alias(f"v{a}") for a in "zyx"], "label", "prob")
     at = [*keys, "vz", "vy", "vx"]
-    labels = near.join(named.drop("prob"), at, "left").select(*ray, F.coalesce("label", F.lit(0)).alias("label"))
+    labels = near.join(named.drop("prob").hint("merge"), at, "left").select(*ray, F.coalesce("label", F.lit(0)).alias("label"))
     # Eight corners with their weights; corners of weight zero drop out.
     corner = [
         "struct(" + ", ".join(f"CAST(floor(p{a}) AS INT) + {d} AS v{a}" for a, d in zip("zyx", c))
@@ -79,10 +80,10 @@ def sample_rays(sites: DataFrame, voxels: DataFrame, shape: DataFrame, keys: Seq
         for c in product((0, 1), repeat=3)
     ]
     corners = within.selectExpr(*ray, f"inline(filter(array({', '.join(corner)}), c -> c.w > 0))")
-    values = corners.join(named.drop("label"), at).groupBy(*ray).agg(F.sum(F.col("w") * F.col("prob")).alias("prob"))
+    values = corners.join(named.drop("label").hint("merge"), at).groupBy(*ray).agg(F.sum(F.col("w") * F.col("prob")).alias("prob"))
     zero = F.lit(0)
     return (
-        rays.select(*ray).join(labels, ray, "left").join(values, ray, "left")
+        rays.select(*ray).join(labels.hint("merge"), ray, "left").join(values.hint("merge"), ray, "left")
         .select(*ray, F.coalesce("label", zero).alias("label"), F.coalesce("prob", F.lit(0.0)).alias("prob"))
     )
 

@@ -164,7 +164,8 @@ define("prob_vox", "SELECT v.package_id, v.z, v.y, v.x, v.label, 5e-1+2e-1*g.e A
 )
 def sample_rays_on_table(fx):
     prob = fx.grid_raw.selectExpr("package_id", "r AS y", "c AS x", "0.5D+0.2D*e AS prob")
-    table = voxels(fx).join(prob, ["package_id", "y", "x"])
+    # Both sides have a row per voxel, which the size of the unexploded table hides.
+    table = voxels(fx).join(prob.hint("merge"), ["package_id", "y", "x"])
     out = V.sample_rays(vol_sites(fx), table, vol_shape(fx), ["package_id"])
     return out.withColumn("prob", rounded(F.col("prob")))
 

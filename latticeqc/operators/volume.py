@@ -88,26 +88,67 @@ def sample_rays(sites: DataFrame, voxels: DataFrame, shape: DataFrame, keys: Seq
     )
 
 
+#: Powers of two of the sides of a block of voxels (z, y, x); along x a block has one word of bits.
+BLOCK_BITS = (2, 5, 6)
+
+
+def _packed(foreground: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, bz, by, bx, words``: the foreground of each block as bits, one word for each of its lines along x."""
+    keys = list(keys)
+    lines = 1 << (BLOCK_BITS[0] + BLOCK_BITS[1])
+    there = foreground.selectExpr(*[f"`{k}`" for k in keys], *[f"CAST({a} AS BIGINT) AS v{a}" for a in "zyx"]).where("vz IS NOT NULL AND vy IS NOT NULL AND vx IS NOT NULL")
+    placed = stage(there, {**{f"b{a}": f"shiftright(v{a}, {n})" for a, n in zip("zyx", BLOCK_BITS)}, "line": _line("vz", "vy"), "bit": f"shiftleft(1L, {_inside('vx', BLOCK_BITS[2])})"})
+    block = [*keys, "bz", "by", "bx"]
+    words = placed.groupBy(*block, "line").agg(F.bit_or("bit").alias("word"))
+    listed = words.groupBy(*block).agg(F.map_from_entries(F.collect_list(F.struct("line", "word"))).alias("m"))
+    return listed.selectExpr(*[f"`{k}`" for k in block], f"transform(sequence(0, {lines - 1}), i -> coalesce(try_element_at(m, i), 0L)) AS words")
+
+
+def _inside(place: str, bits: int) -> str:
+    return f"CAST({place} & {(1 << bits) - 1} AS INT)"
+
+
+def _line(z: str, y: str) -> str:
+    return f"{_inside(z, BLOCK_BITS[0])} * {1 << BLOCK_BITS[1]} + {_inside(y, BLOCK_BITS[1])}"
+
+
 def next_sheet_spacing(sites: DataFrame, foreground: DataFrame, shape: DataFrame, keys: Sequence[str], cap: int = SPACING_CAP) -> DataFrame:
-    """Distance along the normal to the next sheet: first hit after leaving the own one, nearer of both sides."""
+    """Distance along the normal to the next sheet: first hit after leaving the own one, nearer of both sides.
+
+    A site goes once to each block of voxels that its steps meet, and looks its steps up in the block's bits.
+    """
     keys = list(keys)
-    moves = F.explode(F.expr(f"flatten(transform(array(1, -1), s -> transform(sequence(1, {cap - 1}), d -> struct(s AS sign, d AS d))))"))
-    marched = sites.withColumn("_m", moves).select("*", "_m.sign", "_m.d").drop("_m").join(shape, keys)
     sides = dict(zip("zyx", ("depth", "height", "width")))
-    sampled = stage(marched, {f"v{a}": f"CAST(least(greatest(rint({a} + sign * d * n{a}), 0D), {n} - 1) AS INT)" for a, n in sides.items()})
-    gt = foreground.select(*keys, *[F.col(a).alias(f"v{a}") for a in "zyx"]).distinct().withColumn("_hit", F.lit(True))
-    hits = sampled.join(gt, [*keys, "vz", "vy", "vx"], "left").withColumn("hit", F.col("_hit").isNotNull())
-    # At most cap - 1 steps per ray, so the list is bounded.
-    walked = hits.groupBy(*keys, "site", "z", "y", "x", "sign").agg(F.collect_list(F.struct("d", "hit")).alias("w"))
-    gap = stage(walked, {"gap": "array_min(transform(filter(w, s -> NOT s.hit), s -> s.d))"})
-    back = stage(gap, {"back": "array_min(transform(filter(w, s -> s.hit AND s.d > gap), s -> s.d))"})
-    return back.groupBy(*keys, "site", "z", "y", "x").agg(F.coalesce(F.min("back"), F.lit(cap)).alias("spacing"))
+    row = [*keys, "site", "z", "y", "x"]
+    full = [*row, *[f"n{a}" for a in "zyx"], *sides.values()]
+    steps = f"flatten(transform(array(1, -1), s -> transform(sequence(1, {cap - 1}), d -> s * d)))"
+    at = ", ".join(f"CAST(least(greatest(rint({a} + s * n{a}), 0D), {n} - 1) AS INT) AS v{a}" for a, n in sides.items())
+    walk = f"transform({steps}, s -> struct(s, {at}))"
+    block = ", ".join(f"shiftright(v.v{a}, {n}) AS b{a}" for a, n in zip("zyx", BLOCK_BITS))
+    dealt = sites.join(shape, keys).select(*full).withColumn("_b", F.explode(F.expr(f"array_distinct(transform({walk}, v -> struct({block})))")))
+    met = dealt.select(*full, *[F.col(f"_b.b{a}").cast("bigint").alias(f"b{a}") for a in "zyx"])
+    # Blocks grow with the volume, whatever Catalyst takes for their size before they are exploded: no broadcast.
+    met = met.join(_packed(foreground, keys).hint("merge"), [*keys, "bz", "by", "bx"], "left")
+    here = " AND ".join(f"shiftright(v.v{a}, {n}) = b{a}" for a, n in zip("zyx", BLOCK_BITS))
+    bit = f"shiftright(words[{_line('v.vz', 'v.vy')}], {_inside('v.vx', BLOCK_BITS[2])}) & 1L"
+    hits = F.expr(f"CASE WHEN words IS NULL THEN array() ELSE transform(filter({walk}, v -> {here} AND ({bit}) = 1L), v -> v.s) END")
+    # At most 2 * (cap - 1) steps per site, so the lists are bounded.
+    # Dealt by site once, which serves both aggregates.
+    walked = met.select(*full, hits.cast("array<int>").alias("_h")).repartition(*row).groupBy(*full).agg(F.flatten(F.collect_list("_h")).alias("_h"))
+    walked = walked.select(*row, *[F.expr(f"transform(filter(_h, s -> s {'>' if sign > 0 else '<'} 0), s -> {sign} * s)").alias(n) for n, sign in (("_up", 1), ("_down", -1))])
+    gap = lambda side: F.min(F.expr(f"array_min(array_except(sequence(1, {cap - 1}), {side}))"))
+    out = walked.groupBy(*row).agg(*[f(n).alias(f"{n}_{what}") for n in ("_up", "_down") for what, f in (("gap", gap), ("hit", lambda n: F.flatten(F.collect_list(n))))])
+    back = [F.expr(f"array_min(filter({n}_hit, d -> d > {n}_gap))") for n in ("_up", "_down")]
+    return out.select(*row, F.coalesce(F.least(*back), F.lit(cap)).alias("spacing"))
 
 
 def panel_measurements(spacing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Share and number of compressed sites, median and tenth percentile."""
     from latticeqc.operators.quantiles import exact_quantiles
+    from latticeqc.session import materialize
 
+    # Read by the counts and by each pass of the quantiles.
+    spacing = materialize(spacing.select(*keys, "spacing"))
     near = F.col("spacing") <= COMPRESSED_MAX
     counts = spacing.groupBy(*keys).agg(
         F.count("*").alias("sites"), F.count_if(near).alias("compressed_sites"), F.avg(near.cast("double")).alias("compressed_share")

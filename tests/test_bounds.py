@@ -23,3 +23,42 @@ def test_rays_broadcast_no_voxels(spark):
     text = plan(all_queries.QUERIES["sample_rays_on_table"](spark, "/root/testdata/sf0.001"))
     # Only shapes, one row per package, may be broadcast; all other joins have several keys.
     assert not re.findall(r"BroadcastHashJoin \[[^\]]*,", text)
+
+
+def walked(sites, solid, shape, cap):
+    """Every step of every site looked up alone."""
+    out = {}
+    for key, site, z, y, x, *normal in sites:
+        if key not in shape:
+            continue
+        for sign in (1, -1):
+            hit = {}
+            for d in range(1, cap):
+                at = [np.rint(0 if p is None or n is None else p + sign * d * n) for p, n in zip((z, y, x), normal)]
+                hit[d] = (key, *[int(min(max(a, 0), size - 1)) for a, size in zip(at, shape[key])]) in solid
+            gap = min((d for d in hit if not hit[d]), default=None)
+            back = min((d for d in hit if hit[d] and gap is not None and d > gap), default=cap)
+            held = out.setdefault((key, site, z, y, x), cap)
+            out[key, site, z, y, x] = min(held, back)
+    return out
+
+
+@pytest.mark.parametrize("cap", [40, 5])
+def test_spacing_by_blocks(spark, cap):
+    rng = random.Random(cap)
+    shape = {1: (9, 70, 150), 2: (1, 3, 4)}
+    solid = {(k, rng.randrange(d), rng.randrange(h), rng.randrange(w)) for k, (d, h, w) in shape.items() for _ in range(9000 if k == 1 else 5)}
+    sites = [(k, i, *[rng.randrange(n) for n in shape.get(k, (1, 1, 1))], *[rng.uniform(-1.6, 1.6) for _ in range(3)]) for i, k in enumerate([1] * 150 + [2] * 20 + [3])]
+    sites += [(1, 900, 0, 0, 0, None, 0.0, 1.0), sites[0], (1, 901, 2, 2, 2, 0.0, 0.0, 0.0)]
+    got = V.next_sheet_spacing(
+        spark.createDataFrame(sites, "package_id long, site long, z int, y int, x int, nz double, ny double, nx double"),
+        spark.createDataFrame([*solid, *list(solid)[:9], (1, None, 2, 3)], "package_id long, z int, y int, x int"),
+        spark.createDataFrame([(k, *s) for k, s in shape.items()], "package_id long, depth int, height int, width int"), ["package_id"], cap,
+    )
+    rows = got.collect()
+    expected = walked(sites, solid, shape, cap)
+    assert len(rows) == len(expected) and {tuple(r)[:5]: r.spacing for r in rows} == expected
+    # A site goes to the blocks that its 78 steps meet, not to every step.
+    packed = V._packed(spark.createDataFrame(list(solid), "package_id long, z int, y int, x int"), ["package_id"])
+    blocks = packed.collect()
+    assert len(blocks) <= 3 * 3 * 3 + 1 and sum(bin(w % 2**64).count("1") for b in blocks for w in b.words) == len(solid)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from latticeqc.functions.numeric import flag_count
 from latticeqc.operators.ordering import with_global_position
 from latticeqc.operators.ranking import choose_threshold
-from latticeqc.session import materialize, spread
+from latticeqc.session import materialize, small_batches, spread
 
 
 def rate(numerator: str | Column, denominator: str | Column) -> Column:
@@ -25,6 +25,103 @@ def rate(numerator: str | Column, denominator: str | Column) -> Column:
 UNIT_CHUNK, DRAWS = 1 << 18, 1 << 20
 
 
+def drawn_places(text: str, start: int, stop: int, n: int) -> Iterator[np.ndarray]:
+    """The unit that each of the ``n`` draws takes, for iterations ``start`` to ``stop - 1``: the first 15 hex digits of
+    md5(text|iteration|draw) modulo ``n``. Digests are made for iterations of one length and draws of one length together."""
+    head = f"{text}|".encode()
+    lengths = lambda lo, hi: [(max(lo, 10**k if k else 0), min(hi, 10 ** (k + 1)), k + 1) for k in range(20) if max(lo, 10**k if k else 0) < min(hi, 10 ** (k + 1))]
+    for first, last, wide in lengths(start, stop):
+        # A few iterations at a time, so that the places held are bounded.
+        for lo in range(first, last, max(DRAWS // n, 1)):
+            hi = min(last, lo + max(DRAWS // n, 1))
+            places = np.empty((hi - lo, n), np.int64)
+            for a, b, digits in lengths(0, n):
+                if len(head) + wide + 1 + digits <= 55:
+                    heads = md5_heads(head, np.arange(lo, hi), wide, np.arange(a, b), digits)
+                else:
+                    joined = b"".join([md5(head + f"{i}|{d}".encode()).digest()[:8] for i in range(lo, hi) for d in range(a, b)])
+                    heads = np.frombuffer(joined, ">u8").reshape(hi - lo, b - a)
+                places[:, a:b] = ((heads >> 4) % np.uint64(n)).astype(np.int64)
+            yield from places
+
+
+_TURNS = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
+_SINES = (np.abs(np.sin(np.arange(1, 65, dtype=np.float64))) * 2.0**32).astype(np.uint64).astype(np.uint32)
+#: Messages whose MD5 is taken at once: their words and the state stay in the cache.
+MESSAGES = 1 << 15
+
+
+def _digit_words(numbers: np.ndarray, count: int, end: int) -> dict[int, np.ndarray]:
+    """The words of a message block that the ``count`` decimal digits of the numbers touch, when the last one stands before ``end``."""
+    words: dict[int, np.ndarray] = {}
+    for at in range(end - 1, end - 1 - count, -1):
+        digit = (numbers % 10 + 48).astype(np.uint32) << np.uint32(at % 4 * 8)
+        words[at // 4] = words[at // 4] | digit if at // 4 in words else digit
+        numbers = numbers // 10
+    return words
+
+
+def _md5_block(words: list) -> tuple[np.ndarray, np.ndarray]:
+    """The first two words of the MD5 of one-block messages; a word is an array, or a number where all messages agree."""
+    size = max(np.size(w) for w in words)
+    a, b, c, d = (np.full(size, v, np.uint32) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    mixed = np.empty(size, np.uint32)
+    for step in range(64):
+        turn, inner = divmod(step, 16)
+        if turn < 2:
+            # b chooses between c and d; in the second turn d chooses between b and c.
+            chooser, one, other, word = (b, c, d, inner) if turn == 0 else (d, b, c, (5 * inner + 1) % 16)
+            np.bitwise_xor(one, other, out=mixed)
+            mixed &= chooser
+            mixed ^= other
+        elif turn == 2:
+            word = (3 * inner + 5) % 16
+            np.bitwise_xor(b, c, out=mixed)
+            mixed ^= d
+        else:
+            word = 7 * inner % 16
+            np.invert(d, out=mixed)
+            mixed |= b
+            mixed ^= c
+        a += mixed
+        if isinstance(words[word], np.ndarray):
+            a += words[word]
+            a += _SINES[step]
+        else:
+            a += np.uint32((words[word] + int(_SINES[step])) & 0xFFFFFFFF)
+        by = _TURNS[turn][step % 4]
+        np.left_shift(a, np.uint32(by), out=mixed)
+        a >>= np.uint32(32 - by)
+        a |= mixed
+        a += b
+        a, d, c, b = d, c, b, a
+    return a + np.uint32(0x67452301), b + np.uint32(0xEFCDAB89)
+
+
+def md5_heads(head: bytes, iterations: np.ndarray, wide: int, draws: np.ndarray, digits: int) -> np.ndarray:
+    """The first 8 bytes, as big-endian numbers, of md5(head, iteration, ``|``, draw) for each iteration (rows) and draw.
+
+    Iterations have ``wide`` digits and draws ``digits``, so every message has the same length, 55 bytes at most: one block.
+    """
+    size = len(head) + wide + 1 + digits
+    fixed = bytearray(head + bytes(wide) + b"|" + bytes(digits) + b"\x80").ljust(56, b"\0") + (8 * size).to_bytes(8, "little")
+    fixed = [int(w) for w in np.frombuffer(bytes(fixed), "<u4")]
+    down, across = _digit_words(iterations, wide, len(head) + wide), _digit_words(draws, digits, size)
+    out = np.empty((len(iterations), len(draws)), np.uint64)
+    rows, columns = max(MESSAGES // len(draws), 1), min(len(draws), MESSAGES)
+    for i in range(0, len(iterations), rows):
+        for d in range(0, len(draws), columns):
+            part = out[i : i + rows, d : d + columns]
+            words = list(fixed)
+            for held, cut in ((down, lambda w: w[i : i + rows, None]), (across, lambda w: w[None, d : d + columns])):
+                for at, word in held.items():
+                    words[at] = words[at] | cut(word)
+            words = [np.broadcast_to(w, part.shape).ravel() if isinstance(w, np.ndarray) else w for w in words]
+            low, high = _md5_block(words)
+            part[:] = (low.byteswap().astype(np.uint64) << np.uint64(32) | high.byteswap().astype(np.uint64)).reshape(part.shape)
+    return out
+
+
 def _drawn_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, iteration, num, den``: sums over the units that the draws of each iteration take from one chunk of units.
 
@@ -38,13 +135,9 @@ def _drawn_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
             for at in range(batch.num_rows):
                 text, n, chunk, start, stop = (batch[c][at].as_py() for c in ("text", "n", "chunk", "start", "stop"))
                 units = [batch[c][at].values.to_numpy() for c in ("num", "den")]
-                draws = [str(d).encode() for d in range(n)]
                 sums = [[], []]
-                for i in range(start, stop):
-                    prefix = f"{text}|{i}|".encode()
-                    heads = b"".join([md5(prefix + d).digest()[:8] for d in draws])
-                    place = (np.frombuffer(heads, ">u8") >> 4) % np.uint64(n)
-                    place = place.astype(np.int64) - chunk * UNIT_CHUNK
+                for place in drawn_places(text, start, stop, n):
+                    place = place - chunk * UNIT_CHUNK
                     times = np.bincount(place[(place >= 0) & (place < len(units[0]))], minlength=len(units[0]))
                     for held, unit in zip(sums, units):
                         held.append(float(times @ unit))
@@ -64,6 +157,7 @@ def cluster_bootstrap(
     Units are held in chunks of UNIT_CHUNK; a group of more chunks makes its draws once for each of them.
     """
     keys = list(keys)
+    small_batches(units.sparkSession)
     placed = materialize(with_global_position(units.select(*keys, unit, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("num", "den")]), [unit], keys=keys))
     sizes = placed.groupBy(*keys).agg(F.count("*").alias("n"))
     listed = F.array_sort(F.collect_list(F.struct("pos", "num", "den")))

@@ -62,3 +62,12 @@ def test_spacing_by_blocks(spark, cap):
     packed = V._packed(spark.createDataFrame(list(solid), "package_id long, z int, y int, x int"), ["package_id"])
     blocks = packed.collect()
     assert len(blocks) <= 3 * 3 * 3 + 1 and sum(bin(w % 2**64).count("1") for b in blocks for w in b.words) == len(solid)
+
+
+@pytest.mark.parametrize("text, start, stop, n", [("boot-1|holdout", 8, 13, 1234), ("é" * 30, 98, 101, 11), ("", 0, 3, 1), ("x" * 48, 9, 11, 30), ("x" * 60, 9, 11, 30), ("s|1", 995, 1004, 70_000)])
+def test_draws_are_the_digests(text, start, stop, n):
+    got = list(S.drawn_places(text, start, stop, n))
+    assert len(got) == stop - start
+    for i, place in zip(range(start, stop), got):
+        some = range(n) if n < 2000 else [0, 9, 10, 99, 9_999, 10_000, 32_768, n - 1]
+        assert all(place[d] == int(md5(f"{text}|{i}|{d}".encode()).hexdigest()[:15], 16) % n for d in some)

@@ -20,7 +20,7 @@ from latticeqc.operators import tile_kernel as K
 from latticeqc.operators.components import star_components
 from latticeqc.operators.geometry import EXAMPLES, METRICS
 from latticeqc.operators.tiles import TILE, TILE_COL, TILE_ROW, tile
-from latticeqc.session import materialize, spread
+from latticeqc.session import materialize, small_batches, spread
 
 PLACE = ("tile_row int, tile_col int, top int, left int, height int, width int")
 #: Columns of the measures behind each metric; edge lengths are NaN where an edge is not usable.
@@ -30,6 +30,10 @@ ENTRIES = [(cue, tag, flag, value, largest) for cue, listed in EXAMPLES.items()
 BIN_BITS = 18
 
 
+#: Tiles whose measures a worker holds at once.
+TILES_AT_ONCE = 16
+
+
 def _ddl(df: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -37,6 +41,7 @@ def _ddl(df: DataFrame, keys: Sequence[str]) -> str:
 def surface_tiles(surf: DataFrame, keys: Sequence[str], size: int = TILE) -> DataFrame:
     """``keys, tile_row, tile_col``, extent, coordinate planes and state bits of every tile with its halo, as binary columns."""
     keys = list(keys)
+    small_batches(surf.sparkSession)
     slim = surf.select(*keys, "row", "col", *[F.col(a).cast("double") for a in "xyz"], F.coalesce("valid", F.lit(False)).alias("valid"), F.col("explicit_mask").isNotNull().alias("masked"))
     dealt = spread(tile(slim, keys, K.BEFORE, K.AFTER, size), *keys, TILE_ROW, TILE_COL)
     names = [*keys, "tile_row", "tile_col", "top", "left", "height", "width", "x", "y", "z", "state"]
@@ -85,11 +90,12 @@ def _binned(values: Sequence[np.ndarray]) -> list[np.ndarray]:
 def _passed(df: DataFrame, keys: Sequence[str], schema: str, measure: Callable[[list[dict]], dict[str, pa.Array]], columns: Sequence[str]) -> DataFrame:
     """``measure`` of the tiles of each Arrow batch, a few at a time; key columns and ``columns`` are passed on."""
     names = [*keys, *columns]
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
+            for at in range(0, whole.num_rows, TILES_AT_ONCE):
+                batch = whole.slice(at, TILES_AT_ONCE)
                 made = measure(batch.to_pylist())
                 yield pa.RecordBatch.from_arrays([*[batch[c] for c in names], *made.values()], [*names, *made])
 
@@ -261,6 +267,7 @@ def tile_cells(reviewed: DataFrame, keys: Sequence[str], size: int = TILE) -> Da
     """``keys, row, col, cell_valid, local_cue, local_score`` of every cell."""
     keys = list(keys)
     places = ["tile_row", "tile_col", "top", "left", "height", "width"]
+    small_batches(reviewed.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -71,3 +71,10 @@ def test_draws_are_the_digests(text, start, stop, n):
     for i, place in zip(range(start, stop), got):
         some = range(n) if n < 2000 else [0, 9, 10, 99, 9_999, 10_000, 32_768, n - 1]
         assert all(place[d] == int(md5(f"{text}|{i}|{d}".encode()).hexdigest()[:15], 16) % n for d in some)
+
+
+def test_batches_of_tiles_are_cut_by_bytes(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    surf = spark.range(20).selectExpr("1L AS package_id", "int(id div 5) AS row", "int(id % 5) AS col", "double(id) AS x", "1D AS y", "2D AS z", "true AS valid", "CAST(NULL AS BOOLEAN) AS explicit_mask")
+    assert surface_tiles(surf, ["package_id"]).count() == 1
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(BATCH_BYTES)

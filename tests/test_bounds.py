@@ -78,3 +78,10 @@ def test_batches_of_tiles_are_cut_by_bytes(spark):
     surf = spark.range(20).selectExpr("1L AS package_id", "int(id div 5) AS row", "int(id % 5) AS col", "double(id) AS x", "1D AS y", "2D AS z", "true AS valid", "CAST(NULL AS BOOLEAN) AS explicit_mask")
     assert surface_tiles(surf, ["package_id"]).count() == 1
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(BATCH_BYTES)
+
+
+def test_compared_sides_keep_their_partitions(spark):
+    sides = [spark.range(50 + i).selectExpr("id AS k", "sha2('a', 256) AS a") for i in range(2)]
+    out = S.expected_vs_actual(*sides, ["k"], ["a"])
+    assert plan(out).count("REPARTITION_BY_NUM") == 2
+    assert out.where("passed").count() == 50 and out.where(~F.col("passed")).count() == 1

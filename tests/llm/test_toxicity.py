@@ -87,3 +87,32 @@ def test_given_documents(spark):
     caught = np.mean([r.predicted for r in held if truth[r.doc_id] == 1])
     false = np.mean([r.predicted for r in held if truth[r.doc_id] == 0])
     assert caught > 0.8 and false < 0.02, (caught, false)
+
+
+def test_every_labelled_row_is_learned_from(spark, fitted, monkeypatch):
+    _, rows, docs = fitted
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    learned = F.col("doc_id") % 4 != 2
+    known = T.labelled_rows(docs, labels, learned, T.FitRules())
+    assert known.count() == sum(r[0] % 4 != 2 for r in rows)
+    # More than the 3,000 rows of label 0 that a fit once looked at, dealt to several shards that all change the net.
+    many = spark.createDataFrame([(i, f"mild{i} word", "en", 0) for i in range(5000)] + [(i, f"brute{i} word", "en", 1) for i in range(5000, 7000)], "doc_id long, text string, lang string, toxic int")
+    rules = T.FitRules(shard_chars=20_000, epochs=1, batches=1, held_back=0.1)
+    assert T.labelled_rows(many, many, F.lit(True), rules).count() == 7000
+    net = T.fit(many, many, F.lit(True), T.NetShape(buckets=1 << 16, size=4, filters=4), rules)
+    start = T.new_net(net.shape, rules.seed)
+    taught = [r.text.split()[0] for r in T.labelled_rows(many, many, F.lit(True), rules).where("NOT back").collect()]
+    moved = (net.table != start.table).any(1)[T.word_features(taught, net.shape.buckets)[:, 0]]
+    assert moved.mean() > 0.5
+    got = T.score_documents(many, net).collect()
+    assert np.mean([(r.score >= 0.3) == (r.doc_id >= 5000) for r in got]) > 0.95
+
+
+def test_responses_of_long_texts(monkeypatch):
+    rng = np.random.default_rng(1)
+    vectors, kernel, bias = rng.normal(size=(40, 3)), rng.normal(size=(3, 3, 5)), rng.normal(size=5)
+    vectors[-1] = 0
+    line, begin = T.padded(rng.integers(0, 39, 100), np.array([0, 0, 60, 61, 100]), 39, 3)
+    whole = T._tops(vectors, line, begin, kernel, bias, 3)
+    monkeypatch.setattr(T, "SPAN", 7)
+    assert all(np.allclose(a, b) for a, b in zip(whole, T._tops(vectors, line, begin, kernel, bias, 3)))

@@ -14,7 +14,7 @@ from latticeqc.queries.grid_queries import CFG, K, frame
 from latticeqc.queries.registry import define, define_over, query
 from latticeqc.queries.sql import r6
 from latticeqc.queries.topology_queries import _dilated, graph, versions
-from latticeqc.session import materialize
+from latticeqc.session import materialize, spread
 from latticeqc.sources.annotations import neighborhoods
 
 # --- splits --------------------------------------------------------------------------------------
@@ -520,8 +520,9 @@ define("protocol_runs", "SELECT o_orderkey AS k, l.k IS NULL AS lost FROM orders
 def frozen_protocol_findings(fx):
     from latticeqc.plans.protocol import protocol_findings
 
-    frozen = fx.table("orders").selectExpr("o_orderkey AS k").selectExpr("k AS run", f"{_FROZEN_DOC} AS raw_json")
-    own = fx.table("lineitem").selectExpr("l_orderkey AS k").distinct().selectExpr("k AS run", f"{_OWN_DOC} AS raw_json")
+    # Keys are dealt before their documents are written.
+    frozen = spread(fx.table("orders").selectExpr("o_orderkey AS k"), "k").selectExpr("k AS run", f"{_FROZEN_DOC} AS raw_json")
+    own = spread(fx.table("lineitem").selectExpr("l_orderkey AS k").distinct(), "k").selectExpr("k AS run", f"{_OWN_DOC} AS raw_json")
     return protocol_findings(frozen, own, ["run"], SCHEMA_NAME)
 
 

@@ -59,3 +59,23 @@ def test_each_rule_fires(spark):
     }
     found = protocol_findings(docs(spark, *[(k, v[0]) for k, v in own.items()]), docs(spark, *[(k, v[1]) for k, v in own.items()]), ["k"], "v1").collect()
     assert {k: {(r["code"], r["n"]) for r in found if r["k"] == k} for k in own} == {k: v[2] for k, v in own.items()}
+
+
+def test_equal_parts_are_not_taken_apart(spark, monkeypatch):
+    from latticeqc.plans import protocol
+
+    taken = []
+    monkeypatch.setattr(protocol, "_leaves", lambda level, keys, depth, real=protocol._leaves: taken.append(level.select("k", "path").collect()) or real(level, keys, depth))
+    own = docs(spark, *[(k, DOC) for k in range(5)], (5, changed("protocol", "normal_offsets_voxels", to=[4, 9])))
+    found = protocol_findings(docs(spark, *[(k, DOC) for k in range(6)]), own, ["k"], "v1").collect()
+    assert [tuple(r) for r in found] == [(5, "offsets-differ", 1)]
+    assert [[tuple(r) for r in rows] for rows in taken] == [[(5, "$.protocol.normal_offsets_voxels")]] * 2
+
+
+def test_repeated_and_null_keys(spark):
+    leaks = [changed("split", "development_ids", to=[4, [1]]), changed("split", "clean_holdout_pool_ids", to=[4.0, [1]])]
+    frozen = docs(spark, (1, DOC), (1, changed("protocol", "normal_offsets_voxels", to=[4, 9])), (2, leaks[0]), (2, leaks[1]), (None, leaks[0]), (None, leaks[1]))
+    seen = docs(spark, (1, DOC), (1, DOC), (2, DOC), (None, DOC))
+    got = {(r["k"], r["code"]): r["n"] for r in protocol_findings(frozen, seen, ["k"], "v1").collect()}
+    assert got[1, "offsets-differ"] == 2 and got[2, "component-leaks"] == 1 == got[None, "component-leaks"]
+    assert got[None, "radius-differs"] == 3 and got[None, "offsets-differ"] == 6 and (2, "radius-differs") not in got

@@ -85,13 +85,13 @@ def _ids(name: str) -> Column:
 
 
 def _met(left: Sequence[str], right: str) -> Column:
-    """How many ids of the document ``_v`` are in one of the lists ``left`` and in ``right``."""
-    names = [*left, right]
-    # Lists of strings, which are the rule, are compared as they are.
-    plain = reduce(Column.__and__, [F.schema_of_variant(F.col(f"_l_{name}")) == "ARRAY<STRING>" for name in names])
-    *some, other = (F.try_variant_get(f"_l_{name}", "$", "array<string>") for name in names)
-    quick = F.size(F.array_intersect(F.concat(*some), other))
-    return F.when(plain, quick).otherwise(F.size(F.array_intersect(F.concat(*map(_ids, left)), _ids(right))))
+    """How many ids of the document ``_v`` are in one of the lists ``left`` and in ``right``; ``_lists`` has the lists as strings.
+
+    Equal ids are equal strings but for numbers, so only documents with numbers, equal strings or without a list are looked at value by value.
+    """
+    some, other = F.concat(*[F.col(f"_lists.{name}") for name in left]), F.col(f"_lists.{right}")
+    apart = (F.size(F.array_intersect(some, other)) == 0) & ~F.concat_ws("\n", some, other).rlike(r"(?m)^-?[0-9.]+(E[-+]?[0-9]+)?$")
+    return F.when(apart, 0).otherwise(F.size(F.array_intersect(F.concat(*map(_ids, left)), _ids(right))))
 
 
 def _by_key(docs: DataFrame, keys: list[str], side: str, more: Sequence[Column] = ()) -> DataFrame:
@@ -122,7 +122,7 @@ def protocol_findings(frozen: DataFrame, seen: DataFrame, keys: Sequence[str], s
     met = [_met(left, right).alias(f"_sum{i}") for i, (left, right) in enumerate(DISJOINT.values())]
     # The largest version stated for a key has to be the wanted one.
     version = [F.coalesce(c.cast("int"), F.lit(0)).alias(name) for c, name in ((stated == wanted, "_sum_same"), (stated > wanted, "_sum_above"))]
-    listed = ours.select("*", *[F.try_variant_get("_v", f"$.split.{name}", "variant").alias(f"_l_{name}") for name in lists])
+    listed = ours.withColumn("_lists", F.try_variant_get("_v", "$.split", f"struct<{', '.join(f'{name}: array<string>' for name in lists)}>"))
     both = _by_key(listed, keys, "_a", [*met, *version]).join(_by_key(theirs, keys, "_b"), keys, "full_outer")
     equal = [F.expr(f"_alow{i} = _ahigh{i} AND _blow{i} = _bhigh{i} AND _alow{i} = _blow{i}") for i in range(len(PARTS))]
     unlike = F.array(*[F.when(~F.coalesce(e, F.lit(False)), F.lit(part)) for e, part in zip(equal, PARTS.values())])

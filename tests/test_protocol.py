@@ -79,3 +79,13 @@ def test_repeated_and_null_keys(spark):
     got = {(r["k"], r["code"]): r["n"] for r in protocol_findings(frozen, seen, ["k"], "v1").collect()}
     assert got[1, "offsets-differ"] == 2 and got[2, "component-leaks"] == 1 == got[None, "component-leaks"]
     assert got[None, "radius-differs"] == 3 and got[None, "offsets-differ"] == 6 and (2, "radius-differs") not in got
+
+
+def test_ids_of_every_kind_meet(spark):
+    lists = {1: ([4], [4.0], 1), 2: (["4"], [4], 0), 3: ([-1.5, True, None], [None, True, -15e-1, "true"], 3), 4: (["p", {}], [{}, [], {"a": 1}], 1), 5: (["a"], "a", 0), 6: ([1e20], [100000000000000000000], 1)}
+    rows = [(k, {"schema_version": "v1", "split": {"development_ids": a, "selected_holdout_ids": b}}) for k, (a, b, _) in lists.items()]
+    whole = [(k + 10, {**d, "split": {**d["split"], "development_related_excluded_ids": [], "clean_holdout_pool_ids": d["split"]["selected_holdout_ids"]}}) for k, d in rows]
+    found = protocol_findings(docs(spark, *rows, *whole), docs(spark, *rows, *whole), ["k"], "v1").collect()
+    assert {(r["k"], r["code"]): r["n"] for r in found} == {
+        (k + at, code): n for k, (_, _, n) in lists.items() for at, code in ((0, "development-in-holdout"), (10, "development-in-holdout"), (10, "component-leaks")) if n
+    }

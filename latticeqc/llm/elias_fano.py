@@ -1,4 +1,4 @@
-"""Elias-Fano lists and the two-level n-gram trie made of them, laid out in one memory map."""
+"""Elias-Fano lists and the levels of an n-gram trie made of them, laid out in one memory map."""
 
 from __future__ import annotations
 
@@ -19,6 +19,15 @@ def quantised(probability: np.ndarray) -> np.ndarray:
     return np.maximum(np.searchsorted(PROBABILITY, probability, "right") - 1, 0).astype(np.uint8)
 
 
+#: Quantised counts: code 0 is an unseen n-gram, 1 to 64 are exact, then equal steps of the logarithm up to 2 ** 40.
+COUNT = np.concatenate([np.arange(65.0), np.floor(2.0 ** np.linspace(6, 40, 192)[1:])])
+
+
+def quantised_count(count: np.ndarray) -> np.ndarray:
+    """The code of the largest step that is not above each count."""
+    return (np.searchsorted(COUNT, count, "right") - 1).astype(np.uint8)
+
+
 class EliasFano:
     """A rising list of 64-bit numbers: high parts in unary, low parts in whole bytes.
 
@@ -83,7 +92,7 @@ class EliasFano:
 
 
 class NgramTrie:
-    """Contexts, pointers to their children and quantised probabilities of the children.
+    """Contexts (words or bigrams), pointers to their children and quantised probabilities or counts of the children.
 
     Level 1 lists context hashes. The pointers, a rising list, give each context its run of children. A child is
     stored relative to its context (its number above CHILD_BITS of the word's hash), so the list of all

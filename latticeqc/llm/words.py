@@ -29,13 +29,18 @@ def split_words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat, ends
 
 
-def hash_words(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash per word; each distinct word is hashed once."""
+def hash_distinct(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each distinct word, and for every word its number among them."""
     if not len(words):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
     coded = words.dictionary_encode()
-    distinct = pd.util.hash_array(np.asarray(coded.dictionary.to_pylist(), dtype=object), categorize=False)
-    return distinct[np.asarray(coded.indices)]
+    return pd.util.hash_array(np.asarray(coded.dictionary.to_pylist(), dtype=object), categorize=False), np.asarray(coded.indices)
+
+
+def hash_words(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash per word; each distinct word is hashed once."""
+    distinct, places = hash_distinct(words)
+    return distinct[places]
 
 
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:

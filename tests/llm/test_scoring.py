@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from latticeqc.llm.elias_fano import STEP, EliasFano, NgramTrie, quantised, PROBABILITY
+from latticeqc.llm.elias_fano import COUNT, STEP, EliasFano, NgramTrie, quantised, quantised_count, PROBABILITY
 from latticeqc.llm.ngram_scoring import LanguageModel, score_documents
 from latticeqc.llm.queries import QUERIES
 
@@ -110,3 +110,62 @@ def test_query_on_documents(spark):
     close(got, sorted(brute([(r.doc_id, r.text, zlib.crc32(str(r.doc_id).encode()) % 7 != 2) for r in docs])))
     held = [r for r in got if r[1]]
     assert sum(r[6] for r in held) > sum(r[5] for r in held)
+
+
+def trigram_scores(rows, strength=2.0):
+    """(key, score under the third level) of every row, by counting; exact where the steps of the trie are."""
+
+    def tokens(text):
+        lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        return re.findall(r"[^\x20\x09-\x0D]+", lowered) + [None]
+
+    learned = [tokens(t) for _, t, train in rows if train]
+    one = Counter(w for t in learned for w in t)
+    two = Counter(p for t in learned for p in zip(t, t[1:]))
+    three = Counter(p for t in learned for p in zip(t, t[1:], t[2:]))
+    out = []
+    for key, text, _ in rows:
+        words, total = tokens(text), 0.0
+        for k, w in enumerate(words):
+            p = (one[w] + 1) / (sum(one.values()) + len(one) + 1)
+            if k:
+                above = one[words[k - 1]] + strength
+                code = quantised(np.array([two[words[k - 1], w] / above]))[0]
+                p = PROBABILITY[code] + strength / above * p
+            if k > 1:
+                u, v = words[k - 2 : k]
+                code = int(quantised(np.array([two[u, v] / (one[u] + strength)]))[0])
+                most = math.floor(PROBABILITY[code + 1] * (one[u] + strength)) if code else 0
+                assert most >= two[u, v] and (most == two[u, v] or two[u, v] > 11)
+                p = (COUNT[quantised_count(np.array([three[u, v, w]]))[0]] + strength * p) / (most + strength)
+            total += math.log10(p)
+        out.append((key, total))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("model", [LanguageModel(), LanguageModel(block_bytes=300, shard_tokens=40)], ids=["one", "many"])
+def test_third_level_counts_trigrams(spark, model):
+    texts = [None, "", "a", "a b", "a b c", "a b d", "x b c", "A b c a b c a b", "the the " * 300, "the the the cat sat on the mat", "b c e"] * 2
+    rows = [(k, t, k % 3 != 1) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, flag boolean").repartition(4)
+    got = sorted((r.doc_id, r.trigram_score) for r in score_documents(docs, F.col("flag"), model).collect())
+    want = trigram_scores(rows)
+    assert [k for k, _ in got] == [k for k, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-8)
+
+
+def test_word_two_places_back_matters(spark):
+    texts = ["a b c", "x b d"] * 20 + ["a b d", "x b d"]
+    docs = spark.createDataFrame([(k, t, k < 40) for k, t in enumerate(texts)], "doc_id long, text string, flag boolean")
+    rows = {r.doc_id: r for r in score_documents(docs, F.col("flag")).collect()}
+    # Two levels see "b d" as often below both first words; the third knows that only "x b" goes on with "d".
+    assert rows[40].score == pytest.approx(rows[41].score)
+    assert rows[40].trigram_score < rows[40].score < rows[41].score + 1e-9 < rows[41].trigram_score
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 10**9), min_size=1, max_size=50), st.integers(0, 10**6))
+def test_a_bigram_gives_away_no_more_than_its_mass(counts, others):
+    total = sum(counts) + others + 2.0
+    code = int(quantised(np.array([sum(counts) / total]))[0])
+    assert code and math.floor(PROBABILITY[code + 1] * total) >= COUNT[quantised_count(np.array(counts))].sum()
+    assert len(set(COUNT)) == 256 and np.array_equal(quantised_count(np.arange(65)), np.arange(65))

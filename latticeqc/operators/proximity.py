@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from latticeqc.config import ReviewConfig
 from latticeqc.functions.numeric import is_finite
-from latticeqc.session import materialize, spread
+from latticeqc.operators import tile_kernel as K
+from latticeqc.operators.tiles import TILE
+from latticeqc.session import materialize, small_batches, spread
 
 KEYS = ("package_id",)
 
@@ -85,6 +87,116 @@ def proximity_pairs(sample: DataFrame, refs: DataFrame, cfg: ReviewConfig, keys:
     return spread(dealt, *group).groupBy(*group).applyInArrow(pairs, schema)
 
 
+def tile_pairs(tiles: DataFrame, refs: DataFrame, cfg: ReviewConfig, keys: Sequence[str] = KEYS, size: int = TILE) -> DataFrame:
+    """The pairs of ``proximity_pairs`` among all usable points of packed tiles.
+
+    The points of a tile that go to one block travel as one row, so blocks are met by joining few rows, and the parts of a crowded
+    block are dealt as there.
+    """
+    keys = list(keys)
+    spark = tiles.sparkSession
+    small_batches(spark)
+    limit = (cfg.nonlocal_distance_ratio * F.sqrt(F.col("ref_h") * F.col("ref_v"))).alias("limit")
+    limited = tiles.join(refs.select(*keys, limit).where("limit > 0"), keys)
+    own_kinds = ", ".join(f"`{k}` {tiles.schema[k].dataType.simpleString()}" for k in keys)
+    names, uv = ["kx", "ky", "kz"], cfg.nonlocal_uv_exclusion
+    columns = [*keys, "limit", *names, "n", "points"]
+
+    def rows(batch: pa.RecordBatch, at: int, made: list[tuple], after: Sequence[str] = ()) -> pa.RecordBatch:
+        held = [batch[k].take(pa.array(np.full(len(made), at))) for k in (*keys, "limit")]
+        big = [pa.array([m[i] for m in made], pa.int64()) for i in range(4)]
+        more = [pa.array([m[5 + i] for m in made], pa.int32()) for i in range(len(after))]
+        return pa.RecordBatch.from_arrays([*held, *big, pa.array([m[4] for m in made], pa.binary()), *more], [*columns, *after])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                found = K.usable_points(row, size)
+                made = [(*k, len(p), p.tobytes()) for k, p in blocks(found, row["limit"])]
+                if made:
+                    yield rows(batch, at, made)
+
+    schema = f"{own_kinds}, limit double, kx bigint, ky bigint, kz bigint, n bigint, points binary"
+    pieces = materialize(limited.mapInArrow(cut, schema))
+    block = [*keys, *names]
+    counted = pieces.groupBy(*block).agg(F.sum("n").alias("m"))
+    crowded = materialize(counted.where(F.col("m") > CROWD).select(*block, F.ceil(F.col("m") / CROWD).cast("int").alias("parts")))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                found, parts = np.frombuffer(row["points"], K.POINT), row["parts"]
+                part = part_of(found, parts)
+                for mine in range(parts):
+                    own = found[part == mine]
+                    place = (row["kx"], row["ky"], row["kz"], len(own), own.tobytes())
+                    made = [(*place, min(mine, other), max(mine, other), parts) for other in range(parts)]
+                    if len(own):
+                        yield rows(batch, at, made, ("first", "second", "parts"))
+
+    alone = pieces.join(crowded, block, "left_anti").select(*columns, *[F.lit(n).alias(c) for c, n in (("first", 0), ("second", 0), ("parts", 1))])
+    dealt = alone.unionByName(pieces.join(crowded, block).mapInArrow(deal, f"{schema}, first int, second int, parts int"))
+    group = [*block, "first", "second"]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, place, first = [], None, None
+        for batch in batches:
+            places = list(zip(*(batch[c].to_pylist() for c in (*group, "limit", "parts"))))
+            for at, (now, blob) in enumerate(zip(places, batch["points"])):
+                if now != place:
+                    if held:
+                        yield from met(place, first, held)
+                    held, place, first = [], now, [batch[k].slice(at, 1) for k in keys]
+                held.append(np.frombuffer(blob.as_py(), K.POINT))
+        if held:
+            yield from met(place, first, held)
+
+    def met(place: tuple, first: list[pa.Array], held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        found = np.concatenate(held)
+        *k, low, high, limit, parts = place[len(keys) :]
+        at = {n: found[n] for n in K.POINT.names}
+        at.update({f"b{a}": b for a, b in zip("xyz", buckets(found, limit))})
+        at.update({f"k{a}": np.full(len(found), v) for a, v in zip("xyz", k)})
+        at.update({"limit": np.full(len(found), limit), "first": np.full(len(found), low), "second": np.full(len(found), high), "part": part_of(found, parts)})
+        inside = np.logical_and.reduce([at[f"b{a}"] // BLOCK == v for a, v in zip("xyz", k)])
+        made = near_pairs(at, uv) if len(found) > 1 and inside.any() else {"distance": ()}
+        if len(made["distance"]):
+            own = [c.take(pa.array(np.zeros(len(made["distance"]), np.int64))) for c in first]
+            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, made.values())], [*keys, *made])
+
+    pair = f"{own_kinds}, a_row int, a_col int, b_row int, b_col int, distance double, visit int"
+    return spread(dealt, *group).sortWithinPartitions(*group).mapInArrow(meet, pair)
+
+
+def buckets(found: np.ndarray, limit: float) -> list[np.ndarray]:
+    """Bucket of each point along x, y and z."""
+    far = float(1 << 62)
+    return [np.clip(np.floor(found[a] / limit), -far, far).astype(np.int64) for a in "xyz"]
+
+
+def blocks(found: np.ndarray, limit: float) -> list[tuple[tuple[int, ...], np.ndarray]]:
+    """Blocks with the points that go to each: those inside, and those whose bucket touches one of its buckets."""
+    index, ks = np.arange(len(found)), []
+    for b in buckets(found, limit):
+        low, high = (b - 1) // BLOCK, (b + 1) // BLOCK
+        beside = low[index] != high[index]
+        ks = [np.concatenate([k, k[beside]]) for k in ks] + [np.concatenate([low[index], high[index[beside]]])]
+        index = np.concatenate([index, index[beside]])
+    order = np.lexsort(ks)
+    ks, index = [k[order] for k in ks], index[order]
+    new = np.logical_or.reduce([k[1:] != k[:-1] for k in ks])
+    edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(index)]
+    return [(tuple(int(k[lo]) for k in ks), found[index[lo:hi]]) for lo, hi in zip(edges, edges[1:]) if hi > lo]
+
+
+def part_of(found: np.ndarray, parts: int) -> np.ndarray:
+    """Part of a crowded block for each point, by its grid place."""
+    mixed = (found["row"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (found["col"].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+
+
 #: Buckets of a block along each side, points of a part of a crowded block, and candidates that are compared at once.
 BLOCK, CROWD, AT_ONCE = 256, 100_000, 2_000_000
 #: Buckets to look at from one's own, as (dx, dy, dz from, dz to): one of each pair of opposite ones, and the own one.

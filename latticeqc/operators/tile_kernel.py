@@ -24,6 +24,7 @@ COUNTERS = (
 )
 
 Vec = tuple[np.ndarray, np.ndarray, np.ndarray]
+POINT = np.dtype([("row", "<i4"), ("col", "<i4"), ("x", "<f8"), ("y", "<f8"), ("z", "<f8")])
 
 
 @dataclass
@@ -53,6 +54,23 @@ def unpacked(row: dict, size: int) -> Tile:
     return Tile((row["top"], row["left"]), own, point, state & EXISTS > 0, state & VALID > 0, state & MASKED > 0)
 
 
+def points(*columns: np.ndarray) -> np.ndarray:
+    """Values of POINT's columns as one array of records."""
+    out = np.empty(len(columns[0]), POINT)
+    for name, values in zip(POINT.names, columns):
+        out[name] = values
+    return out
+
+
+def usable_points(row: dict, size: int) -> np.ndarray:
+    """The valid vertices with finite coordinates of a packed row's own window, as POINTs."""
+    tile = unpacked(row, size)
+    x, y, z = (a[tile.own] for a in tile.point)
+    r, c = np.nonzero(tile.valid[tile.own] & np.isfinite(x) & np.isfinite(y) & np.isfinite(z))
+    top, left = tile.at[0] + tile.own[0].start, tile.at[1] + tile.own[1].start
+    return np.concatenate([points(r + top, c + left, x[r, c], y[r, c], z[r, c]), np.frombuffer(row["rest"], POINT)])
+
+
 def _right(a: np.ndarray) -> np.ndarray:
     out = np.empty_like(a)
     out[:, :-1], out[:, -1] = a[:, 1:], False if a.dtype == bool else np.nan
@@ -262,9 +280,11 @@ def smallest_reached(u: np.ndarray, v: np.ndarray, size: int) -> np.ndarray:
 
 def labelled_runs(mask: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows, first and last columns of the runs of ``mask`` in row-major order, and the first run of each run's component."""
-    edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    row, lo = np.nonzero(edge == 1)
-    hi = np.nonzero(edge == -1)[1] - 1
+    padded = np.zeros((mask.shape[0], mask.shape[1] + 2), bool)
+    padded[:, 1:-1] = mask
+    before, after = padded[:, :-1], padded[:, 1:]
+    row, lo = np.nonzero(after & ~before)
+    hi = np.nonzero(before & ~after)[1] - 1
     # Runs of the row above that a run touches are consecutive.
     wide = mask.shape[1] + 4
     first = np.searchsorted(row * wide + hi, (row - 1) * wide + lo - reach)
@@ -290,8 +310,12 @@ def components(tile: Tile, mask: np.ndarray, reach: int) -> tuple[list[np.ndarra
     label[own] = np.repeat(roots, hi - lo + 1)
     links, shape = [], own.shape
     moves = [(1, d) for d in range(-reach, reach + 1)] + [(d, 1) for d in range(-reach, reach + 1)]
+    # Only cells on a border line have a neighbour beyond it.
+    border = np.zeros_like(own)
+    border[-1:], border[:, :1], border[:, -1:] = True, True, True
+    edge_row, edge_col = np.nonzero(border & own)
     for dr, dc in dict.fromkeys(moves):
-        r, c = np.nonzero(own)
+        r, c = edge_row, edge_col
         out = (r + dr >= shape[0]) if dr == 1 else np.zeros(len(r), bool)
         out |= (c + dc >= shape[1]) if dc == 1 else False
         out |= (c + dc < 0) if dr == 1 and dc == -1 else False

@@ -44,28 +44,73 @@ def surface_tiles(surf: DataFrame, keys: Sequence[str], size: int = TILE) -> Dat
     small_batches(surf.sparkSession)
     slim = surf.select(*keys, "row", "col", *[F.col(a).cast("double") for a in "xyz"], F.coalesce("valid", F.lit(False)).alias("valid"), F.col("explicit_mask").isNotNull().alias("masked"))
     dealt = spread(tile(slim, keys, K.BEFORE, K.AFTER, size), *keys, TILE_ROW, TILE_COL)
-    names = [*keys, "tile_row", "tile_col", "top", "left", "height", "width", "x", "y", "z", "state"]
+    names = [*keys, "tile_row", "tile_col", *PLANES]
 
     def pack(group: pa.Table) -> pa.Table:
-        row, col = (group[c].to_numpy() for c in ("row", "col"))
-        top, left = int(row.min()), int(col.min())
-        shape = int(row.max()) - top + 1, int(col.max()) - left + 1
-        at = (row - top).astype(np.int64) * shape[1] + (col - left)
-        planes = []
-        for name in "xyz":
-            plane = np.full(shape[0] * shape[1], np.nan)
-            plane[at] = group[name].to_numpy()
-            planes.append(plane.tobytes())
-        state = np.zeros(shape[0] * shape[1], np.uint8)
-        state[at] = K.EXISTS + K.VALID * group["valid"].to_numpy().astype(np.uint8) + K.MASKED * group["masked"].to_numpy().astype(np.uint8)
+        at = {c: group[c].to_numpy() for c in ("row", "col", "x", "y", "z", "valid", "masked")}
         first = [group[k].slice(0, 1).combine_chunks() for k in keys]
-        numbers = [group[TILE_ROW][0].as_py(), group[TILE_COL][0].as_py(), top, left, *shape]
-        return pa.Table.from_arrays([*first, *[pa.array([n], pa.int32()) for n in numbers], *[pa.array([b], pa.binary()) for b in (*planes, state.tobytes())]], names)
+        place = [group[TILE_ROW][0].as_py(), group[TILE_COL][0].as_py()]
+        return pa.Table.from_arrays([*first, *[pa.array([n], pa.int32()) for n in place], *plane_columns([planes(at, place, size)])], names)
 
-    schema = f"{_ddl(surf, keys)}, {PLACE}, x binary, y binary, z binary, state binary"
+    return materialize(dealt.groupBy(*keys, TILE_ROW, TILE_COL).applyInArrow(pack, f"{_ddl(surf, keys)}, {TILE_SCHEMA}"))
+
+
+PLANES = ("top", "left", "height", "width", "x", "y", "z", "state", "rest")
+TILE_SCHEMA = f"{PLACE}, x binary, y binary, z binary, state binary, rest binary"
+
+
+def planes(at: Mapping[str, np.ndarray], place: Sequence[int], size: int = TILE) -> list:
+    """Values of PLANES of the tile at ``place`` from the values of its vertices.
+
+    Of vertices at one grid place the last stays in the planes; ``rest`` keeps the usable others of the tile's own window as POINTs.
+    """
+    row, col = at["row"], at["col"]
+    top, left = int(row.min()), int(col.min())
+    shape = int(row.max()) - top + 1, int(col.max()) - left + 1
+    spot = (row - top).astype(np.int64) * shape[1] + (col - left)
+    made = []
+    for name in "xyz":
+        plane = np.full(shape[0] * shape[1], np.nan)
+        plane[spot] = at[name]
+        made.append(plane.tobytes())
+    valid = at["valid"].astype(np.uint8)
+    state = np.zeros(shape[0] * shape[1], np.uint8)
+    state[spot] = K.EXISTS + K.VALID * valid + K.MASKED * at["masked"].astype(np.uint8)
+    rest = b""
+    if len(row) > np.count_nonzero(state):
+        last = np.full(len(state), -1)
+        last[spot] = np.arange(len(row))
+        other = (last[spot] != np.arange(len(row))) & (valid > 0) & (row // size == place[0]) & (col // size == place[1])
+        other &= np.isfinite(at["x"]) & np.isfinite(at["y"]) & np.isfinite(at["z"])
+        rest = K.points(*(at[n][other] for n in ("row", "col", "x", "y", "z"))).tobytes()
+    return [top, left, *shape, *made, state.tobytes(), rest]
+
+
+def plane_columns(rows: list[list]) -> list[pa.Array]:
+    return [pa.array(values, pa.int32() if n in ("top", "left", "height", "width") else pa.binary()) for n, values in zip(PLANES, zip(*rows))]
+
+
+def packed_vertices(df: DataFrame, keys: Sequence[str], numbers: Sequence[str], flags: Sequence[str], size: int = TILE) -> DataFrame:
+    """``keys, tile_row, tile_col`` and one binary column each for ``row, col``, ``numbers`` and ``flags`` of the tile's vertices, halo included."""
+    keys = list(keys)
+    small_batches(df.sparkSession)
+    slim = df.select(*keys, "row", "col", *[F.col(c).cast("double") for c in numbers], *[F.coalesce(c, F.lit(False)).alias(c) for c in flags])
+    dealt = spread(tile(slim, keys, K.BEFORE, K.AFTER, size), *keys, TILE_ROW, TILE_COL)
+    kinds = vertex_kinds(numbers, flags)
+
+    def pack(group: pa.Table) -> pa.Table:
+        first = [group[k].slice(0, 1).combine_chunks() for k in (*keys, TILE_ROW, TILE_COL)]
+        blobs = [pa.array([group[c].to_numpy().astype(kind).tobytes()], pa.binary()) for c, kind in kinds.items()]
+        return pa.Table.from_arrays([*first[:-2], *[n.cast(pa.int32()) for n in first[-2:]], *blobs], [*keys, "tile_row", "tile_col", *kinds])
+
+    schema = f"{_ddl(df, keys)}, tile_row int, tile_col int, {', '.join(f'{c} binary' for c in kinds)}"
     return materialize(dealt.groupBy(*keys, TILE_ROW, TILE_COL).applyInArrow(pack, schema))
 
 
+def vertex_kinds(numbers: Sequence[str], flags: Sequence[str]) -> dict[str, type]:
+    return {"row": np.int32, "col": np.int32, **{c: np.float64 for c in numbers}, **{c: np.bool_ for c in flags}}
+
+
 def _bins(values: np.ndarray) -> np.ndarray:
     """Order-preserving integers of doubles, cut to their leading bits."""
     bits = (values + 0.0).view(np.int64)
@@ -190,8 +235,16 @@ LINK = "struct<kind:string,root:bigint,row:bigint,col:bigint>"
 FOUND = "struct<entry:bigint,row:bigint,col:bigint,value:double>"
 
 
-def review_tiles(tiles: DataFrame, refs: DataFrame, cfg: ReviewConfig, keys: Sequence[str], keep: int = 50, size: int = TILE) -> DataFrame:
-    """One row per tile with everything the review reads; ``keep`` bounds the places of an example list."""
+def review_tiles(tiles: DataFrame, refs: DataFrame, cfg: ReviewConfig, keys: Sequence[str], keep: int = 50, size: int = TILE, values: bool = True) -> DataFrame:
+    """``reviewed_tiles``, written."""
+    return materialize(reviewed_tiles(tiles, refs, cfg, keys, keep, size, values))
+
+
+def reviewed_tiles(tiles: DataFrame, refs: DataFrame, cfg: ReviewConfig, keys: Sequence[str], keep: int = 50, size: int = TILE, values: bool = True) -> DataFrame:
+    """One row per tile with everything the review reads; ``keep`` bounds the places of an example list.
+
+    Without ``values`` the rows lack the columns of the distributions and example lists, most of their bytes.
+    """
     keys = list(keys)
     names = ("obs_h", "obs_v", "ref_h", "ref_v")
     joined = tiles.join(refs.select(*keys, *names), keys, "left")
@@ -210,11 +263,12 @@ def review_tiles(tiles: DataFrame, refs: DataFrame, cfg: ReviewConfig, keys: Seq
                 out["area"].append(area)
                 out["cells"].append((m["cell"] + 2 * m["cell_valid"] + 4 * m["local_cue"])[t.own].astype(np.uint8).tobytes())
                 out["score"].append(np.ascontiguousarray(m["local_score"][t.own]).tobytes())
-                values = [np.concatenate([m[c][t.own].ravel() for c in columns]) for columns in metrics]
-                values = [v[np.isfinite(v)] for v in values]
-                out["binned"].append(_binned(values))
-                out["planes"].append(np.concatenate(values).tobytes())
-                out["sizes"].append([len(v) for v in values])
+                if values:
+                    found = [np.concatenate([m[c][t.own].ravel() for c in columns]) for columns in metrics]
+                    found = [v[np.isfinite(v)] for v in found]
+                    out["binned"].append(_binned(found))
+                    out["planes"].append(np.concatenate(found).tobytes())
+                    out["sizes"].append([len(v) for v in found])
                 made = {n: [] for n in lists}
                 for kind, mask in K.masks(t, m).items():
                     runs, links, portals = K.components(t, mask, K.REACH[kind])
@@ -224,20 +278,24 @@ def review_tiles(tiles: DataFrame, refs: DataFrame, cfg: ReviewConfig, keys: Seq
                         runs = [a[first] for a in runs]
                     for n, arrays in (("runs", runs), ("links", links), ("portals", [portals[2], portals[0], portals[1]])):
                         made[n].append([np.full(len(arrays[0]), kind, dtype=object), *arrays])
-                for e, found in enumerate(K.best_candidates(t, m, entries, keep)):
+                for e, found in enumerate(K.best_candidates(t, m, entries, keep) if values else ()):
                     made["found"].append([np.full(len(found[0]), e), *found])
                 for n, parts in made.items():
+                    if n == "found" and not values:
+                        continue
                     for held, new in zip(lists[n], zip(*parts)):
                         held.append(np.concatenate(new))
         big, text, real = pa.int64(), pa.string(), pa.float64()
         place = {"kind": text, "root": big, "row": big, "col": big}
         kinds = {"runs": {"kind": text, "row": big, "lo": big, "hi": big, "root": big}, "links": place, "portals": place, "found": {"entry": big, "row": big, "col": big, "value": real}}
-        nested = {n: _struct_lists({c: (k, a) for (c, k), a in zip(columns.items(), lists[n])}) for n, columns in kinds.items()}
+        nested = {n: _struct_lists({c: (k, a) for (c, k), a in zip(columns.items(), lists[n])}) for n, columns in kinds.items() if values or n != "found"}
         own = {"counts": pa.array(out["counts"], pa.list_(big)), "area": pa.array(out["area"], pa.float64()), "cells": pa.array(out["cells"], pa.binary()), "score": pa.array(out["score"], pa.binary())}
-        return {**own, **_value_columns(out["binned"], out["planes"], out["sizes"]), **nested}
+        return {**own, **(_value_columns(out["binned"], out["planes"], out["sizes"]) if values else {}), **nested}
 
-    schema = f"counts array<bigint>, area double, cells binary, score binary, bins {PAIRS}, planes binary, sizes array<bigint>, runs array<{RUN}>, links array<{LINK}>, portals array<{LINK}>, found array<{FOUND}>"
-    return materialize(_passed(joined, keys, schema, measure, ("tile_row", "tile_col", "top", "left", "height", "width")))
+    schema = f"counts array<bigint>, area double, cells binary, score binary, {f'bins {PAIRS}, planes binary, sizes array<bigint>, ' if values else ''}runs array<{RUN}>, links array<{LINK}>, portals array<{LINK}>"
+    if values:
+        schema += f", found array<{FOUND}>"
+    return _passed(joined, keys, schema, measure, ("tile_row", "tile_col", "top", "left", "height", "width"))
 
 
 def tile_counters(reviewed: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -263,33 +321,64 @@ def component_count(parts: DataFrame, keys: Sequence[str], kind: str, name: str)
     return parts.groupBy(*keys).agg(F.count_if(first).alias(name))
 
 
-def tile_cells(reviewed: DataFrame, keys: Sequence[str], size: int = TILE) -> DataFrame:
-    """``keys, row, col, cell_valid, local_cue, local_score`` of every cell."""
+MARK = "struct<row:int,lo:int,hi:int,band:boolean>"
+
+
+def tile_marks(near: DataFrame, bands: DataFrame, keys: Sequence[str], size: int = TILE) -> DataFrame:
+    """``keys, tile_row, tile_col, marks``: the proximity cells and the runs of bands of each tile; a run lies in one tile."""
+    keys = list(keys)
+    runs = near.select(*keys, "row", F.col("col").alias("lo"), F.col("col").alias("hi"), F.lit(False).alias("band"))
+    runs = runs.unionByName(bands.select(*keys, "row", "lo", "hi", F.lit(True).alias("band")))
+    mark = F.struct("row", "lo", "hi", "band").cast(MARK).alias("m")
+    placed = runs.select(*keys, F.expr(f"CAST(row div {size} AS INT)").alias("tile_row"), F.expr(f"CAST(lo div {size} AS INT)").alias("tile_col"), mark)
+    return placed.groupBy(*keys, "tile_row", "tile_col").agg(F.collect_list("m").alias("marks"))
+
+
+def tile_cells(reviewed: DataFrame, keys: Sequence[str], size: int = TILE, marks: DataFrame | None = None, cued: bool = False) -> DataFrame:
+    """``keys, row, col, cell_valid, local_cue, local_score, near, band`` of every cell, or with ``cued`` of the cells that any cue names.
+
+    ``marks`` (see ``tile_marks``) tell ``near`` and ``band``; without them both are false.
+    """
     keys = list(keys)
     places = ["tile_row", "tile_col", "top", "left", "height", "width"]
     small_batches(reviewed.sparkSession)
+    slim = reviewed.select(*keys, *places, "cells", "score")
+    none = F.lit(None).cast(f"array<{MARK}>").alias("marks")
+    joined = slim.select("*", none) if marks is None else slim.join(marks, [*keys, "tile_row", "tile_col"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            offsets = batch["marks"].offsets.to_numpy()
+            held = [batch["marks"].values.field(i).to_numpy(zero_copy_only=False) for i in range(4)]
             for at, row in enumerate(batch.select(places + ["cells", "score"]).to_pylist()):
                 first = [max(row["tile_row"] * size, row["top"]), max(row["tile_col"] * size, row["left"])]
                 end = [min((row["tile_row"] + 1) * size, row["top"] + row["height"]), min((row["tile_col"] + 1) * size, row["left"] + row["width"])]
-                bits = np.frombuffer(row["cells"], np.uint8)
-                there = np.flatnonzero(bits & 1)
-                score = np.frombuffer(row["score"], np.float64)[there]
                 wide = end[1] - first[1]
+                bits = np.frombuffer(row["cells"], np.uint8)
+                near, band = np.zeros(len(bits), bool), np.zeros(len(bits), bool)
+                if batch["marks"][at].is_valid:
+                    r, lo, hi, is_band = (a[offsets[at] : offsets[at + 1]] for a in held)
+                    n = hi - lo + 1
+                    spot = np.repeat((r - first[0]).astype(np.int64) * wide + lo - first[1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    of_band = np.repeat(is_band.astype(bool), n)
+                    near[spot[~of_band]], band[spot[of_band]] = True, True
+                there = bits & 1 > 0
+                if cued:
+                    there &= (bits & 4 > 0) | (near & (bits & 2 > 0)) | band
+                there = np.flatnonzero(there)
                 bits = bits[there]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[batch[k].take(pa.array(np.full(len(there), at))) for k in keys],
                         pa.array((there // wide + first[0]).astype(np.int32)), pa.array((there % wide + first[1]).astype(np.int32)),
-                        pa.array(bits & 2 > 0), pa.array(bits & 4 > 0), pa.array(score, mask=bits & 2 == 0),
+                        pa.array(bits & 2 > 0), pa.array(bits & 4 > 0), pa.array(np.frombuffer(row["score"], np.float64)[there], mask=bits & 2 == 0),
+                        pa.array(near[there]), pa.array(band[there]),
                     ],
-                    [*keys, "row", "col", "cell_valid", "local_cue", "local_score"],
+                    [*keys, "row", "col", "cell_valid", "local_cue", "local_score", "near", "band"],
                 )
 
-    schema = f"{_ddl(reviewed, keys)}, row int, col int, cell_valid boolean, local_cue boolean, local_score double"
-    return reviewed.select(*keys, *places, "cells", "score").mapInArrow(run, schema)
+    schema = f"{_ddl(reviewed, keys)}, row int, col int, cell_valid boolean, local_cue boolean, local_score double, near boolean, band boolean"
+    return joined.mapInArrow(run, schema)
 
 
 def tile_candidates(reviewed: DataFrame, keys: Sequence[str], cues: Sequence[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from latticeqc.config import ReviewConfig
 from latticeqc.operators import components as C
 from latticeqc.operators import geometry as G
 from latticeqc.operators import project, proximity
+from latticeqc.operators import tile_kernel as K
 from latticeqc.operators import tile_tables as T
 from latticeqc.operators.digest import grid_digest
 from latticeqc.session import materialize
@@ -47,21 +48,14 @@ def _large_bands(labelled: DataFrame, cfg: ReviewConfig, keys: Sequence[str]) ->
     return labelled.join(materialize(sizes.drop("size")), [*keys, "label"], "left_semi")
 
 
-def final_cells(cells: DataFrame, near: DataFrame, bands: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Cells with both cue masks and the final score.
+def final_cells(reviewed: DataFrame, near: DataFrame, bands: DataFrame, keys: Sequence[str] = KEYS, cued: bool = False) -> DataFrame:
+    """Cells with both cue masks and the final score; with ``cued`` only those that a cue names.
 
     ``cue_before`` is the union without the step bands; both it and ``cue`` are kept, as the families overlap.
     """
-    at = [*keys, "row", "col"]
-    marks = (
-        near.select(*at).withColumn("near", F.lit(True)).withColumn("band", F.lit(False))
-        .unionByName(C.expand_runs(bands, keys).select(*at).withColumn("near", F.lit(False)).withColumn("band", F.lit(True)))
-        .groupBy(*at).agg(F.bool_or("near").alias("near"), F.bool_or("band").alias("band"))
-    )
-    no = F.lit(False)
-    joined = cells.join(marks, at, "left").withColumns({"near": F.coalesce("near", no), "band": F.coalesce("band", no)})
+    cells = T.tile_cells(reviewed, keys, marks=T.tile_marks(near, bands, keys), cued=cued)
     near_valid = F.col("near") & F.col("cell_valid")
-    return joined.withColumns(
+    return cells.withColumns(
         {
             "cue_before": F.col("local_cue") | near_valid,
             "cue": F.col("local_cue") | near_valid | F.col("band"),
@@ -111,6 +105,7 @@ class GeometryReport:
     findings: DataFrame
     frame: DataFrame
     cells: DataFrame
+    cued: DataFrame
     pairs: DataFrame
     holes: DataFrame
     bands: DataFrame
@@ -140,14 +135,20 @@ def _count(df: DataFrame, keys: Sequence[str], name: str, value: Column | None =
     return df.groupBy(*keys).agg((F.count("*") if value is None else value).alias(name))
 
 
-def geometry_report(surf: DataFrame, cfg: ReviewConfig = ReviewConfig(), keys: Sequence[str] = KEYS, keep: int = 50) -> GeometryReport:
-    """Summary, findings and detail tables for every package of ``surf`` (see ``load_surface``); ``keep`` places of an example list."""
+def geometry_report(surf: DataFrame, cfg: ReviewConfig = ReviewConfig(), keys: Sequence[str] = KEYS, keep: int = 50, tiles: DataFrame | None = None, values: bool = True) -> GeometryReport:
+    """Summary, findings and detail tables for every package of ``surf`` (see ``load_surface``); ``keep`` places of an example list.
+
+    ``tiles`` are the packed tiles of ``surf`` (see ``surface_tiles``) for a caller that has them; its rows are then read for ``frame`` only,
+    and for a limited proximity sample. Without ``values`` nothing is written of the distributions and example lists either: ``reviewed`` has them
+    still, but a caller that reads it pays for one more pass over the tiles.
+    """
     cfg.check()
     keys = list(keys)
-    surf = materialize(surf)
-    tiles = T.surface_tiles(surf, keys)
+    if tiles is None:
+        surf = materialize(surf)
+        tiles = T.surface_tiles(surf, keys)
     refs = tile_references(tiles, cfg, keys)
-    reviewed = T.review_tiles(tiles, refs, cfg, keys, keep)
+    reviewed = T.review_tiles(tiles, refs, cfg, keys, keep, values=values)
     counts = materialize(T.tile_counters(reviewed, keys))
     shapes = materialize(counts.select(*keys, (F.col("height") - 1).alias("height"), (F.col("width") - 1).alias("width")))
     parts = T.tile_components(reviewed, keys)
@@ -157,16 +158,23 @@ def geometry_report(surf: DataFrame, cfg: ReviewConfig = ReviewConfig(), keys: S
 
     holes = materialize(C.enclosed(labelled("gap"), shapes, keys))
     bands = materialize(_large_bands(labelled("step"), cfg, keys))
-    sample = proximity.proximity_sample(proximity.usable_points(surf, keys), cfg.max_proximity_points, keys)
-    pairs = materialize(proximity.proximity_pairs(sample, refs, cfg, keys))
+    if cfg.max_proximity_points is None:
+        rest = tiles.groupBy(*keys).agg(F.sum(F.expr(f"length(rest) div {K.POINT.itemsize}")).alias("_rest"))
+        points = F.col("valid_count") - F.col("nonfinite_valid") + F.col("_rest")
+        sampled = counts.join(rest, keys).select(*keys, points.alias("sampled_points"), F.lit(1).alias("proximity_stride"), F.lit(False).alias("proximity_capped")).where("sampled_points > 0")
+        pairs = materialize(proximity.tile_pairs(tiles, refs, cfg, keys))
+    else:
+        sample = proximity.proximity_sample(proximity.usable_points(surf, keys), cfg.max_proximity_points, keys)
+        sampled = sample.groupBy(*keys).agg(F.count("*").alias("sampled_points"), F.max("stride").alias("proximity_stride"), F.max("capped").alias("proximity_capped"))
+        pairs = materialize(proximity.proximity_pairs(sample, refs, cfg, keys))
     near = project.vertices_to_cells(proximity.pair_vertices(pairs, keys), counts.select(*keys, "height", "width"), keys)
-    cells = final_cells(T.tile_cells(reviewed, keys), near, bands, keys)
+    cells, cued = (final_cells(reviewed, near, bands, keys, only) for only in (False, True))
     counted = [
         T.component_count(parts, keys, "vertex", "vertex_components"),
         T.component_count(parts, keys, "cell", "cell_components"),
         C.component_sizes(holes, keys).groupBy(*keys).agg(F.count("*").alias("enclosed_regions"), F.sum("size").alias("enclosed_cells")),
         C.component_sizes(bands, keys).groupBy(*keys).agg(F.count("*").alias("coherent_components"), F.sum("size").alias("coherent_cells")),
-        sample.groupBy(*keys).agg(F.count("*").alias("sampled_points"), F.max("stride").alias("proximity_stride"), F.max("capped").alias("proximity_capped")),
+        sampled,
         _count(pairs, keys, "pair_count"),
     ]
     # Of the frame nothing is written: a caller that wants values per vertex pays for them.
@@ -181,7 +189,7 @@ def geometry_report(surf: DataFrame, cfg: ReviewConfig = ReviewConfig(), keys: S
     summary = materialize(
         summary.withColumns({"observed_grid_area": observed, "area_to_grid": F.try_divide("surface_area", observed)})
     )
-    return GeometryReport(summary, geometry_findings(summary, keys), frame, cells, pairs, holes, bands, reviewed)
+    return GeometryReport(summary, geometry_findings(summary, keys), frame, cells, cued, pairs, holes, bands, reviewed if values else T.reviewed_tiles(tiles, refs, cfg, keys, keep))
 
 
 def signature(report: GeometryReport, keys: Sequence[str] = KEYS) -> DataFrame:

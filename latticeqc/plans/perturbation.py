@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticeqc.config import ReviewConfig
 from latticeqc.functions.sqltext import stage
 from latticeqc.operators import diff, grid
+from latticeqc.operators import tile_tables as T
 from latticeqc.operators.tiles import OWN
 from latticeqc.plans.geometry_report import GeometryReport, cell_shapes, geometry_report
-from latticeqc.session import materialize
+from latticeqc.session import materialize, small_batches
 
 KEYS = ("package_id",)
 CASE = ("package_id", "offset_voxels", "width_cells")
@@ -54,10 +57,14 @@ def transition(position: str, seam: str, width: str) -> str:
     return f"CASE WHEN {width} = 1 THEN CASE WHEN {position} >= {seam} THEN 1D ELSE 0D END ELSE {t} * {t} * (3D - 2D * {t}) END"
 
 
+def case_list(offsets: Sequence[float], widths: Sequence[int]) -> list[tuple[float, int]]:
+    """The null case first, then every offset with every width."""
+    return [(0.0, int(widths[0]))] + [(float(o), int(w)) for o in offsets for w in widths]
+
+
 def ladder(offsets: Sequence[float], widths: Sequence[int]) -> Column:
-    """All cases as one array column: the null case first, then every offset with every width."""
-    cases = [(0.0, widths[0])] + [(float(o), int(w)) for o in offsets for w in widths]
-    return F.array(*[F.struct(F.lit(o).alias("offset_voxels"), F.lit(w).alias("width_cells")) for o, w in cases])
+    """All cases as one array column."""
+    return F.array(*[F.struct(F.lit(o).alias("offset_voxels"), F.lit(w).alias("width_cells")) for o, w in case_list(offsets, widths)])
 
 
 def offset_ladder(normals: DataFrame, seams: DataFrame, offsets: Sequence[float], widths: Sequence[int]) -> DataFrame:
@@ -76,6 +83,47 @@ def offset_ladder(normals: DataFrame, seams: DataFrame, offsets: Sequence[float]
     )
 
 
+def share_of(position: np.ndarray, seam: int, width: int) -> np.ndarray:
+    """The values of ``transition``."""
+    if width == 1:
+        return np.where(position >= seam, 1.0, 0.0)
+    t = np.minimum(np.maximum((position - (seam - width / 2.0)) / float(width), 0.0), 1.0)
+    return t * t * (3.0 - 2.0 * t)
+
+
+def ladder_tiles(normals: DataFrame, seams: DataFrame, offsets: Sequence[float], widths: Sequence[int]) -> DataFrame:
+    """The surfaces of ``offset_ladder`` as packed tiles (see ``surface_tiles``): vertices are packed once and moved tile by tile for every case."""
+    cases, normal = case_list(offsets, widths), ("vnx", "vny", "vnz")
+    numbers, flags = ("x", "y", "z", *normal), ("valid", "movable")
+    kinds = T.vertex_kinds(numbers, flags)
+    small_batches(normals.sparkSession)
+    packed = T.packed_vertices(normals.join(seams.select("package_id"), "package_id"), KEYS, numbers, flags)
+    placed = packed.join(seams.select("package_id", "orientation", "seam"), "package_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                at = {c: np.frombuffer(row[c], kind) for c, kind in kinds.items()}
+                at["masked"] = np.zeros(len(at["row"]), bool)
+                position, place = at["col" if row["orientation"] == "vertical" else "row"], [row["tile_row"], row["tile_col"]]
+                made = []
+                for offset, width in cases:
+                    moved = dict(at)
+                    if offset > 0:
+                        step = offset * share_of(position, row["seam"], width)
+                        with np.errstate(all="ignore"):
+                            moved.update({a: np.where(at["movable"], (at[a] + step * at[n]).astype(np.float32).astype(np.float64), at[a]) for a, n in zip("xyz", normal)})
+                    made.append(T.planes(moved, place))
+                own = batch["package_id"].take(pa.array(np.full(len(cases), i)))
+                tile = [pa.array([n] * len(cases), pa.int32()) for n in place]
+                case = [pa.array([o for o, _ in cases], pa.float64()), pa.array([w for _, w in cases], pa.int32())]
+                yield pa.RecordBatch.from_arrays([own, *case, *tile, *T.plane_columns(made)], [*CASE, "tile_row", "tile_col", *T.PLANES])
+
+    package = normals.schema["package_id"].dataType.simpleString()
+    return materialize(placed.mapInArrow(run, f"package_id {package}, offset_voxels double, width_cells int, {T.TILE_SCHEMA}"))
+
+
 def moved_control(surf: DataFrame, cases: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """Per case: ``vertices``, ``moved_vertices`` (finite, a coordinate off by more than ``tolerance``) and ``validity_mismatches``.
 
@@ -105,13 +153,18 @@ def evaluation_cells(seam: DataFrame, cells: DataFrame, shapes: DataFrame, radiu
     return diff.dilate(seam, radius, shapes).join(cells.where("cell_valid"), at, "left_semi")
 
 
-def incremental(cues: DataFrame, baseline: DataFrame, keys: Sequence[str] = CASE) -> DataFrame:
-    """Cue cells of a case that the unchanged surface does not have."""
-    return cues.select(*keys, "row", "col").join(baseline.select("package_id", "row", "col"), ["package_id", "row", "col"], "left_anti")
-
+def incremental(cues: DataFrame, baseline: DataFrame, keys: Sequence[str] = CASE, flags: Sequence[str] = ()) -> DataFrame:
+    """Cue cells of a case that the unchanged surface does not have.
 
-def _counted(cells: DataFrame, name: str) -> DataFrame:
-    return cells.groupBy(*CASE).agg(F.count("*").alias(name))
+    With ``flags`` both sides are cells with several cues, and every cell of ``cues`` stays: ``incremental_<flag>`` says whether it has a cue that
+    the unchanged surface lacks there. One join then serves all cues.
+    """
+    at = ["package_id", "row", "col"]
+    if not flags:
+        return cues.select(*keys, "row", "col").join(baseline.select(*at), at, "left_anti")
+    before = baseline.select(*at, *[F.col(f).alias(f"_{f}") for f in flags])
+    joined = cues.join(before, at, "left").withColumns({f"incremental_{f}": F.col(f) & ~F.coalesce(f"_{f}", F.lit(False)) for f in flags})
+    return joined.drop(*[f"_{f}" for f in flags])
 
 
 def perturbation_benchmark(
@@ -126,25 +179,29 @@ def perturbation_benchmark(
     seams = materialize(choose_seam(normals))
     cells = materialize(grid.quad_cells(surf))
     cases = offset_ladder(normals, seams, offsets, widths)
-    report: GeometryReport = geometry_report(cases.drop("orientation", "seam"), cfg, CASE)
-    base = materialize(geometry_report(surf, cfg).cells)
+    moved = ladder_tiles(normals, seams, offsets, widths)
+    report: GeometryReport = geometry_report(cases.drop("orientation", "seam"), cfg, CASE, tiles=moved, values=False)
+    flags = ("cue", "band", "cue_before")
+    base = materialize(geometry_report(surf, cfg, values=False).cued.select("package_id", "row", "col", *flags))
     shapes = cell_shapes(surf)
     bands = None
     for width in widths:
         part = evaluation_cells(seam_cells(cells, seams, width), cells, shapes).withColumn("width_cells", F.lit(width))
         bands = part if bands is None else bands.unionByName(part)
     bands = materialize(bands)
-    seen = materialize(report.cells.select(*CASE, "row", "col", "cue", "cue_before", "band"))
-    at = ["package_id", "width_cells", "row", "col"]
     out = report.summary.select(*CASE).join(seams, "package_id")
     sizes = bands.groupBy("package_id", "width_cells").agg(F.count("*").alias("evaluation_cells"))
     out = out.join(sizes, ["package_id", "width_cells"], "left")
+    at = ["package_id", "width_cells", "row", "col"]
+    seen = incremental(report.cued.select(*CASE, "row", "col", *flags), base, flags=flags)
+    seen = seen.join(bands.select(*at).distinct().withColumn("_near", F.lit(True)), at, "left")
+    near = F.coalesce("_near", F.lit(False))
+    counts = []
     for flag, name in (("cue", "incremental"), ("band", "incremental_step"), ("cue_before", "incremental_before")):
-        fresh = incremental(seen.where(flag), base.where(flag))
-        near = fresh.join(bands, at, "left_semi")
-        out = out.join(_counted(fresh, f"{name}_cells"), list(CASE), "left").join(_counted(near, f"{name}_localized"), list(CASE), "left")
-    raw = seen.where("cue").select(*CASE, "row", "col").join(bands, at, "left_semi")
-    out = out.join(_counted(raw, "localized_cue_cells"), list(CASE), "left")
+        fresh = F.col(f"incremental_{flag}")
+        counts += [F.count_if(fresh).alias(f"{name}_cells"), F.count_if(fresh & near).alias(f"{name}_localized")]
+    counts.append(F.count_if(F.col("cue") & near).alias("localized_cue_cells"))
+    out = out.join(seen.groupBy(*CASE).agg(*counts), list(CASE), "left")
     counters = [c for c in out.columns if c.endswith(("_cells", "_localized")) and c not in CASE]
     return out.fillna(0, subset=counters).withColumns(
         {

@@ -220,6 +220,8 @@ def near_pairs(at: dict[str, np.ndarray], uv: int) -> dict[str, np.ndarray]:
         middle = key[mine] + (dx * spans[1] + dy) * spans[2]
         start, end = np.searchsorted(key, middle + below), np.searchsorted(key, middle + above, "right")
         upto = np.concatenate([[0], np.cumsum(end - start)])
+        if not upto[-1]:
+            continue
         lo = 0
         while lo < len(mine):
             hi = max(int(np.searchsorted(upto, upto[lo] + AT_ONCE, "right")) - 1, lo + 1)

@@ -22,10 +22,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/latticeqc-llm"
 
 
-def written(df: DataFrame, *partitions: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends there and lost executors lose nothing."""
+def written(df: DataFrame, *partitions: str, group_rows: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: lineage ends there and lost executors lose nothing.
+
+    ``group_rows`` limits the rows of a row group, for rows of up to a MiB or more. Spark reads a row group of up to 4,096 rows
+    as one batch, and Parquet ends a row group by its compressed bytes, a page after a hundred rows at the earliest.
+    """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    (df.write.partitionBy(*partitions) if partitions else df.write).option("compression", "zstd").parquet(path)
+    writer = (df.write.partitionBy(*partitions) if partitions else df.write).option("compression", "zstd")
+    if group_rows:
+        writer = writer.option("parquet.block.row.count.limit", group_rows).option("parquet.page.size.row.check.min", 1)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -136,7 +136,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_separator_scan", "SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_tokens FROM documents")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = written(separator_scan.flat_bytes(table(spark, sf_dir, "documents")))
+    flat = written(separator_scan.flat_bytes(table(spark, sf_dir, "documents")), group_rows=separator_scan.GROUP_ROWS)
     counts = separator_scan.count_tokens(flat, separator_scan.BYTE_END)
     return counts.join(separator_scan.document_ids(flat), ["file", "doc_no"]).select("doc_id", "n_tokens")
 

@@ -27,8 +27,10 @@ from latticeqc.llm.common import arrow_pass, inputs, written
 BLOCK_BYTES = 1 << 20
 #: Blocks that a task reads in one go from a file.
 RUN = 64
-#: Blocks whose counts one window adds up; the next level adds up the groups.
-GROUP = 4096
+#: Blocks whose counts one window adds up; the next level adds up the groups. A window holds the lists of its blocks in memory.
+GROUP = 64
+#: Blocks in a row group of a written table: a reader holds them at once.
+GROUP_ROWS = 16
 BYTE_END = 256
 
 
@@ -155,16 +157,17 @@ def scan_blocks(blocks: DataFrame, end_id: int, width: int = 2, file_col: str =
     rows = rows.withColumn("block", F.col("block").cast("bigint")).withColumn("payload", F.col("payload").cast("binary"))
 
     def search(batch: pa.RecordBatch) -> dict:
-        n_sep, head, tail, inner = [], [], [], []
+        n_sep, head, tail, inner = [], [], [], [np.zeros(0, np.int64)]
         for payload in batch["payload"].to_pylist():
             tokens = np.frombuffer(payload or b"", f"<u{width}", count=len(payload or b"") // width)
             at = np.flatnonzero(tokens == end_id)
             n_sep.append(len(at))
             head.append(int(at[0]) if len(at) else len(tokens))
             tail.append(len(tokens) - int(at[-1]) - 1 if len(at) else 0)
-            inner.append((np.diff(at) - 1).tolist())
+            inner.append(np.diff(at) - 1)
         long = pa.int64()
-        return {"file": batch["file"], "block": batch["block"], "n_sep": pa.array(n_sep, long), "head": pa.array(head, long), "tail": pa.array(tail, long), "inner": pa.array(inner, pa.list_(long))}
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([len(a) for a in inner]), pa.int32()), pa.array(np.concatenate(inner), long))
+        return {"file": batch["file"], "block": batch["block"], "n_sep": pa.array(n_sep, long), "head": pa.array(head, long), "tail": pa.array(tail, long), "inner": lists}
 
     return arrow_pass(rows, search, f"file {kind}, block bigint, n_sep bigint, head bigint, tail bigint, inner array<bigint>")
 
@@ -172,7 +175,7 @@ def scan_blocks(blocks: DataFrame, end_id: int, width: int = 2, file_col: str =
 def count_tokens(blocks: DataFrame, end_id: int, width: int = 2, file_col: str = "file", block_col: str = "block", payload_col: str = "payload") -> DataFrame:
     """``file, doc_no, n_tokens, closed``: one row per document of each file, numbered from 0 in file order."""
     # Written: the counts are read several times, the files only once.
-    found = _before(written(scan_blocks(blocks, end_id, width, file_col, block_col, payload_col)), "n_sep")
+    found = _before(written(scan_blocks(blocks, end_id, width, file_col, block_col, payload_col), group_rows=GROUP_ROWS), "n_sep")
     whole = found.select("file", "before", F.posexplode("inner").alias("k", "n_tokens"))
     whole = whole.select("file", (F.col("before") + 1 + F.col("k")).alias("doc_no"), "n_tokens", F.lit(True).alias("closed"))
     ends = F.array(

@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from latticeqc.llm import mixing, separator_scan, url_rules
+from latticeqc.llm import mixing, queries, separator_scan, url_rules
 from latticeqc.llm.queries import ORACLES, PIPELINE_TARGETS, QUERIES, domain, levels
 from tests.llm.test_near_copies import brute as brute_classes
 from tests.llm.test_text_ops import brute_counts
@@ -79,6 +79,25 @@ def test_flat_files_round_trip(spark, tmp_path):
     assert [r.n_tokens for r in separator_scan.count_tokens(read, 256).orderBy("doc_no").collect()] == [1, 0, 2]
 
 
+def test_flat_blocks_are_read_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    tables = []
+    for module in (queries, separator_scan):
+        monkeypatch.setattr(module, "written", lambda *a, put=module.written, **k: tables.append(put(*a, **k)) or tables[-1])
+    size = 700_000
+    docs = spark.range(30).selectExpr("id AS doc_id", f"repeat(chr(97 + CAST(id % 26 AS INT)), {size}) AS text").coalesce(1)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.n_tokens for r in queries.op9(spark, str(tmp_path)).collect()}
+    assert got == dict.fromkeys(range(30), size)
+    groups = []
+    for file in (f.removeprefix("file:") for t in tables for f in t.inputFiles()):
+        meta = pq.ParquetFile(file).metadata
+        groups += [meta.row_group(k).num_rows for k in range(meta.num_row_groups)]
+    assert len(tables) == 2 and sum(groups) == 2 * -(-30 * 2 * (size + 1) // separator_scan.BLOCK_BYTES)
+    assert max(groups) <= separator_scan.GROUP_ROWS
+
+
 def test_a_flat_file_of_any_size_is_read_by_ranges(spark, tmp_path):
     tokens = np.random.default_rng(2).integers(0, 200, 100_000).astype("<u2")
     (tmp_path / "a b%20.bin").write_bytes(tokens.tobytes() + b"\x01")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latticeqc.session import discard, materialize
+from latticeqc.session import discard, materialize, merged
 
 CHUNK = 64
 LINE = 4096
@@ -209,7 +209,7 @@ def enclosed(labelled: DataFrame, shapes: DataFrame, keys: Sequence[str] = ("pac
     )
     inner = placed.groupBy(*keys, "label").agg(F.bool_or(on_border).alias("open")).where(~F.col("open"))
     inner = materialize(inner.select(*keys, "label"))
-    return labelled.join(inner, [*keys, "label"], "left_semi")
+    return labelled.join(merged(inner), [*keys, "label"], "left_semi")
 
 
 def region_summary(labelled: DataFrame, keys: Sequence[str] = ("package_id",), limit: int | None = None) -> DataFrame:

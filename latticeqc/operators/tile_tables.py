@@ -20,7 +20,7 @@ from latticeqc.operators import tile_kernel as K
 from latticeqc.operators.components import star_components
 from latticeqc.operators.geometry import EXAMPLES, METRICS
 from latticeqc.operators.tiles import TILE, TILE_COL, TILE_ROW, tile
-from latticeqc.session import materialize, small_batches, spread
+from latticeqc.session import materialize, merged, small_batches, spread
 
 PLACE = ("tile_row int, tile_col int, top int, left int, height int, width int")
 #: Columns of the measures behind each metric; edge lengths are NaN where an edge is not usable.
@@ -219,7 +219,7 @@ def value_quantiles(measured: DataFrame, keys: Sequence[str], probs: Sequence[fl
     picked = _passed(joined, keys, "found array<struct<metric:bigint,bin:bigint,value:double,n:bigint>>", pick, ())
     values = picked.select(*keys, F.explode("found").alias("f")).select(*keys, "f.*").groupBy(*group, "bin", "value").agg(F.sum("n").alias("c"))
     upto = F.sum("c").over(Window.partitionBy(*group, "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = values.withColumn("upto", upto).join(targets, [*group, "bin"])
+    placed = values.withColumn("upto", upto).join(merged(targets), [*group, "bin"])
     mine = F.filter("ranks", lambda w: (w["rank"] < F.col("upto")) & (w["rank"] >= F.col("upto") - F.col("c")))
     flat = placed.select(*group, "n", "value", F.explode(mine).alias("w"))
     ends = flat.groupBy(*group, "w.i").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("w.side") == s, F.col("value"))).alias(f"v{s}") for s in (0, 1)])
@@ -344,7 +344,7 @@ def tile_cells(reviewed: DataFrame, keys: Sequence[str], size: int = TILE, marks
     small_batches(reviewed.sparkSession)
     slim = reviewed.select(*keys, *places, "cells", "score")
     none = F.lit(None).cast(f"array<{MARK}>").alias("marks")
-    joined = slim.select("*", none) if marks is None else slim.join(marks, [*keys, "tile_row", "tile_col"], "left")
+    joined = slim.select("*", none) if marks is None else slim.join(merged(marks), [*keys, "tile_row", "tile_col"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -15,7 +15,7 @@ from latticeqc.operators import project, proximity
 from latticeqc.operators import tile_kernel as K
 from latticeqc.operators import tile_tables as T
 from latticeqc.operators.digest import grid_digest
-from latticeqc.session import materialize
+from latticeqc.session import materialize, merged
 
 KEYS = ("package_id",)
 
@@ -45,7 +45,7 @@ def coherent_bands(frame: DataFrame, cfg: ReviewConfig, keys: Sequence[str] = KE
 
 def _large_bands(labelled: DataFrame, cfg: ReviewConfig, keys: Sequence[str]) -> DataFrame:
     sizes = C.component_sizes(labelled, keys).where(F.col("size") >= cfg.normal_step_min_component_cells)
-    return labelled.join(materialize(sizes.drop("size")), [*keys, "label"], "left_semi")
+    return labelled.join(merged(materialize(sizes.drop("size"))), [*keys, "label"], "left_semi")
 
 
 def final_cells(reviewed: DataFrame, near: DataFrame, bands: DataFrame, keys: Sequence[str] = KEYS, cued: bool = False) -> DataFrame:
@@ -128,7 +128,7 @@ def tile_references(tiles: DataFrame, cfg: ReviewConfig, keys: Sequence[str] = K
     median = lambda m: F.max(F.when(F.col("metric") == m, F.col("q")[0]))
     wide = medians.groupBy(*keys).agg(median(0).alias("obs_h"), median(1).alias("obs_v"))
     packages = tiles.select(*keys).distinct()
-    return G.with_declared(packages.join(wide, list(keys), "left"), cfg, keys)
+    return G.with_declared(packages.join(merged(wide), list(keys), "left"), cfg, keys)
 
 
 def _count(df: DataFrame, keys: Sequence[str], name: str, value: Column | None = None) -> DataFrame:
@@ -161,7 +161,7 @@ def geometry_report(surf: DataFrame, cfg: ReviewConfig = ReviewConfig(), keys: S
     if cfg.max_proximity_points is None:
         rest = tiles.groupBy(*keys).agg(F.sum(F.expr(f"length(rest) div {K.POINT.itemsize}")).alias("_rest"))
         points = F.col("valid_count") - F.col("nonfinite_valid") + F.col("_rest")
-        sampled = counts.join(rest, keys).select(*keys, points.alias("sampled_points"), F.lit(1).alias("proximity_stride"), F.lit(False).alias("proximity_capped")).where("sampled_points > 0")
+        sampled = counts.join(merged(rest), keys).select(*keys, points.alias("sampled_points"), F.lit(1).alias("proximity_stride"), F.lit(False).alias("proximity_capped")).where("sampled_points > 0")
         pairs = materialize(proximity.tile_pairs(tiles, refs, cfg, keys))
     else:
         sample = proximity.proximity_sample(proximity.usable_points(surf, keys), cfg.max_proximity_points, keys)
@@ -179,9 +179,10 @@ def geometry_report(surf: DataFrame, cfg: ReviewConfig = ReviewConfig(), keys: S
     ]
     # Of the frame nothing is written: a caller that wants values per vertex pays for them.
     frame = G.surface_frame(surf, refs, cfg, keys).select(*keys, *FRAME_COLUMNS)
-    summary = counts.join(refs, keys, "left").join(G.target_spacing(refs, cfg, keys), keys, "left")
-    for part in counted:
-        summary = summary.join(part, keys, "left")
+    summary = counts
+    # Merged: as broadcasts all of them would be held by the driver at once.
+    for part in (refs, G.target_spacing(refs, cfg, keys), *counted):
+        summary = summary.join(merged(part), keys, "left")
     counters = [c for c in summary.columns if c.endswith(("_components", "_regions", "_cells", "_count", "_points"))]
     summary = summary.fillna(0, subset=counters)
     # Surface area against the area of a regular grid of the same number of cells.

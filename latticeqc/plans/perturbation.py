@@ -15,7 +15,7 @@ from latticeqc.operators import diff, grid
 from latticeqc.operators import tile_tables as T
 from latticeqc.operators.tiles import OWN
 from latticeqc.plans.geometry_report import GeometryReport, cell_shapes, geometry_report
-from latticeqc.session import materialize, small_batches
+from latticeqc.session import materialize, merged, small_batches
 
 KEYS = ("package_id",)
 CASE = ("package_id", "offset_voxels", "width_cells")
@@ -150,7 +150,7 @@ def seam_cells(cells: DataFrame, seams: DataFrame, width: int) -> DataFrame:
 def evaluation_cells(seam: DataFrame, cells: DataFrame, shapes: DataFrame, radius: int = 1) -> DataFrame:
     """Seam cells and their surroundings, valid cells only."""
     at = ["package_id", "row", "col"]
-    return diff.dilate(seam, radius, shapes).join(cells.where("cell_valid"), at, "left_semi")
+    return diff.dilate(seam, radius, shapes).join(merged(cells.where("cell_valid")), at, "left_semi")
 
 
 def incremental(cues: DataFrame, baseline: DataFrame, keys: Sequence[str] = CASE, flags: Sequence[str] = ()) -> DataFrame:
@@ -161,9 +161,9 @@ def incremental(cues: DataFrame, baseline: DataFrame, keys: Sequence[str] = CASE
     """
     at = ["package_id", "row", "col"]
     if not flags:
-        return cues.select(*keys, "row", "col").join(baseline.select(*at), at, "left_anti")
+        return cues.select(*keys, "row", "col").join(merged(baseline.select(*at)), at, "left_anti")
     before = baseline.select(*at, *[F.col(f).alias(f"_{f}") for f in flags])
-    joined = cues.join(before, at, "left").withColumns({f"incremental_{f}": F.col(f) & ~F.coalesce(f"_{f}", F.lit(False)) for f in flags})
+    joined = cues.join(merged(before), at, "left").withColumns({f"incremental_{f}": F.col(f) & ~F.coalesce(f"_{f}", F.lit(False)) for f in flags})
     return joined.drop(*[f"_{f}" for f in flags])
 
 
@@ -191,17 +191,17 @@ def perturbation_benchmark(
     bands = materialize(bands)
     out = report.summary.select(*CASE).join(seams, "package_id")
     sizes = bands.groupBy("package_id", "width_cells").agg(F.count("*").alias("evaluation_cells"))
-    out = out.join(sizes, ["package_id", "width_cells"], "left")
+    out = out.join(merged(sizes), ["package_id", "width_cells"], "left")
     at = ["package_id", "width_cells", "row", "col"]
     seen = incremental(report.cued.select(*CASE, "row", "col", *flags), base, flags=flags)
-    seen = seen.join(bands.select(*at).distinct().withColumn("_near", F.lit(True)), at, "left")
+    seen = seen.join(merged(bands.select(*at).distinct().withColumn("_near", F.lit(True))), at, "left")
     near = F.coalesce("_near", F.lit(False))
     counts = []
     for flag, name in (("cue", "incremental"), ("band", "incremental_step"), ("cue_before", "incremental_before")):
         fresh = F.col(f"incremental_{flag}")
         counts += [F.count_if(fresh).alias(f"{name}_cells"), F.count_if(fresh & near).alias(f"{name}_localized")]
     counts.append(F.count_if(F.col("cue") & near).alias("localized_cue_cells"))
-    out = out.join(seen.groupBy(*CASE).agg(*counts), list(CASE), "left")
+    out = out.join(merged(seen.groupBy(*CASE).agg(*counts)), list(CASE), "left")
     counters = [c for c in out.columns if c.endswith(("_cells", "_localized")) and c not in CASE]
     return out.fillna(0, subset=counters).withColumns(
         {

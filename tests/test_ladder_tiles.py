@@ -1,15 +1,19 @@
 """The perturbation ladder and the proximity pairs on packed tiles against their row forms."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from latticeqc.config import ReviewConfig
-from latticeqc.operators import proximity
+from latticeqc.operators import components as C
+from latticeqc.operators import grid, proximity
 from latticeqc.operators import tile_kernel as K
 from latticeqc.operators import tile_tables as T
 from latticeqc.plans import perturbation as X
+from latticeqc.plans.geometry_report import cell_shapes
+from latticeqc.session import materialize
 from tests.grids import frame, surface
 
 CFG = ReviewConfig()
@@ -68,3 +72,25 @@ def test_benchmark_packs_no_rows_of_cases(surf, monkeypatch):
     out = X.perturbation_benchmark(surf.dropDuplicates(["package_id", "row", "col"]), [16.0], [1]).collect()
     assert len(out) == 4 and all(r.detected == (r.offset_voxels > 0) for r in out)
     assert asked and not any("offset_voxels" in columns for columns in asked)
+
+
+def test_no_table_of_cells_or_components_is_broadcast(surf):
+    """Files of places and labels are far smaller than the rows in memory, so the size of the files must not decide."""
+    at = ["package_id", "row", "col"]
+    cells = materialize(grid.quad_cells(surf.dropDuplicates(at)))
+    shapes = cell_shapes(surf)
+    gaps = materialize(C.label_runs(cells.where("NOT cell_valid"), ["package_id"], 8))
+    cues = materialize(cells.selectExpr(*at, "1D AS offset_voxels", "4 AS width_cells", "cell_valid AS cue"))
+    marks = materialize(cells.selectExpr(*at, "row % 2 = 0 AS cue"))
+    line = cells.where("cell_valid AND row = 5")
+    near = X.evaluation_cells(line, cells, shapes)
+    made = [near, C.enclosed(gaps, shapes), X.incremental(cues, marks), X.incremental(cues, marks, flags=["cue"])]
+    for table in made:
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"BroadcastHashJoin \[[^\]]*(row|label)#", plan) and "SortMergeJoin" in plan
+    valid = {tuple(r) for r in cells.where("cell_valid").select(*at).collect()}
+    seam = {tuple(r) for r in line.select(*at).collect()}
+    assert {tuple(r) for r in near.select(*at).collect()} == {(p, r, c) for p, r, c in valid if any((p, 5, c + d) in seam for d in (-1, 0, 1)) and 4 <= r <= 6}
+    unmarked = {tuple(r) for r in cells.where("row % 2 = 1").select(*at).collect()}
+    want = {(*k, k in valid and k in unmarked) for k in {tuple(r) for r in cells.select(*at).collect()}}
+    assert {tuple(r) for r in made[3].select(*at, "incremental_cue").collect()} == want

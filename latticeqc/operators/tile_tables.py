@@ -309,7 +309,7 @@ def tile_components(reviewed: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = [*keys, "kind"]
     flat = lambda c: reviewed.select(*keys[:-1], F.explode(c).alias("e")).select(*keys[:-1], "e.*")
     beyond = flat("links").withColumnRenamed("root", "u")
-    edges = beyond.join(flat("portals").withColumnRenamed("root", "v"), [*keys, "row", "col"]).select(*keys, "u", "v").distinct()
+    edges = beyond.join(merged(flat("portals").withColumnRenamed("root", "v")), [*keys, "row", "col"]).select(*keys, "u", "v").distinct()
     stars = star_components(edges, keys).select(*keys, F.col("node").alias("root"), "label")
     joined = flat("runs").join(stars, [*keys, "root"], "left")
     return materialize(joined.select(*keys, "row", "lo", "hi", F.coalesce("label", "root").alias("label")))

@@ -12,7 +12,7 @@ from latticeqc.operators import grid, proximity
 from latticeqc.operators import tile_kernel as K
 from latticeqc.operators import tile_tables as T
 from latticeqc.plans import perturbation as X
-from latticeqc.plans.geometry_report import cell_shapes
+from latticeqc.plans.geometry_report import cell_shapes, tile_references
 from latticeqc.session import materialize
 from tests.grids import frame, surface
 
@@ -94,3 +94,16 @@ def test_no_table_of_cells_or_components_is_broadcast(surf):
     unmarked = {tuple(r) for r in cells.where("row % 2 = 1").select(*at).collect()}
     want = {(*k, k in valid and k in unmarked) for k in {tuple(r) for r in cells.select(*at).collect()}}
     assert {tuple(r) for r in made[3].select(*at, "incremental_cue").collect()} == want
+
+
+def test_portals_are_not_broadcast(surf, monkeypatch):
+    keys, found = ["package_id"], []
+    tiles = T.surface_tiles(surf.dropDuplicates(["package_id", "row", "col"]), keys)
+    reviewed = T.review_tiles(tiles, tile_references(tiles, CFG, keys), CFG, keys, values=False)
+    monkeypatch.setattr(T, "star_components", lambda edges, by, f=T.star_components: found.append(edges) or f(edges, by))
+    parts = T.tile_components(reviewed, keys)
+    plan = found[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    # The wide surface lies in two tiles and is one piece.
+    vertex = parts.where("kind = 'vertex' AND label = row * 2147483648 + lo").groupBy("package_id").count()
+    assert {r["package_id"]: r["count"] for r in vertex.collect()} == {"wide": 1, "tall": 1}
